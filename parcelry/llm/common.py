@@ -44,7 +44,7 @@ def windows(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    out = np.full(n, ODD[salt + 63 - k], U64)
+    out = np.full(n, ODD[(salt + 63 - k) % 64], U64)
     for j in range(k):
         out += h[j : j + n] * ODD[(salt + j) % 60]
     return mixed(out)
@@ -79,3 +79,41 @@ def kept(df: DataFrame) -> DataFrame:
 
 def bucket_count(spark: SparkSession, per_partition: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of df's size; 0 where it has none (a source without statistics)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
+def buckets_for(df: DataFrame, bytes_each: int) -> int:
+    """How many buckets to deal df's content into: they grow in number with the input, not in size."""
+    return max(4 * bucket_count(df.sparkSession), -(-input_bytes(df) // bytes_each))
+
+
+#: The key of a document among spans: its id, and a hash of its text in case that rows share an id.
+KEY = ("doc_key", "text_key")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_key, text_key, doc_id and text; a null doc_id sorts before all others."""
+    lowest = F.lit(-(2**63)).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_key"), F.xxhash64("text").alias("text_key"), "doc_id", "text")
+
+
+def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of half-open intervals as maximal, ascending, separate ones; intervals that touch become one."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    s, e = starts[order], np.maximum.accumulate(ends[order])
+    new = np.r_[True, s[1:] > e[:-1]]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]
+    return s[new], e[last]
+
+
+def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of an array that is True where a run begins (at 0 too): each run's first place, and the place after its last."""
+    first = np.flatnonzero(breaks)
+    return first, np.r_[first[1:], len(breaks)]

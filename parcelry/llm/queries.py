@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelry.llm.common import table
 
 
+def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.superkmers import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.media import features, stored
 
@@ -30,7 +36,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_media_flac, op8_rendezvous_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op5_superkmer_dedup, op6_media_flac, op8_rendezvous_sharding, op10_byte_bpe)}
 
 
 #: Queries whose results SQL can express.
