@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as Java's regular expressions write it.
@@ -117,3 +117,18 @@ def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of an array that is True where a run begins (at 0 too): each run's first place, and the place after its last."""
     first = np.flatnonzero(breaks)
     return first, np.r_[first[1:], len(breaks)]
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, seed: int) -> tuple[list[bytes], list[int]]:
+    """Texts and labels outside the held-out fold, for the driver to learn from: the first `rows` labelled ids by a hash.
+
+    Of these only as many as have most_bytes of text together (the first always). Ids that are labelled twice count
+    once, with the larger label. Null labels and null texts are left out.
+    """
+    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    first = one.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).orderBy("rank", "doc_id").limit(rows)
+    joined = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(first), "doc_id")
+    before = Window.orderBy("rank", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    room = joined.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+    got = room.where((F.col("before") == 0) | (F.col("before") + F.octet_length("text") <= most_bytes)).select("text", "y").collect()
+    return [bytes(r.text) for r in got], [r.y for r in got]

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from parcelry.llm.common import table
 
 
+def op1_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.subword import learnt, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, learnt(docs, table(spark, sf_dir, "labels"), "quality"), 0.3)
+
+
 def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.superkmers import deduplicated
 
@@ -21,6 +28,13 @@ def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(stored(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.weak import learnt, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, learnt(docs, table(spark, sf_dir, "labels"), "toxic"), 0.5)
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.rendezvous import sharded
 
@@ -36,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_superkmer_dedup, op6_media_flac, op8_rendezvous_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_subword, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op10_byte_bpe)}
 
 
 #: Queries whose results SQL can express.
