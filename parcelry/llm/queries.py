@@ -16,6 +16,12 @@ def op1_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, learnt(docs, table(spark, sf_dir, "labels"), "quality"), 0.3)
 
 
+def op4_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
 def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.superkmers import deduplicated
 
@@ -50,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_subword, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_subword, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op10_byte_bpe)}
 
 
 #: Queries whose results SQL can express.
