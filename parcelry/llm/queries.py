@@ -16,6 +16,12 @@ def op1_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, learnt(docs, table(spark, sf_dir, "labels"), "quality"), 0.3)
 
 
+def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.mixing import taken
 
@@ -56,11 +62,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_subword, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_subword, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op10_byte_bpe)}
 
 
 #: Queries whose results SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mtree_topk": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
