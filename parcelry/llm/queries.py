@@ -53,6 +53,12 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.suffixes import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +68,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_subword, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_subword, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op9_suffix_dedup, op10_byte_bpe)}
 
 
 #: Queries whose results SQL can express.
