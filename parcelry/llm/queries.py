@@ -16,6 +16,12 @@ def op1_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, learnt(docs, table(spark, sf_dir, "labels"), "quality"), 0.3)
 
 
+def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelry.llm.tokengroups import joined
+
+    return joined(table(spark, sf_dir, "documents"))
+
+
 def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.mtree import top_k
 
@@ -68,7 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_subword, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op9_suffix_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_subword, op2_token_group_join, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op9_suffix_dedup, op10_byte_bpe)}
 
 
 #: Queries whose results SQL can express.
