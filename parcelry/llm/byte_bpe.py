@@ -168,3 +168,21 @@ def digests(docs: DataFrame, path: str, pattern: str, texts: int = 500) -> DataF
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str, texts: int = 500) -> DataFrame:
+    """doc_id, source, n_tokens and ids (as in encoded()) of every row; raises if a text's ids don't decode to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, texts):
+                part = batch.slice(i, texts)
+                own = [t or "" for t in part.column(2).to_pylist()]
+                ids = v.encode(own)
+                if any(v.decode(x) != t.encode("utf-8") for x, t in zip(ids, own, strict=True)):
+                    raise ValueError("a text's ids decode to another text")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n_tokens", "ids"])
+
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "source")}
+    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, n_tokens bigint, ids binary")

@@ -73,8 +73,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return digests(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_subword, op2_token_group_join, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op9_suffix_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_subword, op2_token_group_join, op3_mtree_topk, op4_mixing_tree, op5_superkmer_dedup, op6_media_flac, op7_toxicity_weak, op8_rendezvous_sharding, op9_suffix_dedup, op10_byte_bpe, pipeline)}
 
 
 #: Queries whose results SQL can express.

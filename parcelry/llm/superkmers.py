@@ -164,6 +164,46 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "doc_key long, text_key long, first int, last int")
 
 
+def without(own: list[bytes], spans: list[dict] | None) -> list[bytes]:
+    """The words that no span covers."""
+    if not spans:
+        return own
+    x = np.array([(s["first"], s["last"]) for s in spans], np.int64)
+    left, at = [], 0
+    for a, b in zip(*(y.tolist() for y in united(x[:, 0], x[:, 1])), strict=True):
+        left += own[at:a]
+        at = b
+    return left + own[at:]
+
+
+def cleaned(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """The rows of docs, with all their columns, text without the words that repeat (see deduplicated) and n_chars to match.
+
+    A text that loses words is what is left, joined by one space; other texts stay as they are. A row of which nothing is
+    left goes.
+    """
+    spans = repeated_spans(docs, k, m).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    own = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_t": F.xxhash64("text")})
+    joined = own.join(spans.withColumnsRenamed({"doc_key": "_d", "text_key": "_t"}), ["_d", "_t"], "left").drop("_d", "_t")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(len(names)).to_pylist()
+            texts: list[str | None] = []
+            for t, found in zip(binaries(batch.column(at)), spans, strict=True):
+                texts.append(None if t is None else b" ".join(without(words(t), found)).decode("utf-8") if found else t.decode("utf-8"))
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                size = pa.array([len(t) if f else n for t, f, n in zip(texts, spans, batch.column(i).to_pylist(), strict=True)], batch.column(i).type)
+                columns[i] = size
+            stays = pa.array([not f or bool(t) for t, f in zip(texts, spans, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
+
+    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+
+
 def deduplicated(docs: DataFrame, k: int = K, m: int = M, digest: bool = False) -> DataFrame:
     """Every document without the words that repeat: doc_id, n_words, n_removed, and kept (the words left, joined by one space).
 
@@ -178,14 +218,7 @@ def deduplicated(docs: DataFrame, k: int = K, m: int = M, digest: bool = False)
             n_words, n_removed, kept = [], [], []
             for text, spans in zip(binaries(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 own = words(text)
-                left = own
-                if spans:
-                    x = np.array([(s["first"], s["last"]) for s in spans], np.int64)
-                    left, at = [], 0
-                    for a, b in zip(*(y.tolist() for y in united(x[:, 0], x[:, 1])), strict=True):
-                        left += own[at:a]
-                        at = b
-                    left += own[at:]
+                left = without(own, spans)
                 n_words.append(len(own))
                 n_removed.append(len(own) - len(left))
                 body = b" ".join(left)

@@ -361,6 +361,28 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     return rows.select(*KEY, "n", "c"), links.unionByName(_cross(open_, s))
 
 
+def _labelled(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_key, text_key, n and label (of the component) of every row."""
+    rows, links = classes(docs, s)
+    labels = kept(components(links))
+    return rows.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component", "c")
+
+
+def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of docs, with all their columns, less near duplicates: of each component the row of the smallest doc_id stays.
+
+    If several rows have that doc_id, the one of the smallest text hash stays, and of equal rows one. Rows without words
+    link with nothing and all stay.
+    """
+    rows = _labelled(docs, s)
+    first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*", F.lit(True).alias("_one"))
+    empty = rows.where("n = 0").select(*KEY, F.lit(False).alias("_one")).distinct()
+    keys = first.unionByName(empty).withColumnsRenamed({"doc_key": "_d", "text_key": "_t"})
+    own = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_t": F.xxhash64("text")}).join(keys, ["_d", "_t"])
+    nth = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))
+    return own.withColumn("_nth", nth).where(~F.col("_one") | (F.col("_nth") == 1)).select(*docs.columns)
+
+
 def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -368,9 +390,7 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     without words, null ones too, have no shingles and link with nothing. A null doc_id comes before all others, and a
     component that holds one has a null component_id. Repeated rows have equal sets and so link. No rows give no rows.
     """
-    rows, links = classes(docs, s)
-    labels = kept(components(links))
-    named = rows.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c"))
+    named = _labelled(docs, s)
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_key").alias("least"))
     done = named.join(least, "label", "left").select(*KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_key")).alias("least"))
     null = F.lit(-(2**63)).cast("long")
