@@ -1,15 +1,19 @@
-"""The reference queries on the driver's tables, each with the SQL that must give the same rows."""
+"""The queries on the driver's tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from parcelry.plans import audits, resolution, scores  # noqa: F401
+from parcelry.plans.registry import ORACLES, QUERIES
 
-def entry(spark, sf_dir):
-    return queries()["coverage_states"](spark, sf_dir)
+
+def entry(spark, folder):
+    """Coverage of the opportunity by holders, in the current state and the new one."""
+    return QUERIES["coverage_states"](spark, folder)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
