@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 def jaro(a: str, b: str) -> float:
     """The share of characters that match within half the longer length, less half the transposed."""
-    if a == b:
-        return 1.0
     m, n = len(a), len(b)
     if not m or not n:
         return 0.0
+    if a == b:
+        return 1.0
     reach = max(0, max(m, n) // 2 - 1)
     free = [True] * n
     left = []

@@ -43,7 +43,7 @@ def land_balance(cells: DataFrame, by: list[str], district: str, mass: str, land
     pieces = cells.groupBy(*by, district).agg(F.sum(mass).alias("m"), F.sum(land).alias("a"))
     share = F.col("m") / F.sum("m").over(Window.partitionBy(*by))
     kept = pieces.withColumn("share", share).where(F.col("share") >= least)
-    return kept.groupBy(*by).agg(F.count("*").alias("pieces"), F.max("a").alias("most"), F.min("a").alias("least")).where("pieces > 1").withColumn("ratio", F.col("most") / F.col("least"))
+    return kept.groupBy(*by).agg(F.count("*").alias("pieces"), F.max("a").alias("most"), F.min("a").alias("least")).where("pieces > 1").withColumn("ratio", F.col("most").cast("double") / F.nullif(F.col("least").cast("double"), F.lit(0).cast("double")))
 
 
 def deviations(districts: DataFrame, by: list[str], mass: str) -> DataFrame:

@@ -37,7 +37,7 @@ def small_crowded(spark, d):
 @query("""
 WITH p AS (SELECT c_mktsegment AS channel, c_nationkey AS unit, c_custkey % 4 AS district, CAST(sum(CAST(greatest(c_acctbal, 0) AS DECIMAL(18,2))) AS DOUBLE) AS m, sum(c_custkey) AS a FROM customer GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, m / sum(m) OVER (PARTITION BY channel, unit) AS share FROM p) WHERE share >= 0.2)
-SELECT channel, unit, count(*) AS pieces, CAST(max(a) AS BIGINT) AS most, CAST(min(a) AS BIGINT) AS least, round(max(a) / min(a), 6) AS ratio FROM k GROUP BY ALL HAVING count(*) > 1
+SELECT channel, unit, count(*) AS pieces, CAST(max(a) AS BIGINT) AS most, CAST(min(a) AS BIGINT) AS least, round(CAST(max(a) AS DOUBLE) / nullif(CAST(min(a) AS DOUBLE), 0), 6) AS ratio FROM k GROUP BY ALL HAVING count(*) > 1
 """)
 def land_balance(spark, d):
     c = t(spark, d, "customer").select(F.col("c_mktsegment").alias("channel"), F.col("c_nationkey").alias("unit"), (F.col("c_custkey") % 4).alias("district"), F.greatest("c_acctbal", F.lit(0.0)).cast(CENTS).alias("m"), F.col("c_custkey").alias("land"))
@@ -105,7 +105,7 @@ def eligibility_outcome(spark, d):
 
 @query(f"""
 WITH {_runs}, l AS (SELECT run, 'splits' AS measure, CAST(splits AS DOUBLE) AS value FROM runs UNION ALL SELECT run, 'defects', CAST(defects AS DOUBLE) FROM runs)
-SELECT run, l.measure, value, most FROM l JOIN (VALUES ('splits', 4.0), ('defects', 6.0)) AS m(measure, most) ON m.measure = l.measure WHERE value > most
+SELECT run, l.measure, value, CAST(most AS DOUBLE) AS most FROM l JOIN (VALUES ('splits', 4.0), ('defects', 6.0)) AS m(measure, most) ON m.measure = l.measure WHERE value > most
 """)
 def shape_breaches(spark, d):
     limits = rule_table(spark, [("splits", 4.0), ("defects", 6.0)], "measure string, most double")

@@ -122,7 +122,7 @@ def manifests(spark: SparkSession, folder: str, file: str = "manifest.json") ->
 
 def report_fields(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
     """Figures from text reports: a pattern with one group for each field; NULL where it doesn't fit."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     value = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     return df.select(F.col("_metadata.file_path").alias("path"), *(value(p).alias(n) for n, p in fields.items()))
 
