@@ -90,7 +90,7 @@ def dropped_by_reason(df: DataFrame, dimension: DataFrame, key: str, mass: str,
     told = joined.withColumn("reason", reason)
     total = df.agg(F.sum(mass).alias("_total"))
     lost = told.where("reason is not null").groupBy("reason").agg(F.countDistinct(key).alias("keys"), F.count("*").alias("rows"), F.sum(mass).alias("mass"))
-    lost = lost.crossJoin(F.broadcast(total)).withColumn("share", F.col("mass") / F.col("_total")).drop("_total")
+    lost = lost.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide(F.col("mass"), F.col("_total"))).drop("_total")
     return told.where("reason is null").select(*df.columns), lost
 
 

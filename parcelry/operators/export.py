@@ -68,7 +68,7 @@ def channel_review(df: DataFrame, canonical: str, spelling: str, key: str, amoun
     """By channel: spellings, rows, cells, keys and the share of the amount."""
     total = F.sum("amount").over(Window.partitionBy())
     g = df.groupBy(canonical).agg(F.array_sort(F.collect_set(spelling)).alias("spellings"), F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.sum(amount).alias("amount"))
-    return g.withColumn("share", F.col("amount") / total)
+    return g.withColumn("share", F.try_divide(F.col("amount"), total))
 
 
 def guard(df: DataFrame, amount: str, texts: list[str], sentinels: list[str], most: float = 1e4, median: float = 1.0, tolerance: float = 1e-3, forbidden: tuple[str, ...] = ("divisor", "scale", "sales", "dollars")) -> None:

@@ -142,7 +142,7 @@ def contiguity(ledger: DataFrame, edges: DataFrame, district: list[str], vertex:
     """By district: pieces, and the contiguity weight: a piece beyond the main one costs 1 and its mass over the mean district's."""
     p = pieces(ledger, edges, district, vertex, mass)
     tau = p.groupBy(*district).agg(F.sum("mass").alias("m")).agg(F.avg("m").alias("tau"))
-    cost = F.when(~F.col("main"), 1 + F.col("mass") / F.col("tau")).otherwise(F.lit(0.0))
+    cost = F.when(~F.col("main"), 1 + F.coalesce(F.try_divide("mass", "tau"), F.lit(0.0))).otherwise(F.lit(0.0))
     return p.crossJoin(F.broadcast(tau)).groupBy(*district).agg(F.count("*").alias("pieces"), F.sum(cost).alias("weight"))
 
 

@@ -41,7 +41,7 @@ def thin_links(edges: DataFrame, owners: DataFrame, border: str, least: float) -
 def land_balance(cells: DataFrame, by: list[str], district: str, mass: str, land: str, least: float = 0.2) -> DataFrame:
     """Most over least land among a group's pieces that hold at least `least` of its mass."""
     pieces = cells.groupBy(*by, district).agg(F.sum(mass).alias("m"), F.sum(land).alias("a"))
-    share = F.col("m") / F.sum("m").over(Window.partitionBy(*by))
+    share = F.try_divide(F.col("m"), F.sum("m").over(Window.partitionBy(*by)))
     kept = pieces.withColumn("share", share).where(F.col("share") >= least)
     return kept.groupBy(*by).agg(F.count("*").alias("pieces"), F.max("a").alias("most"), F.min("a").alias("least")).where("pieces > 1").withColumn("ratio", F.col("most").cast("double") / F.nullif(F.col("least").cast("double"), F.lit(0).cast("double")))
 
@@ -49,7 +49,7 @@ def land_balance(cells: DataFrame, by: list[str], district: str, mass: str, land
 def deviations(districts: DataFrame, by: list[str], mass: str) -> DataFrame:
     """Worst and mean relative deviation of districts from their group's mean."""
     mean = F.avg(mass).over(Window.partitionBy(*by))
-    dev = F.abs(F.col(mass) / mean - 1)
+    dev = F.abs(F.try_divide(F.col(mass), mean) - 1)
     return districts.withColumn("_d", dev).groupBy(*by).agg(F.max("_d").alias("worst"), F.avg("_d").alias("mean"))
 
 
