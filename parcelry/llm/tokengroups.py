@@ -10,14 +10,15 @@ The matrix is sparse and dealt out by token, and most documents never meet it:
    one's tokens. The j-th smallest common token is among the first n - ceil(0.75 n) + j of either; thus a class that has
    fewer than j tokens in common with any other among these has no link at all. Here j = 15 % of n (of the smallest
    partner's). This leaves near copies, and few others.
-2. What is left is grouped by min-hash. In a group, documents link to leaders: the first that are linked to no leader
-   before them. A leader's followers and itself are a group of the matrix. Large min-hash groups are cut into chunks,
-   and the chunks' leaders meet again, level by level.
+2. What is left meets by min-hash. There, documents link to leaders: the first that are linked to no leader before
+   them. Large min-hash groups are cut into chunks, and the chunks' leaders meet again, level by level.
 3. Links so far give components. A document can only have a link to another component if 75 % of its tokens are in
    other components too; these are counted in buckets as in 1. The others are done: the many near copies of one original
-   are in one component, and are not compared with each other.
-4. The matrix of the rest: a query probes the rarest tokens that any linked group must share one of, then has its
-   overlap with the whole union of each group hit bounded, and opens the groups that qualify.
+   are in one component, and are not compared with each other. Those still open meet by more min-hashes, and 3 is done
+   again.
+4. The matrix of the rest: documents are grouped by their most frequent token, which near copies share. Of two
+   components, documents of the smaller are the queries. A query probes the rarest tokens that any linked group must
+   share one of, then has its overlap with the whole union of each group hit bounded, and opens the groups that qualify.
 
 Every link that joins two components is thus found, whatever the grouping; it only decides how many groups are opened.
 """
@@ -42,7 +43,7 @@ PERCENT = 75
 #: Percent of a document's tokens that give j above.
 SPARE = 15
 #: Tokens that a task looks at together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 BUCKET_BYTES = 4 << 20
 
 
@@ -50,7 +51,9 @@ BUCKET_BYTES = 4 << 20
 class Settings:
     #: Documents of one min-hash that are compared together, and queries that meet a group together.
     chunk: int = 1024
-    #: Classes that are sent to all tasks at most (each 16 bytes); beyond, they are joined by a shuffle.
+    #: Further min-hashes of documents that one has left open.
+    hashes: int = 3
+    #: Rows (16 to 24 bytes each) that are sent to all tasks at most; beyond, they are joined by a shuffle.
     sent: int = 500_000
 
 
@@ -139,7 +142,7 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def _screen(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows. doc_key not null: a document, its n and its class (c, c2). doc_key null: c, and n of its dealt tokens that other classes have, in one bucket."""
+    """Packed rows of two kinds. part -1: documents, their n and class (c, c2). Others: how many of a class's dealt tokens other classes have, in one bucket."""
     buckets = buckets_for(docs, BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,22 +175,39 @@ def _screen(docs: DataFrame) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         blobs = table.column("packed").to_pylist()
         found = [b[1:] for b in blobs if b[:1] == b"T"]
-        rows = [np.frombuffer(b[1:], np.int64).reshape(5, -1) for b in blobs if b[:1] == b"D"]
-        d = np.concatenate(rows, axis=1) if rows else np.empty((5, 0), np.int64)
-        c, n = _shared(found) if found else (np.empty(0, np.int64),) * 2
-        null = pa.nulls(len(c), pa.int64())
-        return pa.table(
-            {
-                "doc_key": pa.chunked_array([null, pa.array(d[0])]),
-                "text_key": pa.chunked_array([null, pa.array(d[1])]),
-                "n": np.r_[n, d[2]],
-                "c": np.r_[c, d[3]],
-                "c2": np.r_[np.zeros(len(c), np.int64), d[4]],
-            }
-        )
+        rows = [(-1, b[1:]) for b in blobs if b[:1] == b"D"] + (_dealt(*_shared(found), parts) if found else [])
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
+    parts = _parts(buckets)
     sent = keyed(docs).select(*KEY, "text").mapInArrow(send, "bucket int, packed binary")
-    return kept(sent.groupBy("bucket").applyInArrow(count, "doc_key long, text_key long, n long, c long, c2 long"))
+    return kept(sent.groupBy("bucket").applyInArrow(count, "part int, packed binary"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for body in batch.column(0).to_pylist():
+            yield _batch(["doc_key", "text_key", "n", "c", "c2"], *(pa.array(x) for x in np.frombuffer(body, np.int64).reshape(5, -1)))
+
+
+def _parts(buckets: int) -> int:
+    return max(1, buckets // 16)
+
+
+def _dealt(owner: np.ndarray, n: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """A bucket's counts, packed by the owners' parts."""
+    to = owner % parts
+    order = np.argsort(to, kind="stable")
+    to, owner, n = to[order], owner[order], n[order]
+    edges = np.r_[0, np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)] if len(to) else np.zeros(1, np.int64)
+    return [(int(to[i]), np.stack([owner[i:j], n[i:j]]).astype(np.int64).tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts that all buckets have for a part's owners, summed."""
+    got = [np.frombuffer(b, np.int64).reshape(2, -1) for b in table.column("packed").to_pylist()]
+    owner, n = np.concatenate(got, axis=1) if got else np.empty((2, 0), np.int64)
+    owner, at = np.unique(owner, return_inverse=True)
+    return pa.table({"x": owner, "shared": np.bincount(at, n, len(owner)).astype(np.int64)})
 
 
 def class_of(t: np.ndarray) -> tuple[int, int]:
@@ -197,7 +217,7 @@ def class_of(t: np.ndarray) -> tuple[int, int]:
 
 
 def _lead(table: pa.Table, s: Settings) -> pa.Table:
-    """Leaders and followers of documents that are compared together: c, leader, n, tokens; further links come without tokens."""
+    """Of documents that are compared together, the leaders (with their tokens) and links to them: c, leader, n, key, tokens."""
     table = table.sort_by("c")
     c, n = table.column("c").to_pylist(), table.column("n").to_pylist()
     raw = table.column("tokens").to_pylist()
@@ -221,15 +241,15 @@ def _lead(table: pa.Table, s: Settings) -> pa.Table:
             a.append(c[i])
             b.append(c[leaders[x]])
             size.append(n[i])
-            bodies.append(body if nth == 0 else None)
+            bodies.append(body if nth == 0 and to == [len(leaders) - 1] and leaders[-1] == i else None)
     return pa.table({"c": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64()), "n": pa.array(size, pa.int64()), "key": pa.array([table.column("key")[0].as_py()] * len(a), pa.int64()), "tokens": pa.array(bodies, pa.binary())})
 
 
 LED = "c long, leader long, n long, key long, tokens binary"
 
 
-def _grouped(sets: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(groups, links): every document with its leader; links a, b between documents."""
+def _grouped(sets: DataFrame, s: Settings) -> DataFrame:
+    """Links a, b among the documents (c, n, tokens) of each key."""
 
     def chunked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = kept(df.groupBy("key").count().where(F.col("count") > s.chunk).select("key", F.ceil(F.col("count") / s.chunk).alias("parts")))
@@ -243,21 +263,20 @@ def _grouped(sets: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     first = lead(parted)
     links, now = first, first
     while not large.isEmpty():  # the leaders of chunks meet; a level must halve them to be worth another
-        again = now.where("tokens is not null and c = leader").join(large.select("key"), "key", "left_semi").select("c", "n", "key", "tokens")
+        again = now.where("tokens is not null").join(large.select("key"), "key", "left_semi").select("c", "n", "key", "tokens")
         before = again.count()
         parted, large = chunked(again)
         now = lead(parted)
         links = links.unionByName(now)
-        if now.where("tokens is not null and c = leader").count() * 2 > before:
+        if now.where("tokens is not null").count() * 2 > before:
             break
-    return first.where("tokens is not null"), links.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))
+    return links.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))
 
 
-def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that may have a link to another component: c, leader, n, component, tokens."""
-    with_label = groups.join(labels, groups["c"] == labels["node"], "left").select("c", "leader", "n", "tokens", F.coalesce("component", "c").alias("component"))
-    known = kept(with_label)
-    buckets = buckets_for(known, BUCKET_BYTES)
+def _open(sets: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """The documents that may have a link to another component: c, n, component, tokens."""
+    known = sets.join(_light(labels, s), sets["c"] == F.col("node"), "left").select("c", "n", "tokens", F.coalesce("component", "c").alias("component"))
+    buckets = buckets_for(sets, BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: list, label: list, sets: list) -> Iterator[pa.RecordBatch]:
@@ -278,70 +297,128 @@ def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
             yield from out(c, label, sets)
 
     def count(table: pa.Table) -> pa.Table:
-        c, n = _shared(table.column("packed").to_pylist())
-        return pa.table({"x": c, "shared": n})
+        rows = _dealt(*_shared(table.column("packed").to_pylist()), parts)
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
+    parts = _parts(buckets)
     sent = known.select("c", "component", "tokens").mapInArrow(send, "bucket int, packed binary")
-    counts = sent.groupBy("bucket").applyInArrow(count, "x long, shared long").groupBy("x").agg(F.sum("shared").alias("shared"))
-    return kept(known.join(counts, known["c"] == counts["x"]).where(100 * F.col("shared") >= PERCENT * F.col("n")).drop("x", "shared"))
+    counts = sent.groupBy("bucket").applyInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(_summed, "x long, shared long")
+    sizes = sets.select(F.col("c").alias("x"), "n").distinct()
+    enough = kept(counts.join(sizes, "x").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("x"))
+    return kept(known.join(_light(enough, s), known["c"] == F.col("x")).drop("x").dropDuplicates(["c"]))
+
+
+def _light(df: DataFrame, s: Settings) -> DataFrame:
+    """df, to be sent to all tasks if its rows, few bytes each, are counted to be few enough; else joined as usual."""
+    return F.broadcast(df) if df.count() <= s.sent else df
 
 
 def _cross(open_: DataFrame, s: Settings) -> DataFrame:
-    """Links a, b between components, by the matrix."""
+    """Links a, b between components, by the matrix. Queries are the documents of the smaller component of a pair."""
+    # components by size, then by hash: one number. That two linked components have the same has a chance of 2 ** -44
+    size = open_.groupBy("component").count()
+    low = F.xxhash64("component").bitwiseAND(F.lit(2**44 - 1))
+    rank = F.shiftleft(F.least("count", F.lit(2**18).cast("long")), 44).bitwiseOR(low)
+    ranked = kept(open_.join(size, "component").select("c", "n", rank.alias("rank"), "tokens"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                sets = [np.frombuffer(b, np.int64) for b in part.column(4).to_pylist()]
+                sets = [np.frombuffer(b, np.int64) for b in part.column(2).to_pylist()]
                 row = pa.array(np.repeat(np.arange(len(sets)), [len(t) for t in sets]))
-                yield _batch(["c", "leader", "n", "component", "token"], *(part.column(j).take(row) for j in range(4)), pa.array(np.concatenate(sets)))
-
-    spelt = open_.select("c", "leader", "n", "component", "tokens").mapInArrow(spell, "c long, leader long, n long, component long, token long")
-    df = spelt.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("useful"))
-    told = kept(spelt.join(df, "token"))
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("useful", "df", "token"))
-    probes = told.withColumn("rank", rank).where(F.col("useful") & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).select("token", "c", "component")
-    matrix = told.where("useful").select("token", F.col("leader").alias("g"), F.col("component").alias("of")).distinct()
-    found = kept(probes.join(matrix, "token").where("component <> of").select("c", "g").distinct())
-    most = found.groupBy("g").count().agg(F.max("count")).first()[0]
-    if not most:
-        return found.select(F.col("c").alias("a"), F.col("g").alias("b"))
-    chunks = -(-most // s.chunk)
-    queries = found.join(open_.select("c", F.col("n").alias("size"), F.col("tokens").alias("body")), "c").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(chunks)))
-    members = open_.select(F.col("leader").alias("g"), "c", "n", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("part"))
+                prefix_ = pa.array([n - least_shared(n) + 1 for n in part.column(1).to_pylist()], pa.int32())
+                yield _batch(["token", "c", "rank", "prefix"], pa.array(np.concatenate(sets)), part.column(0).take(row), part.column(3).take(row), prefix_.take(row))
+
+    spelt = ranked.select("c", "n", "tokens", "rank").mapInArrow(spell, "token long, c long, rank long, prefix int")
+    df = spelt.groupBy("token").agg(F.count("*").cast("int").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high")).where("low <> high").drop("low")
+    order = F.row_number().over(Window.partitionBy("c").orderBy(F.col("df").asc_nulls_first(), "token"))
+    told = kept(spelt.join(df, "token", "left").withColumn("place", order).where("df is not null"))
+
+    # a document's group: that of its most frequent token, in chunks
+    of = told.groupBy("c").agg(F.max(F.struct("df", "token"))["token"].alias("hub"))
+    parts = of.groupBy("hub").agg(F.ceil(F.count("*") / s.chunk).alias("parts"))
+    groups = kept(of.join(parts, "hub").select("c", F.xxhash64("hub", F.pmod(F.xxhash64("c"), "parts")).alias("g")))
+    matrix = told.join(groups, "c").groupBy("token", "g").agg(F.max("rank").alias("above"))
+    probes = told.where((F.col("place") <= F.col("prefix")) & (F.col("rank") < F.col("high"))).select("token", "c", "rank")
+    found = kept(probes.join(matrix, "token").where("above > rank").select("c", "g").distinct())
+    most = found.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    chunks = max(1, -(-most // s.chunk))
+    queries = found.join(ranked.select("c", "n", "rank", "tokens"), "c").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(chunks)))
+    members = groups.join(ranked, "c").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(b, U64) for b in left.column("tokens").to_pylist()]
-        who, a, b = left.column("c").to_pylist(), [], []
-        union = np.unique(np.concatenate(sets)) if sets else np.empty(0, U64)
-        for c, body in zip(right.column("c").to_pylist(), right.column("body").to_pylist(), strict=True):
-            q = np.frombuffer(body, U64)
-            if not len(union) or 100 * int(np.isin(q, union, assume_unique=True).sum()) < PERCENT * len(q):
-                continue
-            for x, t in zip(who, sets, strict=True):
-                if linked(int(np.isin(q, t, assume_unique=True).sum()), len(q), len(t)):
-                    a.append(c)
-                    b.append(x)
+        """Queries whose overlap with the members' union suffices, against the members of larger components; one link to each component."""
+        a, b = [], []
+        who, size = left.column("c").to_pylist(), np.array(left.column("n").to_pylist())
+        rank = left.column("rank").to_pylist()
+        sets = [np.frombuffer(x, U64) for x in left.column("tokens").to_pylist()]
+        if sets and right.num_rows:
+            flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+            by = np.argsort(flat, kind="stable")
+            flat, row = flat[by], row[by]
+            union, first = np.unique(flat, return_index=True)
+            last = np.r_[first[1:], len(flat)]
+            for c, n, r, body in zip(*(right.column(f"q_{x}").to_pylist() for x in ("c", "n", "rank", "tokens")), strict=True):
+                q = np.frombuffer(body, U64)
+                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+                at = at[union[at] == q]
+                if 100 * len(at) < PERCENT * n:
+                    continue
+                i, k = first[at], last[at] - first[at]
+                rows = row[np.repeat(i - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+                hit = np.flatnonzero(linked(np.bincount(rows, minlength=len(sets)), n, size))
+                seen = set()
+                for x in hit.tolist():
+                    if rank[x] > r and rank[x] not in seen:
+                        seen.add(rank[x])
+                        a.append(c)
+                        b.append(who[x])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("g", "part").cogroup(queries.groupBy("g", "part")).applyInArrow(compare, "a long, b long")
+    columns = ["g", "part", "c", "n", "rank", "tokens"]
+    asked = queries.select(columns).toDF(*(f"q_{x}" for x in columns))
+    return members.select(columns).groupBy("g", "part").cogroup(asked.groupBy("q_g", "q_part")).applyInArrow(compare, "a long, b long")
+
+
+def _again(open_: DataFrame, s: Settings) -> DataFrame:
+    """More links a, b: the open documents by further min-hashes."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                sets = [np.frombuffer(b, U64) for b in part.column(2).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(sets)), s.hashes))
+                key = [int(_min_hash(t, 1 + j)) for t in sets for j in range(s.hashes)]
+                yield _batch(["c", "n", "key", "tokens"], part.column(0).take(row), part.column(1).take(row), pa.array(key, pa.int64()), part.column(2).take(row))
+
+    return _grouped(open_.select("c", "n", "tokens").mapInArrow(keys, "c long, n long, key long, tokens binary"), s)
+
+
+def _min_hash(t: np.ndarray, nth: int) -> int:
+    """The nth min-hash; its number is in it, so that keys of different numbers don't meet."""
+    salt = np.array([0x9FB21C651E98DF25 * (2 * nth + 1) % 2**64], U64)
+    return int(mixed(mixed(t ^ salt).min(keepdims=True) + U64(nth)).view(np.int64)[0])
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_key, text_key, n, c (a class) of every row; links a, b between classes that join all that is reachable."""
     screened = _screen(docs)
-    rows = screened.where("doc_key is not null")
+    rows = screened.where("part = -1").select("packed").mapInArrow(_unpacked, "doc_key long, text_key long, n long, c long, c2 long")
     reps = rows.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("size"))
-    counts = screened.where("doc_key is null").groupBy("c").agg(F.sum("n").alias("shared"))
+    counts = screened.where("part >= 0").groupBy("part").applyInArrow(_summed, "x long, shared long").withColumnRenamed("x", "c")
     smallest = F.ceil(F.col("size") * PERCENT / 100)
     need = F.greatest(F.lit(1), F.floor(smallest * SPARE / 100))
     left = kept(reps.join(counts, "c").where(F.col("shared") >= need).select("c", "rep.*"))
-    few = left.count() <= s.sent
-    own = keyed(docs).select(*KEY, "text").join(F.broadcast(left) if few else left, list(KEY)).select("c", "text")
+    own = keyed(docs).select(*KEY, "text").join(_light(left, s), list(KEY)).select("c", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that share id and text are one document
         for batch in batches:
+            c = batch.column(0).to_pylist()
+            fresh = [i for i, x in enumerate(c) if x not in seen and not seen.add(x)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 sets = [tokens(t) for t in binaries(part.column(1))]
@@ -349,15 +426,15 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
                     ["c", "n", "key", "tokens"],
                     part.column(0),
                     pa.array(map(len, sets), pa.int64()),
-                    pa.array([int(mixed(t ^ U64(0x9FB21C651E98DF25)).min().view(np.int64)) for t in sets], pa.int64()),
+                    pa.array([_min_hash(t, 0) for t in sets], pa.int64()),
                     pa.array([t.tobytes() for t in sets], pa.binary()),
                 )
 
-    # rows that share id and text are one document here
-    sets = kept(own.dropDuplicates(["c"]).mapInArrow(spell, "c long, n long, key long, tokens binary"))
-    groups, links = _grouped(sets, s)
-    links = kept(links)
-    open_ = _open(groups, components(links))
+    sets = kept(own.mapInArrow(spell, "c long, n long, key long, tokens binary"))
+    links = kept(_grouped(sets, s))
+    open_ = _open(sets, kept(components(links)), s)
+    links = kept(links.unionByName(_again(open_, s)))
+    open_ = _open(sets, kept(components(links)), s)
     return rows.select(*KEY, "n", "c"), links.unionByName(_cross(open_, s))
 
 
