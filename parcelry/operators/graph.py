@@ -60,21 +60,23 @@ def components(vertices: DataFrame, edges: DataFrame, key: str | None = None) ->
     return vertices.join(now.select(F.col("a").alias("id"), F.col("b").alias("_c")), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
 
 
-def frontier(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, order: Column | None = None, limit: int = 10_000) -> DataFrame:
-    """Growth from seeds (id, owner) over the graph, all owners a step at a time: id, owner, depth.
+def frontier(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Breadth-first growth from seeds (id, owner) over the graph: id, owner, depth.
 
-    A vertex that several owners reach in one step goes to the least by `order` (of the struct owner), else the smallest owner.
+    It equals a queue that starts with the seeds in id order and takes neighbours in id order: a vertex gets the owner of
+    the neighbour that was queued first. The place in the queue is the path of ids from the seed; paths of one depth
+    compare like places. A step is a join and a minimum, so a whole depth is taken at once.
     """
-    two = both_ways(induced(vertices, edges))
-    done = kept(seeds.select("id", "owner", F.lit(0).alias("depth")))
-    last = done
+    two = kept(both_ways(induced(vertices, edges)))
+    last = kept(seeds.select("id", "owner", F.array(F.col("id")).alias("path")))
+    done = kept(last.select("id", "owner", F.lit(0).alias("depth")))
     for depth in range(1, limit + 1):
-        reach = last.join(two, last["id"] == two["a"]).select(F.col("b").alias("id"), "owner").join(done, "id", "left_anti")
-        pick = F.min("owner") if order is None else F.min_by("owner", order)
-        last = kept(reach.groupBy("id").agg(pick.alias("owner")).withColumn("depth", F.lit(depth)))
+        reach = last.join(two, last["id"] == two["a"]).select(F.col("b").alias("id"), "path", "owner").join(done, "id", "left_anti")
+        best = reach.groupBy("id").agg(F.min(F.struct("path", "owner")).alias("p"))
+        last = kept(best.select("id", "p.owner", F.array_append("p.path", F.col("id")).alias("path")))
         if last.isEmpty():
             break
-        done = kept(done.unionByName(last))
+        done = kept(done.unionByName(last.select("id", "owner", F.lit(depth).alias("depth"))))
     return done
 
 
@@ -219,19 +221,25 @@ def nearest(points: DataFrame, sites: DataFrame, x: str = "x", y: str = "y") ->
 
 
 def k_means(points: DataFrame, k: int, weight: str, rounds: int = 50, x: str = "x", y: str = "y") -> DataFrame:
-    """k weighted centres: farthest-point starts, then assignment and weighted means until nothing moves. Only centres are on the driver."""
+    """k weighted centres: the heaviest point, then by weight times squared distance the farthest; then assignment and weighted means until nothing moves. Only centres are on the driver."""
     spark = points.sparkSession
     p = kept(points.select("id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w")))
+    if p.where("w > 0").isEmpty():
+        p = p.withColumn("w", F.lit(1.0))
     first = p.orderBy(F.desc("w"), "id").first()
     if first is None:
-        return spark.createDataFrame([], "id int, x double, y double")
+        return spark.createDataFrame([], "i int, x double, y double")
     centres = [(first.x, first.y)]
     while len(centres) < k:
-        d = F.least(*(F.pow(F.col("x") - a, F.lit(2)) + F.pow(F.col("y") - b, F.lit(2)) for a, b in centres)) if len(centres) > 1 else F.pow(F.col("x") - centres[0][0], F.lit(2)) + F.pow(F.col("y") - centres[0][1], F.lit(2))
-        far = p.select("id", "x", "y", d.alias("d")).orderBy(F.desc("d"), "id").first()
-        if far.d <= 0:
+        d = F.array_min(F.array(*(F.pow(F.col("x") - a, F.lit(2)) + F.pow(F.col("y") - b, F.lit(2)) for a, b in centres)))
+        far = p.select("x", "y", "id", "w", d.alias("d"))
+        best = far.orderBy(F.desc(F.col("w") * F.col("d")), "id").first()
+        if best.w * best.d <= 0:
+            best = far.orderBy(F.desc("d"), "id").first()
+        if best.d <= 0:
             break
-        centres.append((far.x, far.y))
+        centres.append((best.x, best.y))
+    p = p.where("w > 0")
     for _ in range(rounds):
         near = F.array_min(F.array(*(F.struct((F.pow(F.col("x") - a, F.lit(2)) + F.pow(F.col("y") - b, F.lit(2))).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(centres))))["i"]
         rows = p.groupBy(near.alias("i")).agg(F.sum("w").alias("w"), F.sum(F.col("x") * F.col("w")).alias("sx"), F.sum(F.col("y") * F.col("w")).alias("sy"), F.avg("x").alias("ax"), F.avg("y").alias("ay")).collect()
@@ -241,4 +249,4 @@ def k_means(points: DataFrame, k: int, weight: str, rounds: int = 50, x: str = "
         if all(abs(a - c) + abs(b - d) < 1e-9 for (a, b), (c, d) in zip(new, centres, strict=True)):
             break
         centres = new
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(centres)], "id int, x double, y double")
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(centres)], "i int, x double, y double")

@@ -49,10 +49,20 @@ def test_components_ignore_vertices_that_are_not_there(spark):
     assert {r.id: r.component for r in graph.components(v, e).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
 
 
-def test_growth_ties_go_to_the_smaller_owner(spark):
-    v, e = graph_of(spark, 5, [(0, 1), (1, 2), (2, 3), (3, 4)])
-    seeds = spark.createDataFrame([(0, 7), (4, 5)], "id int, owner int")
-    assert {r.id: (r.owner, r.depth) for r in graph.frontier(v, e, seeds).collect()} == {0: (7, 0), 1: (7, 1), 2: (5, 2), 3: (5, 1), 4: (5, 0)}
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_growth_as_a_queue(spark, seed):
+    rng = random.Random(seed)
+    edges = [(a, b) for a, b in itertools.combinations(range(18), 2) if rng.random() < 0.14]
+    owner = {i: rng.randint(1, 3) for i in rng.sample(range(18), 4)}
+    v, e = graph_of(spark, 18, edges)
+    got = {r.id: r.owner for r in graph.frontier(v, e, spark.createDataFrame(list(owner.items()), "id int, owner int")).collect()}
+    queue = sorted(owner)
+    for z in queue:
+        for y in sorted({x for p in edges if z in p for x in p} - {z}):
+            if y not in owner:
+                owner[y] = owner[z]
+                queue.append(y)
+    assert got == owner
 
 
 def test_subsets_with_a_cap(spark):
