@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 U64 = np.uint64
+#: The C library's way to return freed memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Odd multipliers of the multilinear hashes (drawn once, any odd numbers do).
 ODD = np.random.default_rng(20).integers(0, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -55,6 +59,23 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which releases memory when a partition ends."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return out
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True in the fold that no label is learnt from: crc32(doc_id as text) mod 5 is 0. A null doc_id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -9,7 +9,6 @@ linear up to the softmax, so a word's part in the class margin is one number, wo
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,13 +16,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from parcelry.llm.common import binaries, held_out, sample, words
+from parcelry.llm.common import ODD, U64, binaries, hashes, held_out, lean, mixed, sample, words
 
-#: Distinct words whose features a worker remembers; beyond, it starts over. A matter of speed only.
-REMEMBERED = 400_000
+#: Texts that are scored together.
+TEXTS = 500
 
 
 #: How often a word that repeats the one before counts as the feature of doing so.
@@ -46,11 +44,26 @@ class Settings:
     seed: int = 1
 
 
-def features(word: bytes, s: Settings) -> list[int]:
-    """The table rows of a word and of the n-grams of its bytes between < and >."""
-    h, mask = xxhash.xxh3_64_intdigest, s.rows - 1
-    marked = b"<" + word[:64] + b">"
-    return [h(word) & mask] + [h(marked[i : i + n], n) & mask for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)]
+def features(own: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The table rows of words and of the n-grams of their bytes (64 at most) between < and >: all rows, word by word, and how many each has."""
+    cut = [w[:64] for w in own]
+    size = np.fromiter(map(len, cut), np.int64, len(cut)) + 2
+    data = np.frombuffer(b"<" + b"><".join(cut) + b">" + bytes(s.longest), np.uint8).astype(np.uint64)
+    total = int(size.sum())
+    left = np.repeat(np.cumsum(size), size) - np.arange(total)  # bytes from here to the word's end
+    rows = [mixed(hashes(own)) & U64(s.rows - 1)]
+    word = [np.arange(len(own))]
+    of = np.repeat(np.arange(len(own)), size)
+    for n in range(s.shortest, s.longest + 1):
+        h = np.full(total, ODD[n], U64)
+        for j in range(n):
+            h += data[j : j + total] * ODD[8 * n + j]
+        on = left >= n
+        rows.append(mixed(h[on]) & U64(s.rows - 1))
+        word.append(of[on])
+    at = np.concatenate(word)
+    order = np.argsort(at, kind="stable")
+    return np.concatenate(rows)[order].astype(np.int64), np.bincount(at, minlength=len(own))
 
 
 def repeats(own: list[bytes]) -> int:
@@ -58,32 +71,32 @@ def repeats(own: list[bytes]) -> int:
 
 
 def repeat_row(s: Settings) -> int:
-    return xxhash.xxh3_64_intdigest(b" ", 2) & s.rows - 1
+    return s.rows // 3
 
 
 class Model:
     """The margin (log odds of class 1 against 0) of each table row, and the bias."""
 
     def __init__(self, margin: np.ndarray, bias: float, s: Settings):
-        self.margin, self.bias, self.s, self.known = margin, bias, s, {}
-
-    def score(self, text: bytes | None) -> float:
-        own = words(text)
-        if not own:
-            return float(1 / (1 + np.exp(-self.bias)))
-        known = self.known
-        parts = []
-        for w in own:
-            got = known.get(w)
-            if got is None:
-                f = features(w, self.s)
-                got = known[w] = complex(float(self.margin[f].sum()), len(f))
-            parts.append(got)
-        again = repeats(own)
-        total = sum(parts) + complex(again * float(self.margin[repeat_row(self.s)]), again)
-        if len(known) > REMEMBERED:
-            known.clear()
-        return float(1 / (1 + np.exp(-(self.bias + total.real / total.imag))))
+        self.margin, self.bias, self.s = margin, bias, s
+        self.again = float(margin[repeat_row(s)])
+
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        """P(class 1) of each text; a word's part is worked out once for all of them."""
+        split = [words(t) for t in texts]
+        own = list({w for x in split for w in x})
+        part: dict[bytes, complex] = {}
+        if own:
+            rows, n = features(own, self.s)
+            sums = np.add.reduceat(self.margin[rows], np.cumsum(n) - n)
+            part = dict(zip(own, (sums + 1j * n).tolist(), strict=True))
+        z = np.full(len(texts), self.bias)
+        for i, x in enumerate(split):
+            if x:
+                again = repeats(x)
+                total = sum(map(part.__getitem__, x)) + complex(again * self.again, again)
+                z[i] += total.real / total.imag
+        return 1 / (1 + np.exp(-z))
 
 
 def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Model:
@@ -94,25 +107,18 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
     bias = np.array([0.0, np.log(share / (1 - share))])
     if len(set(labels)) < 2:
         return Model(np.zeros(s.rows), float(bias[1]), s)
-    ids, weights, known = [], [], {}
+    ids, weights = [], []
     for t in texts:
-        count: dict[int, int] = {}
         own = words(t)
-        for w, n in Counter(own).items():
-            f = known.get(w)
-            if f is None:
-                f = known[w] = array("I", features(w, s))
-            for i in f:
-                count[i] = count.get(i, 0) + n
-        if len(known) > 50_000:
-            known.clear()
+        count = Counter(own)
+        rows, n = features(list(count), s) if own else (np.empty(0, np.int64), np.empty(0, np.int64))
+        often = np.repeat(np.fromiter(count.values(), np.float64, len(count)), n)
         if again := repeats(own):
-            count[repeat_row(s)] = count.get(repeat_row(s), 0) + again
-        i = np.fromiter(count, np.int32, len(count))
-        c = np.fromiter(count.values(), np.float32, len(count))
-        ids.append(i)
-        weights.append(c / max(1.0, float(c.sum())))
-    known.clear()
+            rows, often = np.r_[rows, repeat_row(s)], np.r_[often, again]
+        i, at = np.unique(rows, return_inverse=True)
+        c = np.bincount(at, often, len(i))
+        ids.append(i.astype(np.int32))
+        weights.append((c / max(1.0, float(c.sum()))).astype(np.float32))
     vectors = rng.normal(0, 0.1, (s.rows, s.dim)).astype(np.float32)
     out = rng.normal(0, 0.1, (2, s.dim)).astype(np.float32)
     order, total, done = np.arange(len(y)), s.epochs * len(y), 0
@@ -152,11 +158,12 @@ def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         margin, bias, s = sent.value
         own = Model(margin.astype(np.float64), bias, s)
         for batch in batches:
-            score = np.array([own.score(t) for t in binaries(batch.column(2))], np.float64)
+            texts = binaries(batch.column(2))
+            score = np.concatenate([own.scores(texts[i : i + TEXTS]) for i in range(0, len(texts), TEXTS)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -168,6 +175,8 @@ def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         margin, bias, s = sent.value
         own = Model(margin.astype(np.float64), bias, s)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) >= threshold for t in binaries(batch.column(at))], pa.bool_()))
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                yield part.filter(pa.array(own.scores(binaries(part.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
