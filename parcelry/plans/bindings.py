@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelry.plans import audits, resolution, scores  # noqa: F401
+from parcelry.plans import audits, resolution, reviews, scores  # noqa: F401
 from parcelry.plans.registry import ORACLES, QUERIES
 
 
