@@ -282,23 +282,17 @@ cell AS (SELECT c_nationkey AS place, p_brand AS entity, floor(sum(CAST(l_extend
          FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_linenumber = 1 GROUP BY ALL),
 f AS (SELECT o_orderkey, nullif(o_custkey % 30, 29) AS company, c_mktsegment AS label, c_nationkey AS place, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 17 END AS code
       FROM orders JOIN customer ON c_custkey = o_custkey),
-k AS (SELECT company, count(*) AS n, min(entity) AS e FROM cand GROUP BY ALL),
-m AS (SELECT c.company, c.route AS label, count(DISTINCT entity) AS n, min(entity) AS e FROM cand c GROUP BY ALL),
-z0 AS (SELECT DISTINCT f.company, f.label, f.place, f.code, c.entity, cell.weight FROM f JOIN cand c ON c.company = f.company AND c.route = f.label JOIN cell ON cell.place = f.place AND cell.entity = c.entity),
-z AS (SELECT company, label, place, code, count(DISTINCT entity) AS n, min(entity) AS e FROM z0 GROUP BY ALL),
-zo AS (SELECT company, label, place, code, entity AS e FROM (SELECT *, row_number() OVER w AS r, lead(weight) OVER w AS nx FROM z0 WINDOW w AS (PARTITION BY company, label, place, code ORDER BY weight DESC, entity)) WHERE r = 1 AND weight > nx),
-cz AS (SELECT f.company, f.code, f.label, count(DISTINCT z.e) AS n, min(z.e) AS e
-       FROM (SELECT DISTINCT company, label, place, code FROM f) f JOIN m ON m.company = f.company AND m.label = f.label AND m.n > 1
-       JOIN z ON z.company = f.company AND z.label = f.label AND z.place = f.place AND z.code IS NOT DISTINCT FROM f.code AND z.n = 1 WHERE f.code IS NOT NULL GROUP BY ALL),
-r AS (SELECT f.*, CASE WHEN f.company IS NULL THEN 'NO KEY' WHEN k.n IS NULL THEN 'NO ENTITY' WHEN k.n = 1 THEN 'ONE ENTITY' WHEN m.n = 1 THEN 'MATCHED BY LABEL'
-    WHEN m.n > 1 AND z.n = 1 THEN 'MATCHED BY PLACE' WHEN m.n > 1 AND cz.n = 1 THEN 'MATCHED BY CODE' WHEN m.n > 1 AND zo.e IS NOT NULL THEN 'MOST WEIGHT AT PLACE'
-    WHEN m.n > 1 THEN 'SEVERAL MATCH' ELSE 'NONE MATCHES' END AS basis,
-  CASE WHEN k.n = 1 THEN k.e WHEN m.n = 1 THEN m.e WHEN m.n > 1 AND z.n = 1 THEN z.e WHEN m.n > 1 AND cz.n = 1 THEN cz.e WHEN m.n > 1 AND zo.e IS NOT NULL THEN zo.e END AS resolved
-  FROM f LEFT JOIN k ON k.company = f.company LEFT JOIN m ON m.company = f.company AND m.label = f.label
-  LEFT JOIN z ON z.company = f.company AND z.label = f.label AND z.place = f.place AND z.code IS NOT DISTINCT FROM f.code
-  LEFT JOIN zo ON zo.company = f.company AND zo.label = f.label AND zo.place = f.place AND zo.code IS NOT DISTINCT FROM f.code
-  LEFT JOIN cz ON cz.company = f.company AND cz.label = f.label AND cz.code = f.code)"""
-
+opts AS (SELECT f.company, f.label, f.place, f.code, c.entity, c.route = f.label AS fits, cell.weight
+         FROM (SELECT DISTINCT company, label, place, code FROM f) f LEFT JOIN cand c ON c.company = f.company LEFT JOIN cell ON cell.place = f.place AND cell.entity = c.entity),
+told AS (SELECT company, label, place, code, coalesce(list_sort(list(DISTINCT entity) FILTER (entity IS NOT NULL)), []) AS known, coalesce(list_sort(list(DISTINCT entity) FILTER (fits)), []) AS fitting,
+           coalesce(list_sort(list(DISTINCT entity) FILTER (fits AND weight IS NOT NULL)), []) AS here, coalesce(list_reverse_sort(list(DISTINCT {'w': weight, 'e': entity}) FILTER (fits AND weight IS NOT NULL)), []) AS heavy
+         FROM opts GROUP BY company, label, place, code),
+agreed AS (SELECT company, label, code, list(DISTINCT here[1]) AS names FROM told WHERE len(fitting) > 1 AND len(here) = 1 AND code IS NOT NULL GROUP BY company, label, code),
+verdict AS (SELECT told.*, CASE WHEN told.company IS NULL THEN 'NO KEY' WHEN len(known) = 0 THEN 'NO ENTITY' WHEN len(known) = 1 THEN 'ONE ENTITY' WHEN len(fitting) = 0 THEN 'NONE MATCHES' WHEN len(fitting) = 1 THEN 'MATCHED BY LABEL'
+             WHEN len(here) = 1 THEN 'MATCHED BY PLACE' WHEN len(names) = 1 THEN 'MATCHED BY CODE' WHEN len(heavy) > 1 AND heavy[1].w > heavy[2].w THEN 'MOST WEIGHT AT PLACE' ELSE 'SEVERAL MATCH' END AS basis, names
+            FROM told LEFT JOIN agreed ON agreed.company = told.company AND agreed.label = told.label AND agreed.code = told.code),
+r AS (SELECT f.*, basis, CASE basis WHEN 'ONE ENTITY' THEN known[1] WHEN 'MATCHED BY LABEL' THEN fitting[1] WHEN 'MATCHED BY PLACE' THEN here[1] WHEN 'MATCHED BY CODE' THEN names[1] WHEN 'MOST WEIGHT AT PLACE' THEN heavy[1].e END AS resolved
+      FROM f JOIN verdict v ON v.company IS NOT DISTINCT FROM f.company AND v.label = f.label AND v.place = f.place AND v.code IS NOT DISTINCT FROM f.code)"""
 
 def facts_resolved(spark, d):
     p, o, c = t(spark, d, "part"), t(spark, d, "orders"), t(spark, d, "customer")
