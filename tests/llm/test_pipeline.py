@@ -1,6 +1,12 @@
+import hashlib
 import random
 
+import pytest
+from test_superkmers import brute as words_left
+from test_tokengroups import brute as component_of
+
 import corpus_pipeline
+from parcelry.llm import mixing
 from parcelry.llm.common import kept
 
 
@@ -35,11 +41,25 @@ def test_stages(spark, tmp_path):
         if i < 4:
             assert out.schema.simpleString() == docs.schema.simpleString()
         docs = kept(out)
-        seen[i] = {r.doc_id: r for r in docs.collect()}
+        rows_ = docs.collect()
+        seen[i] = {r.doc_id: r for r in rows_}
+        if i == 3:
+            mixed = rows_
     bad = {i for i in range(160) if i % 4 == 3}
     assert not bad & set(seen[0]) and set(range(160)) - bad <= set(seen[0])
     assert {0, 1, 202, 203} <= set(seen[1]) and not {200, 201} & set(seen[1])
     assert seen[2][202].text == rows[162][1] and len(seen[2][203].text.split()) == 90 and seen[2][203].n_chars == len(seen[2][203].text)
+    # brute force over what each stage got
+    texts = lambda i: [(d, r.text) for d, r in seen[i].items()]
+    assert set(seen[1]) == {least for _, _, least in component_of(texts(0))}
+    left = {d: (n - gone, sha) for d, n, gone, sha in words_left(texts(1), 20)}
+    assert set(seen[2]) == {d for d, (n, _) in left.items() if n or not seen[1][d].text}
+    assert all(hashlib.sha256(" ".join((r.text or "").split()).encode()).hexdigest() == left[d][1] for d, r in seen[2].items())
+    size = lambda rows, source: sum(len((r.text or "").split()) for r in rows if r.source == source)
+    sources = ["s0", "s1", "s2", None]
+    have = [size(seen[2].values(), s) for s in sources]
+    for source, n, target in zip(sources, have, mixing.targets(have), strict=True):
+        assert size(mixed, source) == pytest.approx(target, abs=max(60, 0.02 * n))
     assert set(seen[3]) <= set(seen[2])
     assert all(len(r.ids) == 4 * r.n_tokens for r in seen[4].values())
     whole = corpus_pipeline.run(spark, str(tmp_path))
