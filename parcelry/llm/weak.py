@@ -11,19 +11,19 @@ Which lexicon entries become voters is mined from labelled rows outside the held
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
-from parcelry.llm.common import binaries, held_out, sample, words
+from parcelry.llm.common import binaries, held_out, lean, sample, words
 
 #: Distinct words whose features a worker remembers; beyond, it starts over. A matter of speed only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 #: Voters that correlate more than this, given the class, see the same thing and share one voice.
@@ -41,8 +41,8 @@ PATTERNS = {
 @dataclass(frozen=True)
 class Settings:
     #: Most labelled rows that are learnt from, the first by a hash of their id, and most bytes of their texts.
-    sample: int = 8_000
-    sample_bytes: int = 24_000_000
+    sample: int = 5_000
+    sample_bytes: int = 16_000_000
     voters: int = 60
     features: int = 2_048
     #: Standard deviations by which an entry's posterior labels must exceed chance for the classifier to use it.
@@ -61,36 +61,64 @@ def entries(word: bytes, s: Settings) -> list[bytes]:
     return [w, *(w[:n] + b"-" for n in range(s.shortest, s.longest + 1) if len(w) > n)] if w else []
 
 
-def _shown(text: bytes, s: Settings, known: dict[bytes, list[bytes]]) -> set[bytes]:
-    out: set[bytes] = set()
-    for w in set(words(text)):
-        got = known.get(w)
-        if got is None:
-            got = known[w] = entries(w, s)
-        out.update(got)
-    return out
-
-
-def mined(shown: list[set[bytes]], y: np.ndarray, s: Settings) -> list[bytes]:
-    """Lexicon voters: the entries that most set class 1 apart, one at a time, each time after the texts of class 1 that it explains are set aside twice."""
-    one, zero = Counter(), Counter()
-    for own, label in zip(shown, y, strict=True):
-        (one if label else zero).update(own)
+class Shown:
+    """Which entries each text shows; only entries that `least` texts show are kept, as numbers."""
+
+    def __init__(self, texts: list[bytes], s: Settings):
+        known: dict[bytes, list[int]] = {}
+        rows = []
+        for t in texts:
+            own: set[int] = set()
+            for w in set(words(t)):
+                got = known.get(w)
+                if got is None:
+                    got = known[w] = [xxhash.xxh3_64_intdigest(e) for e in entries(w, s)]
+                own.update(got)
+            rows.append(np.sort(np.fromiter(own, np.uint64, len(own))))
+            if len(known) > 50_000:
+                known.clear()
+        key, n = np.unique(np.concatenate(rows), return_counts=True)
+        self.key, self.n_texts, self.s = key[n >= s.least], len(texts), s
+        for i, row in enumerate(rows):
+            rows[i] = np.flatnonzero(np.isin(self.key, row, assume_unique=True)).astype(np.int32)
+        self.rows = rows
+        self.at, self.flat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Of each entry, the weights of the texts that show it."""
+        return np.bincount(self.flat, weight[self.at], len(self.key))
+
+    def names(self, texts: list[bytes], chosen: np.ndarray) -> dict[int, bytes]:
+        want = {int(self.key[i]): int(i) for i in chosen}
+        out: dict[int, bytes] = {}
+        for t in texts:
+            if len(out) == len(want):
+                break
+            for w in set(words(t)):
+                for e in entries(w, self.s):
+                    if (i := want.get(xxhash.xxh3_64_intdigest(e))) is not None:
+                        out[i] = e
+        return out
+
+
+def mined(shown: Shown, y: np.ndarray) -> np.ndarray:
+    """Lexicon voters: the entries that most set class 1 apart, one at a time, leaving out those whose texts of class 1 others explain twice already."""
+    s = shown.s
+    one, zero = shown.sums(y.astype(float)), shown.sums(1.0 - y)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    ratio = {e: np.log((c + 0.1) / n1) - np.log((zero[e] + 0.1) / n0) for e, c in one.items() if c >= s.least}
-    good = [e for e in sorted(ratio, key=lambda e: (-ratio[e] * np.sqrt(one[e]), e)) if ratio[e] > 1.5]
-    where: dict[bytes, list[int]] = {e: [] for e in good[: 40 * s.voters]}
-    for i in np.flatnonzero(y):
-        for e in shown[i]:
-            if e in where:
-                where[e].append(int(i))
+    ratio = np.log((one + 0.1) / n1) - np.log((zero + 0.1) / n0)
+    good = np.flatnonzero((one >= s.least) & (ratio > 1.5))
+    good = good[np.lexsort((shown.key[good], -ratio[good] * np.sqrt(one[good])))][: 40 * s.voters]
+    hit = np.isin(shown.flat, good) & (y[shown.at] == 1)
+    where: dict[int, list[int]] = {int(e): [] for e in good}
+    for e, i in zip(shown.flat[hit].tolist(), shown.at[hit].tolist(), strict=True):
+        where[e].append(i)
     seen, out = np.zeros(len(y), np.int64), []
-    for e in where:
-        new = sum(seen[i] < 2 for i in where[e])
-        if new >= s.least and len(out) < s.voters:
+    for e, at in where.items():
+        if (seen[at] < 2).sum() >= s.least and len(out) < s.voters:
             out.append(e)
-            seen[where[e]] += 1
-    return out
+            seen[at] += 1
+    return np.array(out, np.int64)
 
 
 @dataclass
@@ -157,11 +185,12 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(map(weight.__getitem__, sorted(hit))), -500, 500))))
 
 
-def votes_of(texts: list[bytes], shown: list[set[bytes]], lexicon: list[bytes]) -> np.ndarray:
+def votes_of(texts: list[bytes], shown: Shown, lexicon: np.ndarray) -> np.ndarray:
+    """A row for each text: the lexicon voters, the patterns, and silence."""
     patterns = [regex.compile(p) for p in PATTERNS.values()]
     out = np.zeros((len(texts), len(lexicon) + len(patterns) + 1))
-    for i, (t, own) in enumerate(zip(texts, shown, strict=True)):
-        out[i, : len(lexicon)] = [e in own for e in lexicon]
+    for i, (t, own) in enumerate(zip(texts, shown.rows, strict=True)):
+        out[i, : len(lexicon)] = np.isin(lexicon, own)
         low = t.lower()
         out[i, len(lexicon) : -1] = [bool(p.search(low)) for p in patterns]
     out[:, -1] = ~out[:, : len(lexicon)].any(axis=1)
@@ -169,50 +198,46 @@ def votes_of(texts: list[bytes], shown: list[set[bytes]], lexicon: list[bytes])
 
 
 def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Classifier:
+    """With one class only, or nothing that sets the classes apart, every text gets class 1's share."""
     y = np.array(labels, np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
     flat = Classifier({}, float(np.log(share / (1 - share))), s)
     if len(set(labels)) < 2:
         return flat
-    known: dict[bytes, list[bytes]] = {}
-    shown = [_shown(t, s, known) for t in texts]
-    known.clear()
-    lexicon = mined(shown, y, s)
-    if not lexicon:
+    shown = Shown(texts, s)
+    lexicon = mined(shown, y)
+    if not len(lexicon):
         return flat
     votes = votes_of(texts, shown, lexicon)
     model = fit(votes, share, np.r_[np.ones(len(lexicon), bool), np.zeros(len(PATTERNS) + 1, bool)], s.rounds)
     p = model.posterior(votes)
 
     # the classifier's entries: those whose presence moves the posterior most
-    mass, count = Counter(), Counter()
-    for own, q in zip(shown, p, strict=True):
-        for e in own:
-            count[e] += 1
-            if q > 0.01:
-                mass[e] += q
-    gain = {e: (mass[e] - n * p.mean()) / np.sqrt(n * p.mean() * (1 - p.mean()) + 1e-9) for e, n in count.items() if n >= s.least}
-    chosen = sorted((e for e in gain if gain[e] >= s.surprise), key=lambda e: (-gain[e], e))[: s.features]
-    if not chosen:
+    n = shown.sums(np.ones(len(y)))
+    gain = (shown.sums(p) - n * p.mean()) / np.sqrt(n * p.mean() * (1 - p.mean()) + 1e-9)
+    chosen = np.flatnonzero(gain >= s.surprise)
+    chosen = chosen[np.lexsort((shown.key[chosen], -gain[chosen]))][: s.features]
+    if not len(chosen):
         return flat
-    place = {e: i for i, e in enumerate(chosen)}
-    rows = [np.array(sorted(place[e] for e in own if e in place), np.int64) for own in shown]
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat_ids = np.concatenate(rows)
+    place = np.full(len(shown.key), -1)
+    place[chosen] = np.arange(len(chosen))
+    on = place[shown.flat] >= 0
+    at, flat_ids = shown.at[on], place[shown.flat[on]]
     w, b = np.zeros(len(chosen)), flat.bias
     size, speed = np.zeros(len(chosen)) + 1e-8, 1e-8
     for _ in range(600):  # full gradient with a step for each weight
-        z = np.bincount(at, w[flat_ids], len(rows)) + b
+        z = np.bincount(at, w[flat_ids], len(y)) + b
         back = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - p
-        g = np.bincount(flat_ids, back[at], len(chosen)) / len(rows) + 1e-6 * w
+        g = np.bincount(flat_ids, back[at], len(chosen)) / len(y) + 1e-6 * w
         size += g * g
         speed += back.mean() ** 2
         w -= 1.0 * g / np.sqrt(size)
         b -= 1.0 * back.mean() / np.sqrt(speed)
     w = np.where(np.abs(w) > 0.05, w, 0.0)
-    scale, shift = calibrated(np.bincount(at, w[flat_ids], len(rows)) + b, y)
-    keep = {e: float(scale * w[i]) for e, i in place.items() if w[i]}
-    return Classifier(keep, float(scale * b + shift), s, model, (*lexicon, *PATTERNS, "silence"))
+    scale, shift = calibrated(np.bincount(at, w[flat_ids], len(y)) + b, y)
+    names = shown.names(texts, np.r_[chosen, lexicon])
+    keep = {names[e]: float(scale * w[i]) for i, e in enumerate(chosen.tolist()) if w[i]}
+    return Classifier(keep, float(scale * b + shift), s, model, (*(names[e] for e in lexicon.tolist()), *PATTERNS, "silence"))
 
 
 def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -251,4 +276,4 @@ def scored(docs: DataFrame, model: Classifier, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
