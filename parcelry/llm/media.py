@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parcelry.llm import flac
-from parcelry.llm.common import binaries
+from parcelry.llm.common import binaries, lean
 
 #: Payloads are padded with bytes 0 to a positive multiple of this.
 UNIT = 64
@@ -48,7 +48,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(flac.encode([padded(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.selectExpr("doc_id", "text", "octet_length(text) AS size").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return docs.selectExpr("doc_id", "text", "octet_length(text) AS size").mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                 )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, block int, first_sample bigint, first_byte bigint, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(lean(run), f"doc_id {kind}, block int, first_sample bigint, first_byte bigint, pcm binary")
 
 
 def feature(payload: bytes, n_blocks: int) -> str:
@@ -107,4 +107,4 @@ def features(media: DataFrame) -> DataFrame:
 
     kind = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.selectExpr("doc_id", "n_bytes", "media", "octet_length(media) AS size").mapInArrow(run, schema)
+    return media.selectExpr("doc_id", "n_bytes", "media", "octet_length(media) AS size").mapInArrow(lean(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import kept
+from parcelry.llm.common import kept, lean
 
 #: Bounds are floats, scores integers: a bound this little below a score still counts.
 SLACK = 1e-9
@@ -165,7 +165,7 @@ def top_k(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
             away = np.sqrt(((x - objects[cell]) ** 2).sum(axis=1)) if len(x) else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(away, pa.float64())], ["vec_id", "v", "cell", "away"])
 
-    placed = kept(base.mapInArrow(assign, "vec_id long, v array<long>, cell int, away double"))
+    placed = kept(base.mapInArrow(lean(assign), "vec_id long, v array<long>, cell int, away double"))
     cells = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
     numbers = sorted(cells)
     radius = np.array([cells[c][1] for c in numbers])
@@ -216,7 +216,7 @@ def top_k(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
 
     def met(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(route(first), "query_id long, q array<long>, least double, cell int, part int")
+        sent = asked.mapInArrow(lean(route(first)), "query_id long, q array<long>, least double, cell int, part int")
         sent = sent.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "query_id"), F.lit(chunks)).cast("int"))
         by = ["cell", "part", "chunk"]
         return blocks.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score long")
