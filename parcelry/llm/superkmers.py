@@ -20,11 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, binaries, buckets_for, hashes, keyed, mixed, runs, united, windows, words
+from parcelry.llm.common import KEY, binaries, buckets_for, hashes, keyed, keys, lean, mixed, release, runs, united, windows, words
 
 K, M = 20, 3
 #: Words that a task looks at together; a longer document is looked at whole.
-TOGETHER = 1_000_000
+TOGETHER = 400_000
 #: Input bytes (as stored) for each bucket.
 BUCKET_BYTES = 2 << 20
 
@@ -73,7 +73,7 @@ def _send(group: list[tuple[int, int, bytes]], k: int, m: int, buckets: int, squ
     flat = [w for x in split for w in x]
     if not len(flat):
         return
-    keys = np.array([g[:2] for g in group], np.int64)
+    ids = np.array([g[:2] for g in group], np.int64)
     h = hashes(flat)
     begin = np.cumsum(count) - count
     n = np.maximum(count - k + 1, 0)
@@ -83,13 +83,13 @@ def _send(group: list[tuple[int, int, bytes]], k: int, m: int, buckets: int, squ
     if not len(at):
         return
     w, v, low = windows(h, k)[at], windows(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), k, salt=3)[at], minimisers(h, k, m)[at]
-    again = _repeats(keys[row, 0], start, w, v)
+    again = _repeats(ids[row, 0], start, w, v)
     first = ~again
 
     # spans known here go to a bucket too, which only passes them on
     r, s, e = _spans_of(again, row, start, k)
     if len(r):
-        yield int(keys[r[0], 0]) % buckets, b"S" + squeeze(np.stack([keys[r, 0], keys[r, 1], s, e]).tobytes())
+        yield int(ids[r[0], 0]) % buckets, b"S" + squeeze(np.stack([ids[r, 0], ids[r, 1], s, e]).tobytes())
 
     at, row, start, low = at[first], row[first], start[first], low[first]
     a, b = runs(np.r_[True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
@@ -100,7 +100,7 @@ def _send(group: list[tuple[int, int, bytes]], k: int, m: int, buckets: int, squ
     order = np.argsort(dest, kind="stable")
     dest, a, b = dest[order], a[order], b[order]
     lo, hi = offset[at[a]], offset[at[b - 1] + k] - 1
-    heads = np.stack([keys[row[a], 0], keys[row[a], 1], start[a], b - a])
+    heads = np.stack([ids[row[a], 0], ids[row[a], 1], start[a], b - a])
     for i, j in zip(*runs(np.r_[True, dest[1:] != dest[:-1]]), strict=True):
         body = b" ".join([text[x:y] for x, y in zip(lo[i:j].tolist(), hi[i:j].tolist(), strict=True)])
         yield int(dest[i]), b"K" + squeeze(struct.pack("<q", j - i) + heads[:, i:j].tobytes() + body)
@@ -137,7 +137,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     buckets = buckets_for(docs, BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(3).compress
+        squeeze = zstandard.ZstdCompressor(6).compress
         group: list[tuple[int, int, bytes]] = []
         room = TOGETHER * 6
 
@@ -158,9 +158,10 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         a, b, s, e = _meet(table, k)
+        release()
         return pa.table({"doc_key": a, "text_key": b, "first": s.astype(np.int32), "last": e.astype(np.int32)})
 
-    sent = keyed(docs).select(*KEY, "text").mapInArrow(send, "bucket int, packed binary")
+    sent = keyed(docs).select(*KEY, "text").mapInArrow(lean(send), "bucket int, packed binary")
     return sent.groupBy("bucket").applyInArrow(meet, "doc_key long, text_key long, first int, last int")
 
 
@@ -183,7 +184,7 @@ def cleaned(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     left goes.
     """
     spans = repeated_spans(docs, k, m).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    own = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_t": F.xxhash64("text")})
+    own = docs.withColumns(dict(zip(("_d", "_t"), keys(), strict=True)))
     joined = own.join(spans.withColumnsRenamed({"doc_key": "_d", "text_key": "_t"}), ["_d", "_t"], "left").drop("_d", "_t")
     names, at = docs.columns, docs.columns.index("text")
 
@@ -201,7 +202,7 @@ def cleaned(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
             stays = pa.array([not f or bool(t) for t, f in zip(texts, spans, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
 
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_spans").mapInArrow(lean(cut), docs.schema)
 
 
 def deduplicated(docs: DataFrame, k: int = K, m: int = M, digest: bool = False) -> DataFrame:
@@ -229,4 +230,4 @@ def deduplicated(docs: DataFrame, k: int = K, m: int = M, digest: bool = False)
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(docs, k, m).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = keyed(docs).join(spans, list(KEY), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, {name} string")
+    return joined.mapInArrow(lean(cut), f"doc_id {kind}, n_words long, n_removed long, {name} string")
