@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import WORD, kept
+from parcelry.llm.common import WORD, bucket_count, kept
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -157,12 +157,16 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> Mix:
     row = ["doc_id", "fp", "copy", "size", "pass", "shard"]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        """Of a block that is taken in part, the rows that still fit, in permuted order."""
+        """Of a block that is taken in part, the rows that still fit, in permuted order, and the smallest left over if that comes nearer."""
         group = group.sort_values(["order", "doc_id", "fp", "copy"], kind="stable")
         left, take = int(group["room"].iloc[0]), []
         for n in group["size"]:
             take.append(n <= left)
             left -= n if n <= left else 0
+        over = [i for i, t in enumerate(take) if not t]
+        if over:
+            i = min(over, key=lambda i: group["size"].iloc[i])
+            take[i] = bool(group["size"].iloc[i] - left < left)
         return group.loc[take, row]
 
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
@@ -183,7 +187,8 @@ def taken(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def mixed(docs: DataFrame, s: Settings = Settings(), shuffled: bool = True) -> DataFrame:
     """The mix itself: the rows of docs with all their columns, each as often as it is taken.
 
-    shuffled: a shard's rows lie together in one partition, in the shard's shuffled order.
+    shuffled: a partition has a stretch of one shard's shuffled order. There are as many stretches as the session has
+    shuffle partitions, and one for each shard at least.
     """
     m = mix(docs, s)
     number = Window.partitionBy("doc_id", "_fp").orderBy(F.lit(0))
@@ -192,5 +197,7 @@ def mixed(docs: DataFrame, s: Settings = Settings(), shuffled: bool = True) -> D
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")) & (F.col("_copy") == F.col("_c"))
     out = own.join(draws, on)
     if shuffled:
-        out = out.repartition(s.shards, "_shard").sortWithinPartitions("_shard", "_place")
+        each = -(-bucket_count(docs.sparkSession) // s.shards)
+        stretch = F.floor((F.col("_place").cast("double") / 2.0**64 + 0.5) * each)
+        out = out.withColumn("_stretch", stretch).repartition(s.shards * each, "_shard", "_stretch").sortWithinPartitions("_shard", "_stretch", "_place")
     return out.select(*docs.columns)
