@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelry.llm import byte_bpe, mixing, subword, superkmers, tokengroups
-from parcelry.llm.common import kept, table
+from parcelry.llm.common import kept, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose score is below this goes.
@@ -25,22 +25,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id. Documents without words are no duplicates."""
+    small_batches(spark)
     return tokengroups.deduplicated(docs.select(COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words or more that came before; a document of which nothing is left goes."""
+    small_batches(spark)
     return superkmers.cleaned(docs.select(COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mix of sources takes it."""
+    small_batches(spark)
     return mixing.mixed(docs.select(COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is trained on: doc_id, source, the token ids, and how many they are. Text that the ids don't decode to raises."""
-    return byte_bpe.tokenised(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    small_batches(spark)
+    return byte_bpe.tokenised(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, remembered=200_000)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", substrings), ("mixing sources to target weights", mixture), ("byte-level BPE encoding and decoding", encode)]

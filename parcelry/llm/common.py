@@ -23,7 +23,19 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 ODD = np.random.default_rng(20).integers(0, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
+#: Rows of an Arrow batch. Texts are long: with Spark's default of 10,000, batches alone would take an executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS, if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -90,11 +102,15 @@ def shared_folder(spark: SparkSession) -> str:
     return set_to
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: later steps read files that outlive any executor."""
+def kept(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: later steps read files that outlive any executor.
+
+    Into few files, each from several partitions of df: a shared store suffers from many small ones. By default a file
+    for each core, or for eight shuffle partitions if these are more.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/parcelry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(files or max(spark.sparkContext.defaultParallelism, bucket_count(spark) // 8)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -117,10 +133,14 @@ def buckets_for(df: DataFrame, bytes_each: int) -> int:
 KEY = ("doc_key", "text_key")
 
 
+def keys() -> tuple[Column, Column]:
+    """The columns of KEY. 32 bits of hash are enough to tell the few rows of one id apart, and travel with every span."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), F.hash("text").cast("long")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_key, text_key, doc_id and text; a null doc_id sorts before all others."""
-    lowest = F.lit(-(2**63)).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("doc_key"), F.xxhash64("text").alias("text_key"), "doc_id", "text")
+    return docs.select(*(c.alias(k) for c, k in zip(keys(), KEY, strict=True)), "doc_id", "text")
 
 
 def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from parcelry.llm.common import kept
 
+#: Edges for each file between rounds.
+EDGES = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b), both of one integer type.
@@ -17,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     matter; no edges give no rows.
     """
     now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    files = max(1, now.count() // EDGES)
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(m, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = kept(small.distinct())
+        now = kept(small.distinct(), files)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(row) == state:
             break

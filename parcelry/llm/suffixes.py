@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, U64, binaries, buckets_for, kept, keyed, mixed, runs, united
+from parcelry.llm.common import KEY, U64, binaries, buckets_for, kept, keyed, lean, mixed, runs, united
 
 LENGTH = 400
 #: Bytes of text that a task looks at together; a longer document is looked at whole.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 BUCKET_BYTES = 8 << 20
 
 _RNG = np.random.default_rng(9)
@@ -279,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         none = np.full(s.shape[1], -1)
         return pa.table({"doc_key": np.r_[f[1], s[0]], "text_key": np.r_[f[2], s[1]], "at": np.r_[f[3], none].astype(np.int32), "first": np.r_[f[4], s[2]].astype(np.int32), "last": np.r_[f[5], s[3]].astype(np.int32)})
 
-    screened = kept(own.mapInArrow(send, "bucket int, packed binary").groupBy("bucket").applyInArrow(screen, "doc_key long, text_key long, at int, first int, last int"))
+    screened = kept(own.mapInArrow(lean(send), "bucket int, packed binary").groupBy("bucket").applyInArrow(screen, "doc_key long, text_key long, at int, first int, last int"))
     wanted = screened.where("at >= 0").groupBy(*KEY).agg(F.collect_set(F.struct("at", "first", "last")).alias("records"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         hit = least >= 0
         return pa.table({"doc_key": head[1][hit], "text_key": head[2][hit], "first": (p - most)[hit].astype(np.int32), "last": (p - least + length)[hit].astype(np.int32)})
 
-    suffixes = own.join(wanted, list(KEY)).select(*KEY, "text", "records").mapInArrow(sort, "bucket int, packed binary")
+    suffixes = own.join(wanted, list(KEY)).select(*KEY, "text", "records").mapInArrow(lean(sort), "bucket int, packed binary")
     found = suffixes.groupBy("bucket").applyInArrow(meet, "doc_key long, text_key long, first int, last int")
     return screened.where("at < 0").drop("at").unionByName(found)
 
@@ -367,4 +367,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, digest: bool = False) ->
     spans = repeated_spans(docs, length).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = keyed(docs).join(spans, list(KEY), "left").select("doc_id", "text", "spans")
     tail = "kept_sha256 string" if digest else "spans array<struct<first: int, last: int>>, kept binary"
-    return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, {tail}")
+    return joined.mapInArrow(lean(cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, {tail}")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, U64, binaries, buckets_for, hashes, kept, keyed, mixed, windows, words
+from parcelry.llm.common import KEY, U64, binaries, buckets_for, hashes, kept, keyed, keys, lean, mixed, windows, words
 from parcelry.llm.components import components
 
 WORDS = 5
@@ -179,7 +179,7 @@ def _screen(docs: DataFrame) -> DataFrame:
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
     parts = _parts(buckets)
-    sent = keyed(docs).select(*KEY, "text").mapInArrow(send, "bucket int, packed binary")
+    sent = keyed(docs).select(*KEY, "text").mapInArrow(lean(send), "bucket int, packed binary")
     return kept(sent.groupBy("bucket").applyInArrow(count, "part int, packed binary"))
 
 
@@ -199,13 +199,14 @@ def _dealt(owner: np.ndarray, n: np.ndarray, parts: int) -> list[tuple[int, byte
     order = np.argsort(to, kind="stable")
     to, owner, n = to[order], owner[order], n[order]
     edges = np.r_[0, np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)] if len(to) else np.zeros(1, np.int64)
-    return [(int(to[i]), np.stack([owner[i:j], n[i:j]]).astype(np.int64).tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return [(int(to[i]), owner[i:j].tobytes() + n[i:j].astype(np.int32).tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _summed(table: pa.Table) -> pa.Table:
     """The counts that all buckets have for a part's owners, summed."""
-    got = [np.frombuffer(b, np.int64).reshape(2, -1) for b in table.column("packed").to_pylist()]
-    owner, n = np.concatenate(got, axis=1) if got else np.empty((2, 0), np.int64)
+    blobs = table.column("packed").to_pylist()
+    owner = np.concatenate([np.frombuffer(b, np.int64, len(b) // 12) for b in blobs])
+    n = np.concatenate([np.frombuffer(b, np.int32, len(b) // 12, len(b) // 12 * 8) for b in blobs])
     owner, at = np.unique(owner, return_inverse=True)
     return pa.table({"x": owner, "shared": np.bincount(at, n, len(owner)).astype(np.int64)})
 
@@ -216,14 +217,14 @@ def class_of(t: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=U64).view(np.int64)), int(mixed(a).sum(dtype=U64).view(np.int64))
 
 
-def _lead(table: pa.Table, s: Settings) -> pa.Table:
-    """Of documents that are compared together, the leaders (with their tokens) and links to them: c, leader, n, key, tokens."""
+def _lead(table: pa.Table, bodies: bool) -> pa.Table:
+    """Of documents that are compared together, the leaders (with their tokens, if bodies) and links to them: c, leader, n, key, tokens."""
     table = table.sort_by("c")
     c, n = table.column("c").to_pylist(), table.column("n").to_pylist()
     raw = table.column("tokens").to_pylist()
     post: dict[int, list[int]] = {}
     leaders: list[int] = []
-    a, b, size, bodies = [], [], [], []
+    a, b, size, own = [], [], [], []
     for i, body in enumerate(raw):
         t = np.frombuffer(body, U64).tolist()
         hits = [x for k in t if (p := post.get(k)) for x in p]
@@ -237,12 +238,12 @@ def _lead(table: pa.Table, s: Settings) -> pa.Table:
                 post.setdefault(k, []).append(len(leaders))
             leaders.append(i)
             to = [len(leaders) - 1]
-        for nth, x in enumerate(to):
+        for x in to:
             a.append(c[i])
             b.append(c[leaders[x]])
             size.append(n[i])
-            bodies.append(body if nth == 0 and to == [len(leaders) - 1] and leaders[-1] == i else None)
-    return pa.table({"c": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64()), "n": pa.array(size, pa.int64()), "key": pa.array([table.column("key")[0].as_py()] * len(a), pa.int64()), "tokens": pa.array(bodies, pa.binary())})
+            own.append(body if bodies and leaders[-1] == i else None)
+    return pa.table({"c": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64()), "n": pa.array(size, pa.int64()), "key": pa.array([table.column("key")[0].as_py()] * len(a), pa.int64()), "tokens": pa.array(own, pa.binary())})
 
 
 LED = "c long, leader long, n long, key long, tokens binary"
@@ -256,17 +257,18 @@ def _grouped(sets: DataFrame, s: Settings) -> DataFrame:
         part = F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1)))
         return df.join(large, "key", "left").withColumn("part", part).drop("parts"), large
 
-    def lead(df: DataFrame) -> DataFrame:
-        return kept(df.groupBy("key", "part").applyInArrow(lambda t: _lead(t, s), LED))
+    def lead(df: DataFrame, bodies: bool) -> DataFrame:
+        return kept(df.groupBy("key", "part").applyInArrow(lambda t: _lead(t, bodies), LED))
 
     parted, large = chunked(sets)
-    first = lead(parted)
-    links, now = first, first
-    while not large.isEmpty():  # the leaders of chunks meet; a level must halve them to be worth another
+    more = not large.isEmpty()
+    links = now = lead(parted, more)
+    while more:  # the leaders of chunks meet; a level must halve them to be worth another
         again = now.where("tokens is not null").join(large.select("key"), "key", "left_semi").select("c", "n", "key", "tokens")
         before = again.count()
         parted, large = chunked(again)
-        now = lead(parted)
+        more = not large.isEmpty()
+        now = lead(parted, True)
         links = links.unionByName(now)
         if now.where("tokens is not null").count() * 2 > before:
             break
@@ -301,7 +303,7 @@ def _open(sets: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
     parts = _parts(buckets)
-    sent = known.select("c", "component", "tokens").mapInArrow(send, "bucket int, packed binary")
+    sent = known.select("c", "component", "tokens").mapInArrow(lean(send), "bucket int, packed binary")
     counts = sent.groupBy("bucket").applyInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(_summed, "x long, shared long")
     sizes = sets.select(F.col("c").alias("x"), "n").distinct()
     enough = kept(counts.join(sizes, "x").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("x"))
@@ -330,7 +332,7 @@ def _cross(open_: DataFrame, s: Settings) -> DataFrame:
                 prefix_ = pa.array([n - least_shared(n) + 1 for n in part.column(1).to_pylist()], pa.int32())
                 yield _batch(["token", "c", "rank", "prefix"], pa.array(np.concatenate(sets)), part.column(0).take(row), part.column(3).take(row), prefix_.take(row))
 
-    spelt = ranked.select("c", "n", "tokens", "rank").mapInArrow(spell, "token long, c long, rank long, prefix int")
+    spelt = ranked.select("c", "n", "tokens", "rank").mapInArrow(lean(spell), "token long, c long, rank long, prefix int")
     df = spelt.groupBy("token").agg(F.count("*").cast("int").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high")).where("low <> high").drop("low")
     order = F.row_number().over(Window.partitionBy("c").orderBy(F.col("df").asc_nulls_first(), "token"))
     told = kept(spelt.join(df, "token", "left").withColumn("place", order).where("df is not null"))
@@ -384,7 +386,7 @@ def _cross(open_: DataFrame, s: Settings) -> DataFrame:
 def _again(open_: DataFrame, s: Settings) -> DataFrame:
     """More links a, b: the open documents by further min-hashes."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -393,7 +395,7 @@ def _again(open_: DataFrame, s: Settings) -> DataFrame:
                 key = [int(_min_hash(t, 1 + j)) for t in sets for j in range(s.hashes)]
                 yield _batch(["c", "n", "key", "tokens"], part.column(0).take(row), part.column(1).take(row), pa.array(key, pa.int64()), part.column(2).take(row))
 
-    return _grouped(open_.select("c", "n", "tokens").mapInArrow(keys, "c long, n long, key long, tokens binary"), s)
+    return _grouped(open_.select("c", "n", "tokens").mapInArrow(lean(hashed), "c long, n long, key long, tokens binary"), s)
 
 
 def _min_hash(t: np.ndarray, nth: int) -> int:
@@ -405,7 +407,7 @@ def _min_hash(t: np.ndarray, nth: int) -> int:
 def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_key, text_key, n, c (a class) of every row; links a, b between classes that join all that is reachable."""
     screened = _screen(docs)
-    rows = screened.where("part = -1").select("packed").mapInArrow(_unpacked, "doc_key long, text_key long, n long, c long, c2 long")
+    rows = screened.where("part = -1").select("packed").mapInArrow(lean(_unpacked), "doc_key long, text_key long, n long, c long, c2 long")
     reps = rows.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("size"))
     counts = screened.where("part >= 0").groupBy("part").applyInArrow(_summed, "x long, shared long").withColumnRenamed("x", "c")
     smallest = F.ceil(F.col("size") * PERCENT / 100)
@@ -430,7 +432,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
                     pa.array([t.tobytes() for t in sets], pa.binary()),
                 )
 
-    sets = kept(own.mapInArrow(spell, "c long, n long, key long, tokens binary"))
+    sets = kept(own.mapInArrow(lean(spell), "c long, n long, key long, tokens binary"))
     links = kept(_grouped(sets, s))
     open_ = _open(sets, kept(components(links)), s)
     links = kept(links.unionByName(_again(open_, s)))
@@ -454,8 +456,8 @@ def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = _labelled(docs, s)
     first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*", F.lit(True).alias("_one"))
     empty = rows.where("n = 0").select(*KEY, F.lit(False).alias("_one")).distinct()
-    keys = first.unionByName(empty).withColumnsRenamed({"doc_key": "_d", "text_key": "_t"})
-    own = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_t": F.xxhash64("text")}).join(keys, ["_d", "_t"])
+    stay = first.unionByName(empty).withColumnsRenamed({"doc_key": "_d", "text_key": "_t"})
+    own = docs.withColumns(dict(zip(("_d", "_t"), keys(), strict=True))).join(stay, ["_d", "_t"])
     nth = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))
     return own.withColumn("_nth", nth).where(~F.col("_one") | (F.col("_nth") == 1)).select(*docs.columns)
 
