@@ -143,10 +143,22 @@ e AS (SELECT DISTINCT x.district AS a, y.district AS b FROM sh x JOIN sh y USING
 SELECT d AS district, min(root) AS component FROM r GROUP BY ALL
 """)
 def exchange_components(spark, d):
+    """Of a few customers only, as its SQL says; exchange_components_whole takes them all."""
     c = t(spark, d, "customer").where("c_custkey % 60 < 40 AND c_nationkey < 6 AND c_custkey < 400")
     return planning.exchange_components(c.select(F.col("c_nationkey").alias("unit"), (F.col("c_custkey") % 60).alias("district"), F.lit(1.0).alias("share")))
 
 
+@query("""
+WITH RECURSIVE sh AS (SELECT DISTINCT c_nationkey AS unit, c_nationkey % 5 + 5 * (c_custkey % 12) AS district FROM customer),
+e AS (SELECT DISTINCT x.district AS a, y.district AS b FROM sh x JOIN sh y USING (unit)), r(d, root) AS (SELECT DISTINCT district, district FROM sh UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.d AND r.root <= e.b)
+SELECT d AS district, min(root) AS component FROM r GROUP BY ALL
+""")
+def exchange_components_whole(spark, d):
+    """Over all customers. Nations of one remainder share districts, so that the whole table has several components."""
+    unit = F.col("c_nationkey")
+    return planning.exchange_components(t(spark, d, "customer").select(unit.alias("unit"), (unit % 5 + 5 * (F.col("c_custkey") % 12)).alias("district"), F.lit(1.0).alias("share")))
+
+
 _sup = "sup AS (SELECT DISTINCT s_suppkey % 15 AS support, s_nationkey AS unit FROM supplier)"
 
 
