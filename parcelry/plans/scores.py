@@ -428,6 +428,17 @@ def support_model(spark, d):
     return ledger.support_rows(s, s.select("channel").distinct().withColumn("k", F.lit(3)))
 
 
+@query("""
+WITH s AS (SELECT c_mktsegment AS channel, c_custkey % 10 AS support, c_nationkey AS unit FROM customer GROUP BY ALL)
+SELECT 'cover:' || channel || ':' || unit AS row, 'share:' || channel || ':' || support || ':' || unit AS col, 1.0::DOUBLE AS coef FROM s
+UNION ALL SELECT DISTINCT 'count:' || channel, 'open:' || channel || ':' || support, 1.0::DOUBLE FROM s
+""")
+def support_model_whole(spark, d):
+    """The support model of all customers; support_model is of a few, as its SQL says."""
+    s = t(spark, d, "customer").select(F.col("c_mktsegment").alias("channel"), (F.col("c_custkey") % 10).alias("support"), F.col("c_nationkey").alias("unit")).distinct()
+    return ledger.support_rows(s, s.select("channel").distinct().withColumn("k", F.lit(3)))
+
+
 @query("""
 WITH a AS (SELECT p_partkey AS path, sha256(p_name) AS sha FROM part WHERE p_partkey % 5 <> 0), f AS (SELECT p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE sha256(p_name) END AS sha FROM part WHERE p_partkey % 11 <> 0)
 SELECT a.path, CASE WHEN f.sha IS NULL THEN 'missing' ELSE 'differs' END AS what FROM a LEFT JOIN f ON f.path = a.path WHERE f.sha IS DISTINCT FROM a.sha

@@ -12,3 +12,11 @@ def test_exchange_components_whole(spark, tmp_path):
     frame(spark, [(41, 7), (450, 7), (5010, 12), (451, 12), (5000, 20), (5001, 24)], "c_custkey long, c_nationkey int", tmp_path, "customer")
     got = {(r.district, r.component) for r in bindings.queries()["exchange_components_whole"](spark, str(tmp_path)).collect()}
     assert got == {(27, 27), (32, 27), (37, 27), (40, 40), (49, 49)}
+
+
+def test_support_model_whole(spark, tmp_path):
+    """Customers from key 200 on have their columns too."""
+    frame(spark, [(3, "A", 1), (200, "A", 1), (12345, "B", 2)], "c_custkey long, c_mktsegment string, c_nationkey int", tmp_path, "customer")
+    got = {(r.row, r.col) for r in bindings.queries()["support_model_whole"](spark, str(tmp_path)).collect()}
+    shares = {("cover:A:1", "share:A:3:1"), ("cover:A:1", "share:A:0:1"), ("cover:B:2", "share:B:5:2")}
+    assert got == shares | {("count:A", "open:A:3"), ("count:A", "open:A:0"), ("count:B", "open:B:5")}
