@@ -180,14 +180,28 @@ WITH {LEDGER}, want AS (SELECT DISTINCT l.zip, f.fine FROM ledger l CROSS JOIN (
 SELECT w.zip, w.fine, coalesce(h.n, 0) AS n, CASE WHEN h.n IS NULL THEN 'missing' ELSE 'repeated' END AS what FROM want w LEFT JOIN have h ON h.zip = w.zip AND h.fine = w.fine WHERE coalesce(h.n, 0) <> 1
 """)
 def exactly_once(spark, d):
-    """Every vertex has each fine channel exactly once in the ledger; what hasn't."""
+    """Every vertex has each fine channel exactly once in the ledger; what hasn't. Of some zips and channels, as its SQL says; exactly_once_whole takes them all."""
     led = the_ledger(spark, d)
-    want = led.where("zip % 6 = 0").select("zip").distinct().crossJoin(F.broadcast(led.where("fine < 'C'").select("fine").distinct()))
+    return not_once(led, led.where("zip % 6 = 0"), led.where("fine < 'C'"))
+
+
+def not_once(led, zips, fines):
+    want = zips.select("zip").distinct().crossJoin(F.broadcast(fines.select("fine").distinct()))
     have = led.groupBy("zip", "fine").agg(F.count("*").alias("n"))
     out = want.join(have, ["zip", "fine"], "left").where(F.coalesce("n", F.lit(0)) != 1)
     return out.select("zip", "fine", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), "missing").otherwise("repeated").alias("what"))
 
 
+@query(f"""
+WITH {LEDGER}, want AS (SELECT z.zip, f.fine FROM (SELECT DISTINCT zip FROM ledger) z CROSS JOIN (SELECT DISTINCT fine FROM ledger) f), have AS (SELECT zip, fine, count(*) AS n FROM ledger GROUP BY ALL)
+SELECT w.zip, w.fine, coalesce(h.n, 0) AS n, CASE WHEN h.n IS NULL THEN 'missing' ELSE 'repeated' END AS what FROM want w LEFT JOIN have h ON h.zip = w.zip AND h.fine = w.fine WHERE coalesce(h.n, 0) <> 1
+""")
+def exactly_once_whole(spark, d):
+    """Of every vertex and every fine channel of the ledger, what isn't there exactly once."""
+    led = the_ledger(spark, d)
+    return not_once(led, led, led)
+
+
 @query("""
 WITH b AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN l_orderkey % 50 = 0 THEN 0 WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS a FROM lineitem), k AS (SELECT l_orderkey, sum(a) AS s FROM b GROUP BY ALL)
 SELECT 'CHECK' AS layer, 'net-zero tickets dropped' AS part, count(*) AS n, CAST(0 AS DOUBLE) AS amount FROM k WHERE s = 0

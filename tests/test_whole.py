@@ -20,3 +20,10 @@ def test_support_model_whole(spark, tmp_path):
     got = {(r.row, r.col) for r in bindings.queries()["support_model_whole"](spark, str(tmp_path)).collect()}
     shares = {("cover:A:1", "share:A:3:1"), ("cover:A:1", "share:A:0:1"), ("cover:B:2", "share:B:5:2")}
     assert got == shares | {("count:A", "open:A:3"), ("count:A", "open:A:0"), ("count:B", "open:B:5")}
+
+
+def test_exactly_once_whole(spark, tmp_path):
+    """Missing and repeated cells of any zip and channel are told, not only those of zip % 6 = 0 and channels below C."""
+    frame(spark, [(1, "AUTO", 1, 5.0), (7, "MACHINERY", 2, 5.0), (7, "MACHINERY", 2, 5.0), (12, "AUTO", 3, 5.0), (12, "MACHINERY", 3, 5.0)], "c_custkey long, c_mktsegment string, c_nationkey int, c_acctbal double", tmp_path, "customer")
+    got = {(r.zip, r.fine, r.n, r.what) for r in bindings.queries()["exactly_once_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "MACHINERY", 0, "missing"), (7, "AUTO", 0, "missing"), (7, "MACHINERY", 2, "repeated")}
