@@ -27,3 +27,10 @@ def test_exactly_once_whole(spark, tmp_path):
     frame(spark, [(1, "AUTO", 1, 5.0), (7, "MACHINERY", 2, 5.0), (7, "MACHINERY", 2, 5.0), (12, "AUTO", 3, 5.0), (12, "MACHINERY", 3, 5.0)], "c_custkey long, c_mktsegment string, c_nationkey int, c_acctbal double", tmp_path, "customer")
     got = {(r.zip, r.fine, r.n, r.what) for r in bindings.queries()["exactly_once_whole"](spark, str(tmp_path)).collect()}
     assert got == {(1, "MACHINERY", 0, "missing"), (7, "AUTO", 0, "missing"), (7, "MACHINERY", 2, "repeated")}
+
+
+def test_fuzzy_candidates_whole(spark, tmp_path):
+    """Labels of parts of any size are candidates."""
+    frame(spark, [("blue kettle", "TIN", 50), ("red lamp", "BRASS", 5)], "p_name string, p_type string, p_size int", tmp_path, "part")
+    got = {(r.name, r.label, r.rank) for r in bindings.queries()["fuzzy_candidates_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("blue kettle", "blue kettle tin", 1), ("red lamp", "red lamp brass", 1)}
