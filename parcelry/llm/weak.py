@@ -25,6 +25,10 @@ from parcelry.llm.common import binaries, held_out, lean, sample, words
 #: Distinct words whose features a worker remembers; beyond, it starts over. A matter of speed only.
 REMEMBERED = 200_000
 EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+#: Makes EDGES spaces.
+SPACED = bytes.maketrans(EDGES, b" " * len(EDGES))
+#: A run of more bytes between spaces is taken for several words.
+LONG = 64
 
 #: Voters that correlate more than this, given the class, see the same thing and share one voice.
 SAME = 0.5
@@ -55,10 +59,29 @@ class Settings:
     seed: int = 2
 
 
-def entries(word: bytes, s: Settings) -> list[bytes]:
-    """What a word shows to the voters and the classifier: itself without edges, and its beginnings (marked by a final -)."""
-    w = word.lower().strip(EDGES)[:64]
-    return [w, *(w[:n] + b"-" for n in range(s.shortest, s.longest + 1) if len(w) > n)] if w else []
+def entries(word: bytes, s: Settings) -> Iterator[bytes]:
+    """What a word shows to the voters and the classifier: itself without edges, and its beginnings (marked by a final -).
+
+    A run of more than LONG bytes may hold many words. Each of its pieces between EDGES shows the same; a piece that is
+    still longer, of a script without spaces or packed, shows from each of its characters on what a word that begins
+    there would: itself, were it of shortest to longest bytes, and its beginnings. Entries may repeat.
+    """
+    w = word.lower().strip(EDGES)
+    if w:
+        yield w
+        yield from (w[:n] + b"-" for n in range(s.shortest, s.longest + 1) if len(w) > n)
+    if len(w) <= LONG:
+        return
+    for piece in w.translate(SPACED).split():
+        yield piece
+        inner = len(piece) if len(piece) > LONG else 1
+        for i in range(inner):
+            if piece[i] & 0xC0 != 0x80:
+                for n in range(s.shortest, s.longest + 1):
+                    if len(piece) - i > n:
+                        yield piece[i : i + n] + b"-"
+                    if inner > 1 and len(piece) - i >= n:
+                        yield piece[i : i + n]
 
 
 class Shown:
@@ -69,12 +92,16 @@ class Shown:
         rows = []
         for t in texts:
             own: set[int] = set()
+            runs: list[np.ndarray] = []
             for w in set(words(t)):
+                if len(w) > LONG:  # as an array, and not remembered: a run may be as long as its text
+                    runs.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, entries(w, s)), np.uint64)))
+                    continue
                 got = known.get(w)
                 if got is None:
                     got = known[w] = [xxhash.xxh3_64_intdigest(e) for e in entries(w, s)]
                 own.update(got)
-            rows.append(np.sort(np.fromiter(own, np.uint64, len(own))))
+            rows.append(np.unique(np.concatenate([np.fromiter(own, np.uint64, len(own)), *runs])))
             if len(known) > 50_000:
                 known.clear()
         key, n = np.unique(np.concatenate(rows), return_counts=True)
@@ -175,6 +202,9 @@ class Classifier:
         known, weight = self.known, self.weight
         hit: set[bytes] = set()
         for w in set(words(text)):
+            if len(w) > LONG:
+                hit.update(e for e in entries(w, self.s) if e in weight)
+                continue
             got = known.get(w)
             if got is None:
                 got = known[w] = [e for e in entries(w, self.s) if e in weight]
