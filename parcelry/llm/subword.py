@@ -22,6 +22,8 @@ from parcelry.llm.common import ODD, U64, binaries, hashes, held_out, lean, mixe
 
 #: Texts that are scored together.
 TEXTS = 500
+#: Bytes of words whose n-grams are hashed together: a bound of memory only.
+SLICE = 1 << 18
 
 
 #: How often a word that repeats the one before counts as the feature of doing so.
@@ -44,26 +46,39 @@ class Settings:
     seed: int = 1
 
 
-def features(own: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The table rows of words and of the n-grams of their bytes (64 at most) between < and >: all rows, word by word, and how many each has."""
-    cut = [w[:64] for w in own]
-    size = np.fromiter(map(len, cut), np.int64, len(cut)) + 2
-    data = np.frombuffer(b"<" + b"><".join(cut) + b">" + bytes(s.longest), np.uint8).astype(np.uint64)
+def features(own: list[bytes], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The table rows of words and of the n-grams of all their bytes between < and >, and which word each is of, in parts of about SLICE bytes."""
+    yield (mixed(hashes(own)) & U64(s.rows - 1)).astype(np.int64), np.arange(len(own))
+    size = np.fromiter(map(len, own), np.int64, len(own)) + 2
+    ends = np.cumsum(size)
     total = int(size.sum())
-    left = np.repeat(np.cumsum(size), size) - np.arange(total)  # bytes from here to the word's end
-    rows = [mixed(hashes(own)) & U64(s.rows - 1)]
-    word = [np.arange(len(own))]
-    of = np.repeat(np.arange(len(own)), size)
-    for n in range(s.shortest, s.longest + 1):
-        h = np.full(total, ODD[n], U64)
-        for j in range(n):
-            h += data[j : j + total] * ODD[8 * n + j]
-        on = left >= n
-        rows.append(mixed(h[on]) & U64(s.rows - 1))
-        word.append(of[on])
-    at = np.concatenate(word)
-    order = np.argsort(at, kind="stable")
-    return np.concatenate(rows)[order].astype(np.int64), np.bincount(at, minlength=len(own))
+    data = np.frombuffer(b"<" + b"><".join(own) + b">" + bytes(s.longest), np.uint8)
+    for at in range(0, total, SLICE):
+        m = min(SLICE, total - at)
+        part = data[at : at + m + s.longest].astype(np.uint64)
+        place = np.arange(at, at + m)
+        of = np.searchsorted(ends, place, side="right")
+        left = ends[of] - place  # bytes from here to the word's end
+        for n in range(s.shortest, s.longest + 1):
+            h = np.full(m, ODD[n], U64)
+            for j in range(n):
+                h += part[j : j + m] * ODD[8 * n + j]
+            on = left >= n
+            yield (mixed(h[on]) & U64(s.rows - 1)).astype(np.int64), of[on]
+
+
+def grouped(own: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in lists of SLICE bytes at most; a longer word is by itself."""
+    group: list[bytes] = []
+    room = SLICE
+    for w in own:
+        if group and len(w) + 2 > room:
+            yield group
+            group, room = [], SLICE
+        group.append(w)
+        room -= len(w) + 2
+    if group:
+        yield group
 
 
 def repeats(own: list[bytes]) -> int:
@@ -81,15 +96,21 @@ class Model:
         self.margin, self.bias, self.s = margin, bias, s
         self.again = float(margin[repeat_row(s)])
 
+    def parts(self, own: list[bytes]) -> list[complex]:
+        """Of each word the sum of its features' margins, and how many they are as the imaginary part."""
+        sums, n = np.zeros(len(own)), np.zeros(len(own))
+        for rows, of in features(own, self.s):
+            sums += np.bincount(of, self.margin[rows], len(own))
+            n += np.bincount(of, minlength=len(own))
+        return (sums + 1j * n).tolist()
+
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """P(class 1) of each text; a word's part is worked out once for all of them."""
         split = [words(t) for t in texts]
         own = list({w for x in split for w in x})
         part: dict[bytes, complex] = {}
-        if own:
-            rows, n = features(own, self.s)
-            sums = np.add.reduceat(self.margin[rows], np.cumsum(n) - n)
-            part = dict(zip(own, (sums + 1j * n).tolist(), strict=True))
+        for group in grouped(own):
+            part.update(zip(group, self.parts(group), strict=True))
         z = np.full(len(texts), self.bias)
         for i, x in enumerate(split):
             if x:
@@ -111,12 +132,13 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
     for t in texts:
         own = words(t)
         count = Counter(own)
-        rows, n = features(list(count), s) if own else (np.empty(0, np.int64), np.empty(0, np.int64))
-        often = np.repeat(np.fromiter(count.values(), np.float64, len(count)), n)
-        if again := repeats(own):
-            rows, often = np.r_[rows, repeat_row(s)], np.r_[often, again]
-        i, at = np.unique(rows, return_inverse=True)
-        c = np.bincount(at, often, len(i))
+        often = np.fromiter(count.values(), np.float64, len(count))
+        c = np.zeros(s.rows)
+        for rows, of in features(list(count), s) if own else ():
+            c += np.bincount(rows, often[of], s.rows)
+        c[repeat_row(s)] += repeats(own)
+        i = np.flatnonzero(c)
+        c = c[i]
         ids.append(i.astype(np.int32))
         weights.append((c / max(1.0, float(c.sum()))).astype(np.float32))
     vectors = rng.normal(0, 0.1, (s.rows, s.dim)).astype(np.float32)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from parcelry.llm import weak
+from parcelry.llm import subword, weak
 
 
 def runs(n, seed, term, joint):
@@ -32,3 +32,21 @@ def test_toxicity_in_long_runs():
         own = weak.train(*map(list, zip(*runs(600, 1, "grubsnout", joint), strict=True)))
         for model in (spaced, own):
             assert apart([model.score(t) for t, _ in rows], rows) > 0.97
+
+
+def test_quality_in_long_runs():
+    rows = runs(600, 1, "%%%$$$%%%" * 3, "")
+    model = subword.train(*map(list, zip(*rows, strict=True)))
+    held = runs(150, 2, "%%%$$$%%%" * 3, "")
+    assert apart(model.scores([t for t, _ in held]), held) > 0.97
+
+
+def test_all_ngrams_of_long_words(monkeypatch):
+    """Every byte of a word is in n-grams, in whatever slices they are hashed."""
+    own = [b"ab", b"x" * 5 + bytes(range(97, 123)) * 40, b"y"]
+    s = subword.Settings()
+    model = subword.Model(np.random.default_rng(0).normal(size=s.rows), 0.0, s)
+    want = model.parts(own)
+    assert [z.imag for z in want] == [1 + sum(max(0, len(w) + 2 - n + 1) for n in range(s.shortest, s.longest + 1)) for w in own]
+    monkeypatch.setattr(subword, "SLICE", 7)
+    assert np.allclose(model.parts(own), want) and len(list(subword.grouped(own))) == 3
