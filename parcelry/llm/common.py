@@ -134,8 +134,8 @@ KEY = ("doc_key", "text_key")
 
 
 def keys() -> tuple[Column, Column]:
-    """The columns of KEY. 32 bits of hash are enough to tell the few rows of one id apart, and travel with every span."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), F.hash("text").cast("long")
+    """The columns of KEY. Of 64 bits, as one id, or null, may be that of millions of rows."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), F.xxhash64("text")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
