@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as Java's regular expressions write it.
@@ -94,9 +95,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process, as in tests.
+
+    On a cluster an unset folder raises: each executor would write to its own disk.
+    """
     set_to = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parcelry-"))
         set_to = spark.sparkContext.getCheckpointDir()
     return set_to
@@ -106,11 +112,11 @@ def kept(df: DataFrame, files: int | None = None) -> DataFrame:
     """df written to the shared folder and read back: later steps read files that outlive any executor.
 
     Into few files, each from several partitions of df: a shared store suffers from many small ones. By default a file
-    for each core, or for eight shuffle partitions if these are more.
+    for each core, or for four shuffle partitions if these are more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/parcelry-{uuid.uuid4().hex}"
-    df.coalesce(files or max(spark.sparkContext.defaultParallelism, bucket_count(spark) // 8)).write.parquet(path)
+    df.coalesce(files or max(spark.sparkContext.defaultParallelism, bucket_count(spark) // 4)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -133,9 +139,14 @@ def buckets_for(df: DataFrame, bytes_each: int) -> int:
 KEY = ("doc_key", "text_key")
 
 
-def keys() -> tuple[Column, Column]:
-    """The columns of KEY. Of 64 bits, as one id, or null, may be that of millions of rows."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), F.xxhash64("text")
+def keys(of: str = "") -> tuple[Column, Column]:
+    """The columns of KEY. Of 64 bits, as one id, or null, may be that of millions of rows. of: "row." for what whole() packed."""
+    return F.coalesce(F.col(f"{of}doc_id").cast("long"), F.lit(-(2**63)).cast("long")), F.xxhash64(f"{of}text")
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that columns of ours can't meet one of the same name; select("row.*") unpacks it."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -164,12 +175,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes
     """Texts and labels outside the held-out fold, for the driver to learn from: the first `rows` labelled ids by a hash.
 
     Of these only as many as have most_bytes of text together (the first always). Ids that are labelled twice count
-    once, with the larger label. Null labels and null texts are left out.
+    once, with the larger label; of rows that share an id, the shortest text. Null labels and null texts are left out.
+    Rows are chosen by their sizes before any text moves, so no task or driver gets more text than most_bytes.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     first = one.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).orderBy("rank", "doc_id").limit(rows)
-    joined = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(first), "doc_id")
-    before = Window.orderBy("rank", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    room = joined.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
-    got = room.where((F.col("before") == 0) | (F.col("before") + F.octet_length("text") <= most_bytes)).select("text", "y").collect()
-    return [bytes(r.text) for r in got], [r.y for r in got]
+    own = docs.where("text is not null").select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("fp"))
+    sizes = own.join(F.broadcast(first), "doc_id").groupBy("doc_id", "rank", "y").agg(F.min(F.struct("size", "fp")).alias("t")).select("doc_id", "rank", "y", "t.*").collect()
+    take, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["rank"], r.doc_id)):
+        total += r.size
+        if not take or total <= most_bytes:
+            take.append(r)
+    if not take:
+        return [], []
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = spark.createDataFrame([(r.doc_id, r.fp, i) for i, r in enumerate(take)], f"doc_id {kind}, fp long, nth int")
+    got = own.join(F.broadcast(asked), ["doc_id", "fp"]).groupBy("nth").agg(F.min(F.col("text").cast("binary")).alias("text")).collect()
+    text = {r.nth: bytes(r.text) for r in got}
+    return [text[i] for i in range(len(take))], [r.y for r in take]

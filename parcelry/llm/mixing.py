@@ -5,7 +5,8 @@ whole passes over its blocks, each pass in a permutation of its own, then so man
 still asks for, the last of them only in part, by whole documents. A binary tree over the output shards splits the
 quotas exactly: at each node the left half's draws are a multivariate hypergeometric sample of the node's. A shard thus
 gets the mixture that dealing out all blocks at random would give it, and every draw goes to exactly one shard. A shard
-takes the next draws of each source's permuted sequence and shuffles its documents locally.
+takes the next draws of each source's permuted sequence and shuffles its documents locally. Positions in a sequence come
+from sums over pieces of it, so no task gets all blocks of a source.
 
 Only sources (a dimension) are gathered on the driver; blocks and documents stay distributed, and texts don't move.
 """
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import WORD, bucket_count, kept
+from parcelry.llm.common import WORD, bucket_count, kept, whole
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -30,9 +31,9 @@ class Settings:
     #: A source is repeated so many times at most.
     most: float = 3.0
     shards: int = 16
-    #: Words of a block, and the most blocks: beyond, blocks get larger.
-    block_words: int = 1 << 16
-    blocks: int = 1_000_000
+    #: Words of a block, and blocks of a piece of a source's sequence.
+    block_words: int = 1 << 14
+    piece_blocks: int = 1 << 12
     seed: int = 4
 
 
@@ -93,8 +94,8 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(min(max(round(rng.normal(mean, sd)), draws - bad, 0), good, draws))
 
 
-def fingerprint() -> Column:
-    return F.xxhash64("text", "source")
+def fingerprint(of: str = "") -> Column:
+    return F.xxhash64(f"{of}text", f"{of}source")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Mix:
-    #: doc_id, fp, copy, source_no, size, source_size, target: a row for each row mixed.
+    #: doc_id, fp, copy, source_no, size, source_size, target, source_draws (block draws of its source): a row for each row mixed.
     rows: DataFrame
     #: doc_id, fp, copy, size, pass, shard, place: a row for each time that a row is taken; place orders a shard.
     draws: DataFrame
@@ -124,11 +125,10 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> Mix:
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in found]
     goal = targets(sizes, s)
-    block_words = max(s.block_words, sum(sizes) // s.blocks)
     plan = []
     for no, ((source, size), target) in enumerate(zip(found, goal, strict=True)):
         whole = int(target // size) if size else 0
-        plan.append((source, no, size, target, max(1, round(size / block_words)), whole, int(round(target - whole * size))))
+        plan.append((source, no, size, target, max(1, round(size / s.block_words)), whole, int(round(target - whole * size))))
     schema = "source string, source_no int, source_size long, target double, n_blocks long, whole int, rest long"
     sources = spark.createDataFrame(plan, schema)
     numbered = rows.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
@@ -137,11 +137,19 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> Mix:
         return F.xxhash64(F.lit(s.seed), *parts)
 
     numbered = numbered.withColumn("block", F.pmod(order("doc_id", "fp", "copy"), "n_blocks"))
-    blocks = kept(numbered.groupBy("source_no", "block", "whole", "rest").agg(F.sum("size").alias("words")))
+    blocks = kept(numbered.groupBy("source_no", "block", "whole", "rest", "n_blocks").agg(F.sum("size").alias("words")))
     n_of = {r.source_no: r["count"] for r in blocks.groupBy("source_no").count().collect()}
-    passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), "whole")))
-    along = Window.partitionBy("source_no", "pass").orderBy(order("source_no", "pass", "block"), "block")
-    passes = passes.withColumn("sum", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(along) - 1)
+    pieces = F.ceil(F.col("n_blocks") / s.piece_blocks)
+    passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), "whole"))).withColumn("order", order("source_no", "pass", "block"))
+    passes = passes.withColumn("piece", F.floor((F.col("order").cast("double") / 2.0**64 + 0.5) * pieces))
+    piece = ["source_no", "pass", "piece"]
+    before = Window.partitionBy("source_no", "pass").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = passes.groupBy(*piece).agg(F.sum("words").alias("w"), F.count("*").alias("n"))
+    offsets = offsets.select(*piece, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("w", "n")))
+    along = Window.partitionBy(*piece).orderBy("order", "block")
+    within = F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    passes = passes.withColumn("sum", within).withColumn("nth", F.row_number().over(along) - 1).join(offsets, piece)
+    passes = passes.withColumn("sum", F.col("sum") + F.col("w_before")).withColumn("nth", F.col("nth") + F.col("n_before"))
     full = (F.col("pass") < F.col("whole")) | (F.col("sum") <= F.col("rest"))
     part = ~full & (F.col("sum") - F.col("words") < F.col("rest"))
     drawn = kept(passes.where(full | part).withColumn("full", full).withColumn("room", F.col("rest") - (F.col("sum") - F.col("words"))))
@@ -173,31 +181,41 @@ def mix(docs: DataFrame, s: Settings = Settings()) -> Mix:
     some = pairs.where(~F.col("full") & (F.col("size") > 0)).withColumn("order", order("pass", "doc_id", "fp", "copy"))
     fitted = some.groupBy("source_no").applyInPandas(fit, ", ".join(f"{c} {kind[c]}" for c in row))
     draws = pairs.where("full").select(row).unionByName(fitted).withColumn("place", order(F.lit("place"), "pass", "doc_id", "fp", "copy"))
-    return Mix(numbered.select("doc_id", "fp", "copy", "source_no", "size", "source_size", "target"), draws)
+    asked = spark.createDataFrame([(i, int(quota.get(i, 0))) for i in range(len(plan))], "source_no int, source_draws long")
+    return Mix(numbered.join(asked, "source_no").select("doc_id", "fp", "copy", "source_no", "size", "source_size", "target", "source_draws"), draws)
 
 
 def taken(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Every row's doc_id, size, source_size, target (its source's) and the words that the mix takes of it, repeats counted."""
+    """doc_id, size, source_size, target (its source's), taken, shards, source_draws of every row.
+
+    taken: the words that the mix takes of it, repeats counted. shards: the output shards that the splitting tree gave it
+    to, ascending, one for each time it is taken (empty: never). source_draws: its source's quota of block draws.
+    Repeated rows are taken each for itself, null ids are ids like any other, a null or empty text takes no words, a very
+    long text fills a block alone, and no rows give no rows. Other columns of docs aren't looked at.
+    """
     m = mix(docs, s)
-    sums = m.draws.groupBy("doc_id", "fp", "copy").agg(F.sum("size").alias("taken")).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("copy").alias("c"), "taken")
+    sums = m.draws.groupBy("doc_id", "fp", "copy").agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    sums = sums.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("copy").alias("c"), "taken", "shards")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")) & (F.col("copy") == F.col("c"))
-    return m.rows.join(sums, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.array().cast("array<int>")
+    return m.rows.join(sums, on, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"), "source_draws")
 
 
 def mixed(docs: DataFrame, s: Settings = Settings(), shuffled: bool = True) -> DataFrame:
-    """The mix itself: the rows of docs with all their columns, each as often as it is taken.
+    """The mix itself: the rows of docs with all their columns, each as often as it is taken (see taken).
 
     shuffled: a partition has a stretch of one shard's shuffled order. There are as many stretches as the session has
-    shuffle partitions, and one for each shard at least.
+    shuffle partitions, and one for each shard at least. Columns may have any names.
     """
     m = mix(docs, s)
-    number = Window.partitionBy("doc_id", "_fp").orderBy(F.lit(0))
-    own = docs.withColumn("_fp", fingerprint()).withColumn("_copy", F.row_number().over(number).cast("long"))
-    draws = m.draws.select(*(F.col(c).alias(f"_{c[0]}") for c in ("doc_id", "fp", "copy")), F.col("shard").alias("_shard"), F.col("place").alias("_place"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")) & (F.col("_copy") == F.col("_c"))
+    number = Window.partitionBy("doc_id", "fp").orderBy(F.lit(0))
+    own = whole(docs).select("row", F.col("row.doc_id").alias("doc_id"), fingerprint("row.").alias("fp"))
+    own = own.withColumn("copy", F.row_number().over(number).cast("long"))
+    draws = m.draws.select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), F.col("copy").alias("c"), "shard", "place")
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fp") == F.col("f")) & (F.col("copy") == F.col("c"))
     out = own.join(draws, on)
     if shuffled:
         each = -(-bucket_count(docs.sparkSession) // s.shards)
-        stretch = F.floor((F.col("_place").cast("double") / 2.0**64 + 0.5) * each)
-        out = out.withColumn("_stretch", stretch).repartition(s.shards * each, "_shard", "_stretch").sortWithinPartitions("_shard", "_stretch", "_place")
-    return out.select(*docs.columns)
+        stretch = F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * each)
+        out = out.withColumn("stretch", stretch).repartition(s.shards * each, "shard", "stretch").sortWithinPartitions("shard", "stretch", "place")
+    return out.select("row.*")

@@ -37,9 +37,9 @@ class Settings:
     #: Routing objects of the top level at most, one for so many rows.
     cells: int = 256
     cell_rows: int = 2048
-    #: Rows of a block, queries that meet a block together, entries of a page.
+    #: Rows of a block, queries that meet a block's tree together, entries of a page.
     block_rows: int = 16_384
-    together: int = 4_096
+    together: int = 16_384
     page: int = 128
     fan: int = 16
     seed: int = 3
@@ -128,12 +128,12 @@ class Tree:
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and v: floor(scale * component) as integers. Null ids, null vectors and those with null or non-finite components are left out, and so are vectors of another length than most (of equally frequent lengths, the longer counts)."""
+    """vec_id and v: floor(scale * component) as integers. Null ids, null vectors and those with null or non-finite components are left out. Where lengths differ, a shorter vector counts as one with zeros behind it, as if it had no part in these components."""
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     out = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
-    top = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return out.where(F.size("v") == (top.n if top else 0))
+    least, most = out.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    return out if least == most else out.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("v"))))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -173,9 +173,8 @@ def top_k(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     split = np.array([-(-cells[c][0] // s.block_rows) for c in numbers])
 
     queries = placed.where(F.col("vec_id") % s.every == 0)
-    chunks = max(1, -(-queries.count() // s.together))
     parts = F.element_at(F.create_map(*[F.lit(int(v)) for pair in zip(numbers, split, strict=True) for v in pair]), F.col("cell"))
-    blocks = placed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    blocks = placed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"))
 
     def route(first: bool):
         """Send a query to the blocks of its best cell, or of the others that may hold a score of at least its k-th so far."""
@@ -217,9 +216,18 @@ def top_k(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def met(asked: DataFrame, first: bool) -> DataFrame:
         sent = asked.mapInArrow(lean(route(first)), "query_id long, q array<long>, least double, cell int, part int")
-        sent = sent.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "query_id"), F.lit(chunks)).cast("int"))
+        # a block goes to one task, but for those that more than `together` queries ask: to as many as these need
         by = ["cell", "part", "chunk"]
-        return blocks.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score long")
+        much = sent.groupBy("cell", "part").agg(F.ceil(F.count("*") / s.together).cast("int").alias("chunks")).where("chunks > 1").collect()
+        if much:  # rows of blocks, of which there are few
+            chunks = spark.createDataFrame([tuple(r) for r in much], "cell int, part int, chunks int")
+            n_of = F.coalesce("chunks", F.lit(1))
+            sent = sent.join(chunks, ["cell", "part"], "left").withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "query_id"), n_of).cast("int"))
+            own = blocks.join(chunks, ["cell", "part"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), n_of - 1)))
+        else:
+            sent, own = (x.withColumn("chunk", F.lit(0)) for x in (sent, blocks))
+        left, right = own.select("vec_id", "v", *by), sent.select("query_id", "q", "least", *by)
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(answer, "query_id long, vec_id long, score long")
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= s.k)

@@ -56,7 +56,7 @@ def op7_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelry.llm.rendezvous import sharded
 
-    return sharded(table(spark, sf_dir, "documents"), 40)
+    return sharded(table(spark, sf_dir, "documents"), 40, weights=[1.0] * 40, grown_weight=1.0)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +74,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from parcelry.llm.pipeline import run
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,7 +98,8 @@ s AS (
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 r(d, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.d AND r.root < e.b)
-SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, CAST(coalesce(any_value(l.k), 0) AS BIGINT) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = d LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) l ON l.a = d GROUP BY d
 """,
     "op5_superkmer_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, binaries, buckets_for, hashes, keyed, keys, lean, mixed, release, runs, united, windows, words
+from parcelry.llm.common import KEY, binaries, buckets_for, hashes, keyed, keys, lean, mixed, release, runs, united, whole, windows, words
 
 K, M = 20, 3
 #: Words that a task looks at together; a longer document is looked at whole.
@@ -180,29 +180,31 @@ def without(own: list[bytes], spans: list[dict] | None) -> list[bytes]:
 def cleaned(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """The rows of docs, with all their columns, text without the words that repeat (see deduplicated) and n_chars to match.
 
-    A text that loses words is what is left, joined by one space; other texts stay as they are. A row of which nothing is
-    left goes.
+    A text that loses words is what is left, joined by one space; other texts, null and empty ones too, stay as they are.
+    A row of which nothing is left goes. Repeated rows (equal id and text) are at one place and stay, each of them; no rows
+    give no rows. Columns may have any names.
     """
-    spans = repeated_spans(docs, k, m).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    own = docs.withColumns(dict(zip(("_d", "_t"), keys(), strict=True)))
-    joined = own.join(spans.withColumnsRenamed({"doc_key": "_d", "text_key": "_t"}), ["_d", "_t"], "left").drop("_d", "_t")
+    spans = repeated_spans(docs, k, m).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    own = whole(docs).select("row", *(c.alias(n) for c, n in zip(keys("row."), KEY, strict=True)))
+    joined = own.join(spans, list(KEY), "left")
     names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(names)).to_pylist()
+            spans = batch.column(1).to_pylist()
+            own = batch.column(0).flatten()
             texts: list[str | None] = []
-            for t, found in zip(binaries(batch.column(at)), spans, strict=True):
+            for t, found in zip(binaries(own[at]), spans, strict=True):
                 texts.append(None if t is None else b" ".join(without(words(t), found)).decode("utf-8") if found else t.decode("utf-8"))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            columns = [pa.array(texts, pa.string()) if i == at else own[i] for i in range(len(names))]
             if "n_chars" in names:
                 i = names.index("n_chars")
-                size = pa.array([len(t) if f else n for t, f, n in zip(texts, spans, batch.column(i).to_pylist(), strict=True)], batch.column(i).type)
+                size = pa.array([len(t) if f else n for t, f, n in zip(texts, spans, own[i].to_pylist(), strict=True)], own[i].type)
                 columns[i] = size
             stays = pa.array([not f or bool(t) for t, f in zip(texts, spans, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
 
-    return joined.select(*names, "_spans").mapInArrow(lean(cut), docs.schema)
+    return joined.select("row", "spans").mapInArrow(lean(cut), docs.schema)
 
 
 def deduplicated(docs: DataFrame, k: int = K, m: int = M, digest: bool = False) -> DataFrame:

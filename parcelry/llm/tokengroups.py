@@ -1,26 +1,27 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
-A document is the set of its 5-word shingles, held as 64-bit hashes (tokens). Similar documents are partitioned into
-groups; a group's row of the matrix is the union of its members' tokens. A query can only be linked to a member of a group
-if it shares at least 75 % of its own tokens with the union; only then the group is opened and its members are compared.
-The matrix is sparse and dealt out by token, and most documents never meet it:
-
-1. Documents with equal sets are one class. Of each class some tokens (the smallest hashes) are dealt to buckets, where
-   those of two classes or more are told from those of one. Let A and B be linked, so that they share c >= 75 % of either
-   one's tokens. The j-th smallest common token is among the first n - ceil(0.75 n) + j of either; thus a class that has
-   fewer than j tokens in common with any other among these has no link at all. Here j = 15 % of n (of the smallest
-   partner's). This leaves near copies, and few others.
-2. What is left meets by min-hash. There, documents link to leaders: the first that are linked to no leader before
-   them. Large min-hash groups are cut into chunks, and the chunks' leaders meet again, level by level.
-3. Links so far give components. A document can only have a link to another component if 75 % of its tokens are in
-   other components too; these are counted in buckets as in 1. The others are done: the many near copies of one original
-   are in one component, and are not compared with each other. Those still open meet by more min-hashes, and 3 is done
-   again.
-4. The matrix of the rest: documents are grouped by their most frequent token, which near copies share. Of two
-   components, documents of the smaller are the queries. A query probes the rarest tokens that any linked group must
-   share one of, then has its overlap with the whole union of each group hit bounded, and opens the groups that qualify.
-
-Every link that joins two components is thus found, whatever the grouping; it only decides how many groups are opened.
+A document is the set of its 5-word shingles, held as 64-bit hashes (tokens). Documents with equal sets are one class, of
+so many documents. Similar classes are partitioned into groups; a group's row of the matrix is the union of its members'
+tokens. A query (a class, against all groups but its own) can only be linked to a member of a group if it shares at least
+75 % of its own tokens with the union; only then the group is opened and its members are compared.
+
+1. Of each class some tokens (the smallest hashes) are dealt to buckets, where those of two classes or more are told from
+   those of one. Let A and B be linked, so that they share c >= 75 % of either one's tokens. The j-th smallest common token
+   is among the first n - ceil(0.75 n) + j of either; thus a class that has fewer than j tokens in common with any others
+   among these has no link to another class. Here j = 15 % of n (of the smallest partner's).
+2. The rest is partitioned: a class goes to the group of its hub, the most frequent of its dealt tokens, which near copies
+   share. Hubs of many classes are cut by a min-hash, and what is still large by a hash, so that no group has more than a
+   chunk of members, but for the chance of the hash. Groups are stored with their unions.
+3. The unions are dealt to buckets by token, and a group gets back in how many groups each of its tokens is. Members are
+   compared within their group. A member of which 75 % isn't in other groups is done. Of the others the rarest
+   n - ceil(0.75 n) + j tokens are probes: a group that holds a linked class has at least j of them.
+4. Groups that are hit j times get the query, bound its overlap with their union, and are opened if it suffices.
+
+Within a group, near copies have most tokens in common. A pair's overlap is counted from the core (tokens that most
+members have) and from what each member lacks of it or has beyond it, so that its work follows the differences.
+
+Every pair of linked classes is seen from both sides, whatever the grouping, and counted; of the links only a spanning
+forest of each comparison goes on, so that the links of thousands of near copies are never listed.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, U64, binaries, buckets_for, hashes, kept, keyed, keys, lean, mixed, windows, words
+from parcelry.llm.common import KEY, U64, binaries, buckets_for, hashes, kept, keyed, keys, lean, mixed, whole, windows, words
 from parcelry.llm.components import components
 
 WORDS = 5
@@ -42,19 +43,18 @@ WORDS = 5
 PERCENT = 75
 #: Percent of a document's tokens that give j above.
 SPARE = 15
-#: Tokens that a task looks at together.
+#: Tokens that a task looks at together, and pairs that are compared at once.
 TOGETHER = 1_000_000
+CELLS = 2_000_000
 BUCKET_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Documents of one min-hash that are compared together, and queries that meet a group together.
-    chunk: int = 1024
-    #: Further min-hashes of documents that one has left open.
-    hashes: int = 3
-    #: Rows (16 to 24 bytes each) that are sent to all tasks at most; beyond, they are joined by a shuffle.
-    sent: int = 500_000
+    #: Members of a group, and queries that meet a group together; and tokens of either.
+    chunk: int = 2048
+    together: int = 1024
+    tokens: int = 2_000_000
 
 
 def tokens(text: bytes | None, n: int = WORDS) -> np.ndarray:
@@ -84,6 +84,16 @@ def prefix(n):
     return np.minimum(n, n - least_shared(n) + _spare(n))
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin, and the end."""
+    return np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else np.zeros(1, np.int64)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def _pack(owner: list[int], label: list[int], sets: list[np.ndarray], buckets: int) -> list[tuple[int, bytes]]:
     """By bucket: owners, labels, how many tokens of each, and the tokens (32 bits beside those of the bucket)."""
     if not sets:
@@ -94,7 +104,7 @@ def _pack(owner: list[int], label: list[int], sets: list[np.ndarray], buckets: i
     order = np.argsort(to, kind="stable")
     to, flat, row = to[order], (flat[order] >> U64(32)).astype(np.uint32), row[order]
     own, lab = np.array(owner, np.int64), np.array(label, np.int64)
-    edges = np.r_[0, np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)] if len(to) else np.zeros(1, np.int64)
+    edges = _edges(to)
     out = []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         r = row[i:j]
@@ -106,9 +116,9 @@ def _pack(owner: list[int], label: list[int], sets: list[np.ndarray], buckets: i
     return out
 
 
-def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, how many of its tokens in this bucket two labels or more have)."""
-    owners, labels, tokens_ = [], [], []
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, label, token) of each token of a bucket."""
+    owners, labels, tokens_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
     for b in blobs:
         n, same = struct.unpack_from("<q?", b)
         at = 9
@@ -120,30 +130,58 @@ def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(np.repeat(own, count))
         labels.append(np.repeat(lab, count))
         tokens_.append(np.frombuffer(b, np.uint32, -1, at + 4 * n))
-    own, lab, tok = np.concatenate(owners), np.concatenate(labels), np.concatenate(tokens_)
-    del owners, labels, tokens_
-    order = np.argsort(tok, kind="stable")
-    own, lab, tok = own[order], lab[order], tok[order]
-    new = np.r_[True, tok[1:] != tok[:-1]] if len(tok) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    if not len(first):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    several = np.minimum.reduceat(lab, first) != np.maximum.reduceat(lab, first)
-    on = np.repeat(several, np.diff(np.r_[first, len(tok)]))
-    own, tok = own[on], tok[on]
-    order = np.lexsort((tok, own))
+    return np.concatenate(owners), np.concatenate(labels), np.concatenate(tokens_)
+
+
+def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, token, how many owners have it) of the tokens in this bucket that two owners or more have, by owner."""
+    own, _, tok = _unpack(blobs)
+    order = np.lexsort((own, tok))
     own, tok = own[order], tok[order]
-    once = np.r_[True, (own[1:] != own[:-1]) | (tok[1:] != tok[:-1])] if len(own) else np.empty(0, bool)
-    return np.unique(own[once], return_counts=True)
+    if len(own):
+        once = np.r_[True, (own[1:] != own[:-1]) | (tok[1:] != tok[:-1])]
+        own, tok = own[once], tok[once]
+    edges = _edges(tok)
+    df = np.repeat(np.diff(edges), np.diff(edges))
+    on = df > 1
+    own, tok, df = own[on], tok[on], df[on]
+    order = np.argsort(own, kind="stable")
+    return own[order], tok[order], df[order]
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names)
 
 
+def _packed(rows: list[tuple[int, bytes]], name: str) -> pa.RecordBatch:
+    return _batch([name, "packed"], pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()))
+
+
+def _parted(parts: int, by: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """Columns of int64, int64, then int32s, packed by part of `by`."""
+    to = (by % parts).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    edges = _edges(to)
+    return [(int(to[i]), struct.pack("<q", j - i) + b"".join([c[order[i:j]].tobytes() for c in columns])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _joined_parts(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    """What _parted packed, its parts one after the other."""
+    out: list[list[np.ndarray]] = [[np.empty(0, k)] for k in kinds]
+    for b in blobs:
+        (n,) = struct.unpack_from("<q", b)
+        at = 8
+        for kind, own in zip(kinds, out, strict=True):
+            own.append(np.frombuffer(b, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) for x in out]
+
+
 def _screen(docs: DataFrame) -> DataFrame:
-    """Packed rows of two kinds. part -1: documents, their n and class (c, c2). Others: how many of a class's dealt tokens other classes have, in one bucket."""
+    """Packed rows of two kinds. part -1: documents, their n and class (c, c2). Others: of classes' dealt tokens in one bucket, how many other classes have too, and the most frequent."""
     buckets = buckets_for(docs, BUCKET_BYTES)
+    parts = _parts(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -154,7 +192,7 @@ def _screen(docs: DataFrame) -> DataFrame:
             rows = [(b, b"T" + p) for b, p in _pack([c for c, _ in held], [c for c, _ in held], list(held.values()), buckets)]
             if docs_:
                 rows.append((int(docs_[0][2]) % buckets, b"D" + np.array(docs_, np.int64).T.tobytes()))
-            yield _batch(["bucket", "packed"], pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()))
+            yield _packed(rows, "bucket")
 
         for batch in batches:
             for key, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2)), strict=True):
@@ -172,13 +210,17 @@ def _screen(docs: DataFrame) -> DataFrame:
         if docs_:
             yield from out()
 
-    def count(table: pa.Table) -> pa.Table:
+    def count(key: tuple, table: pa.Table) -> pa.Table:
         blobs = table.column("packed").to_pylist()
-        found = [b[1:] for b in blobs if b[:1] == b"T"]
-        rows = [(-1, b[1:]) for b in blobs if b[:1] == b"D"] + (_dealt(*_shared(found), parts) if found else [])
+        own, tok, df = _shared([b[1:] for b in blobs if b[:1] == b"T"])
+        edges = _edges(own)
+        first, size = edges[:-1], np.diff(edges).astype(np.int32)
+        by = np.lexsort((tok, df, own))  # of each class, the most frequent comes last
+        top = by[edges[1:] - 1] if len(own) else np.empty(0, np.int64)
+        hub = tok[top].astype(np.int64) << 24 ^ int(key[0].as_py())
+        rows = [(-1, b[1:]) for b in blobs if b[:1] == b"D"] + _parted(parts, own[first] if len(own) else own, own[first] if len(own) else own, hub, size if len(own) else np.empty(0, np.int32), df[top].astype(np.int32))
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
-    parts = _parts(buckets)
     sent = keyed(docs).select(*KEY, "text").mapInArrow(lean(send), "bucket int, packed binary")
     return kept(sent.groupBy("bucket").applyInArrow(count, "part int, packed binary"))
 
@@ -190,25 +232,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(buckets: int) -> int:
-    return max(1, buckets // 16)
-
-
-def _dealt(owner: np.ndarray, n: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """A bucket's counts, packed by the owners' parts."""
-    to = owner % parts
-    order = np.argsort(to, kind="stable")
-    to, owner, n = to[order], owner[order], n[order]
-    edges = np.r_[0, np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)] if len(to) else np.zeros(1, np.int64)
-    return [(int(to[i]), owner[i:j].tobytes() + n[i:j].astype(np.int32).tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return max(1, buckets // 4)
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """The counts that all buckets have for a part's owners, summed."""
-    blobs = table.column("packed").to_pylist()
-    owner = np.concatenate([np.frombuffer(b, np.int64, len(b) // 12) for b in blobs])
-    n = np.concatenate([np.frombuffer(b, np.int32, len(b) // 12, len(b) // 12 * 8) for b in blobs])
-    owner, at = np.unique(owner, return_inverse=True)
-    return pa.table({"x": owner, "shared": np.bincount(at, n, len(owner)).astype(np.int64)})
+    """Of a part's classes, the dealt tokens that other classes have too, of all buckets, and the hub."""
+    c, hub, n, df = _joined_parts(table.column("packed").to_pylist(), (np.int64, np.int64, np.int32, np.int32))
+    order = np.lexsort((hub, df, c))
+    edges = _edges(c[order])
+    own = c[order][edges[:-1]] if len(c) else c
+    total = np.add.reduceat(n[order].astype(np.int64), edges[:-1]) if len(c) else np.empty(0, np.int64)
+    last = order[edges[1:] - 1] if len(c) else np.empty(0, np.int64)
+    return pa.table({"c": own, "shared": total, "hub": hub[last]})
 
 
 def class_of(t: np.ndarray) -> tuple[int, int]:
@@ -217,260 +252,324 @@ def class_of(t: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=U64).view(np.int64)), int(mixed(a).sum(dtype=U64).view(np.int64))
 
 
-def _lead(table: pa.Table, bodies: bool) -> pa.Table:
-    """Of documents that are compared together, the leaders (with their tokens, if bodies) and links to them: c, leader, n, key, tokens."""
-    table = table.sort_by("c")
-    c, n = table.column("c").to_pylist(), table.column("n").to_pylist()
-    raw = table.column("tokens").to_pylist()
-    post: dict[int, list[int]] = {}
-    leaders: list[int] = []
-    a, b, size, own = [], [], [], []
-    for i, body in enumerate(raw):
-        t = np.frombuffer(body, U64).tolist()
-        hits = [x for k in t if (p := post.get(k)) for x in p]
-        to = []
-        if hits:
-            shared = np.bincount(hits, minlength=len(leaders))
-            sizes = np.array([n[x] for x in leaders])
-            to = np.flatnonzero(linked(shared, n[i], sizes)).tolist()
-        if not to:
-            for k in t:
-                post.setdefault(k, []).append(len(leaders))
-            leaders.append(i)
-            to = [len(leaders) - 1]
-        for x in to:
-            a.append(c[i])
-            b.append(c[leaders[x]])
-            size.append(n[i])
-            own.append(body if bodies and leaders[-1] == i else None)
-    return pa.table({"c": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64()), "n": pa.array(size, pa.int64()), "key": pa.array([table.column("key")[0].as_py()] * len(a), pa.int64()), "tokens": pa.array(own, pa.binary())})
-
-
-LED = "c long, leader long, n long, key long, tokens binary"
-
-
-def _grouped(sets: DataFrame, s: Settings) -> DataFrame:
-    """Links a, b among the documents (c, n, tokens) of each key."""
-
-    def chunked(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        large = kept(df.groupBy("key").count().where(F.col("count") > s.chunk).select("key", F.ceil(F.col("count") / s.chunk).alias("parts")))
-        part = F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1)))
-        return df.join(large, "key", "left").withColumn("part", part).drop("parts"), large
-
-    def lead(df: DataFrame, bodies: bool) -> DataFrame:
-        return kept(df.groupBy("key", "part").applyInArrow(lambda t: _lead(t, bodies), LED))
-
-    parted, large = chunked(sets)
-    more = not large.isEmpty()
-    links = now = lead(parted, more)
-    while more:  # the leaders of chunks meet; a level must halve them to be worth another
-        again = now.where("tokens is not null").join(large.select("key"), "key", "left_semi").select("c", "n", "key", "tokens")
-        before = again.count()
-        parted, large = chunked(again)
-        more = not large.isEmpty()
-        now = lead(parted, True)
-        links = links.unionByName(now)
-        if now.where("tokens is not null").count() * 2 > before:
-            break
-    return links.where("c <> leader").select(F.col("c").alias("a"), F.col("leader").alias("b"))
-
-
-def _open(sets: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """The documents that may have a link to another component: c, n, component, tokens."""
-    known = sets.join(_light(labels, s), sets["c"] == F.col("node"), "left").select("c", "n", "tokens", F.coalesce("component", "c").alias("component"))
-    buckets = buckets_for(sets, BUCKET_BYTES)
+def _min_hash(t: np.ndarray) -> int:
+    return int(mixed(t ^ U64(0x9FB21C651E98DF25)).min(keepdims=True).view(np.int64)[0])
+
+
+class Group:
+    """Members of the matrix's row: c, n, weight (documents of the class) and tokens, and their union."""
+
+    def __init__(self, c: np.ndarray, n: np.ndarray, weight: np.ndarray, flat: np.ndarray):
+        self.c, self.n, self.weight, self.flat = c, n, weight, flat
+        self.union, at = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        df = np.bincount(at, minlength=len(self.union))
+        self.core = 2 * df > len(n)
+        # postings of tokens beyond the core: who has them; of the core: who lacks them
+        extra = ~self.core[at]
+        has, has_row = at[extra], row[extra]
+        core = np.flatnonzero(self.core)
+        place = np.full(len(self.union), -1)
+        place[core] = np.arange(len(core))
+        lacks, lacks_row = np.empty(0, np.int64), np.empty(0, np.int64)
+        step = max(1, CELLS // max(1, len(core)))
+        parts = []
+        start = np.cumsum(n) - n
+        for i in range(0, len(n), step):
+            j = min(len(n), i + step)
+            there = np.zeros((j - i, len(core)), bool)
+            a, b = int(start[i]), int(start[j - 1] + n[j - 1])
+            p = place[at[a:b]]
+            on = p >= 0
+            there[row[a:b][on] - i, p[on]] = True
+            r, k = np.nonzero(~there)
+            parts.append((core[k], r + i))
+        if parts:
+            lacks, lacks_row = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, who = np.r_[has, lacks], np.r_[has_row, lacks_row]
+        order = np.argsort(token, kind="stable")
+        self.who = who[order]
+        self.first = np.searchsorted(token[order], np.arange(len(self.union) + 1))
+
+    @classmethod
+    def read(cls, body: bytes) -> Group:
+        m, total = struct.unpack_from("<qq", body)
+        head = np.frombuffer(body, np.int64, 3 * m, 16).reshape(3, m)
+        return cls(*head, np.frombuffer(body, U64, total, 16 + 24 * m))
+
+    def compared(self, c: np.ndarray, n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Of queries (tokens one after the other): the documents that each is linked to here, but for its own class, and pairs of classes that join all that these links join."""
+        links, pairs = np.zeros(len(c), np.int64), []
+        label = np.arange(len(self.c))
+        start = np.cumsum(n) - n
+        at = np.minimum(np.searchsorted(self.union, flat), len(self.union) - 1)
+        there = self.union[at] == flat
+        query = np.repeat(np.arange(len(c)), n)
+        overlap = np.bincount(query[there], minlength=len(c))
+        opened = np.flatnonzero(100 * overlap >= PERCENT * n)  # the bound: other queries open nothing
+        m = len(self.c)
+        size = np.diff(self.first)[at] * there
+        cost = np.cumsum(np.maximum(m, np.bincount(query, size, len(c))[opened]))
+        i = 0
+        while i < len(opened):  # as many queries at once as the pairs and postings allow
+            j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + CELLS, side="right")))
+            own = opened[i:j]
+            i = j
+            where = _spread(start[own], n[own])
+            ok = there[where]
+            where, q = at[where][ok], np.repeat(np.arange(len(own)), n[own])[ok]
+            in_core = self.core[where]
+            count = self.first[where + 1] - self.first[where]
+            to = np.repeat(q * m, count) + self.who[_spread(self.first[where], count)]
+            plus = np.repeat(~in_core, count)
+            cells = len(own) * m
+            shared = (np.bincount(to[plus], minlength=cells) - np.bincount(to[~plus], minlength=cells)).reshape(len(own), m)
+            shared += np.bincount(q[in_core], minlength=len(own))[:, None]
+            hit = linked(shared, n[own][:, None], self.n[None, :]) & (c[own][:, None] != self.c[None, :])
+            links[own] = hit @ self.weight
+            for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                who = np.flatnonzero(hit[k])
+                pairs.append((int(c[own[k]]), int(self.c[who[0]])))
+                apart = np.unique(label[who])
+                if len(apart) > 1:
+                    for x in apart[1:].tolist():
+                        pairs.append((int(self.c[apart[0]]), int(self.c[x])))
+                    label[np.isin(label, apart)] = apart[0]
+        return links, pairs
+
+
+def _groups(sets: DataFrame, s: Settings) -> DataFrame:
+    """g, members (packed), union (packed, sorted): the rows of the matrix, as a table."""
+
+    def cut(df: DataFrame, by: list[str], part) -> DataFrame:
+        parts = F.greatest(F.ceil(F.count("*") / s.chunk), F.ceil(F.sum("n") / s.tokens))
+        large = df.groupBy(*by).agg(parts.alias("parts")).where("parts > 1")
+        return df.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(f"{by[-1]}_part", F.pmod(part, F.col("parts"))).drop("parts")
+
+    dealt = cut(cut(sets, ["hub"], F.col("low")), ["hub", "hub_part"], F.xxhash64("c"))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        head = np.stack([table.column(x).to_numpy().astype(np.int64) for x in ("c", "n", "weight")])
+        flat = b"".join(table.column("tokens").to_pylist())
+        union = np.unique(np.frombuffer(flat, U64))
+        body = struct.pack("<qq", head.shape[1], len(flat) // 8) + head.tobytes() + flat
+        return pa.table({"g": [key[0].as_py()], "members": pa.array([body], pa.binary()), "tokens": pa.array([union.tobytes()], pa.binary())})
+
+    keyed_ = dealt.select(F.xxhash64("hub", "hub_part", "hub_part_part").alias("g"), "c", "n", "weight", "tokens")
+    return kept(keyed_.groupBy("g").applyInArrow(pack, "g long, members binary, tokens binary"))
+
+
+def _matrix(groups: DataFrame, buckets: int) -> DataFrame:
+    """The unions by bucket of their tokens: bucket, packed."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: list, label: list, sets: list) -> Iterator[pa.RecordBatch]:
-            rows = _pack(c, label, sets, buckets)
-            yield _batch(["bucket", "packed"], pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()))
-
-        c, label, sets, total = [], [], [], 0
+        g, sets, total = [], [], 0
         for batch in batches:
-            for x, y, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                c.append(x)
-                label.append(y)
+            for x, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                g.append(x)
                 sets.append(np.frombuffer(body, U64))
                 total += len(sets[-1])
                 if total >= TOGETHER:
-                    yield from out(c, label, sets)
-                    c, label, sets, total = [], [], [], 0
-        if c:
-            yield from out(c, label, sets)
+                    yield _packed(_pack(g, g, sets, buckets), "bucket")
+                    g, sets, total = [], [], 0
+        if g:
+            yield _packed(_pack(g, g, sets, buckets), "bucket")
 
-    def count(table: pa.Table) -> pa.Table:
-        rows = _dealt(*_shared(table.column("packed").to_pylist()), parts)
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
+    return groups.select("g", "tokens").mapInArrow(lean(send), "bucket int, packed binary")
+
+
+#: Kinds of rows that comparisons yield: links of a class (c, how many), pairs of classes. Probes have their bucket, 0 or more.
+LINKS, PAIRS = -1, -2
 
+
+def _found(c: np.ndarray, links: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, bytes]]:
+    on = links > 0
+    out = [(LINKS, np.stack([c[on], links[on]]).tobytes())] if on.any() else []
+    return out + ([(PAIRS, np.array(pairs, np.int64).T.copy().tobytes())] if pairs else [])
+
+
+def _inside(groups: DataFrame, buckets: int) -> DataFrame:
+    """kind, packed: what comparisons within the groups find, and the probes of members that may be linked elsewhere."""
     parts = _parts(buckets)
-    sent = known.select("c", "component", "tokens").mapInArrow(lean(send), "bucket int, packed binary")
-    counts = sent.groupBy("bucket").applyInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(_summed, "x long, shared long")
-    sizes = sets.select(F.col("c").alias("x"), "n").distinct()
-    enough = kept(counts.join(sizes, "x").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("x"))
-    return kept(known.join(_light(enough, s), known["c"] == F.col("x")).drop("x").dropDuplicates(["c"]))
 
+    def rated(key: tuple, table: pa.Table) -> pa.Table:
+        g, tok, df = _shared(table.column("packed").to_pylist())
+        rows = _parted(parts, g, g, tok.astype(np.int64) << 24 ^ int(key[0].as_py()), df.astype(np.int32))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
-def _light(df: DataFrame, s: Settings) -> DataFrame:
-    """df, to be sent to all tasks if its rows, few bytes each, are counted to be few enough; else joined as usual."""
-    return F.broadcast(df) if df.count() <= s.sent else df
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        of, token, df = _joined_parts(right.column("packed").to_pylist(), (np.int64, np.int64, np.int32))
+        order = np.lexsort((token, of))
+        of, token, df = of[order], token[order], df[order]
+        rows: list[tuple[int, bytes]] = []
+        owner, label, sets = [], [], []
+        total = 0
+        for g, body in zip(left.column("g").to_pylist(), left.column("members").to_pylist(), strict=True):
+            own = Group.read(body)
+            if len(own.c) > 1:
+                rows += _found(own.c, *own.compared(own.c, own.n, own.flat))
+            a, b = np.searchsorted(of, [g, g], side="left")[0], np.searchsorted(of, g, side="right")
+            if a == b:
+                continue
+            name = (own.flat >> U64(32)).astype(np.int64) << 24 ^ (own.flat % U64(buckets)).astype(np.int64)
+            at = a + np.minimum(np.searchsorted(token[a:b], name), b - a - 1)
+            others = np.where(token[at] == name, df[at] - 1, 0)
+            row = np.repeat(np.arange(len(own.n)), own.n)
+            may = 100 * np.bincount(row[others > 0], minlength=len(own.n)) >= PERCENT * own.n
+            order_ = np.lexsort((own.flat, others, row))
+            start = np.cumsum(own.n) - own.n
+            for i in np.flatnonzero(may).tolist():
+                first = order_[start[i] : start[i] + int(prefix(own.n[i]))]
+                owner.append(int(own.c[i]))
+                label.append(g)
+                sets.append(own.flat[first[others[first] > 0]])
+                total += len(first)
+                if total >= TOGETHER:
+                    rows += _pack(owner, label, sets, buckets)
+                    owner, label, sets, total = [], [], [], 0
+        rows += _pack(owner, label, sets, buckets)
+        return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
+    rates = _matrix(groups, buckets).groupBy("bucket").applyInArrow(rated, "part int, packed binary")
+    own = groups.select("g", "members", F.pmod("g", F.lit(parts)).cast("int").alias("part"))
+    return kept(own.groupBy("part").cogroup(rates.groupBy("part")).applyInArrow(probe, "kind int, packed binary"))
 
-def _cross(open_: DataFrame, s: Settings) -> DataFrame:
-    """Links a, b between components, by the matrix. Queries are the documents of the smaller component of a pair."""
-    # components by size, then by hash: one number. That two linked components have the same has a chance of 2 ** -44
-    size = open_.groupBy("component").count()
-    low = F.xxhash64("component").bitwiseAND(F.lit(2**44 - 1))
-    rank = F.shiftleft(F.least("count", F.lit(2**18).cast("long")), 44).bitwiseOR(low)
-    ranked = kept(open_.join(size, "component").select("c", "n", rank.alias("rank"), "tokens"))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sets = [np.frombuffer(b, np.int64) for b in part.column(2).to_pylist()]
-                row = pa.array(np.repeat(np.arange(len(sets)), [len(t) for t in sets]))
-                prefix_ = pa.array([n - least_shared(n) + 1 for n in part.column(1).to_pylist()], pa.int32())
-                yield _batch(["token", "c", "rank", "prefix"], pa.array(np.concatenate(sets)), part.column(0).take(row), part.column(3).take(row), prefix_.take(row))
-
-    spelt = ranked.select("c", "n", "tokens", "rank").mapInArrow(lean(spell), "token long, c long, rank long, prefix int")
-    df = spelt.groupBy("token").agg(F.count("*").cast("int").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high")).where("low <> high").drop("low")
-    order = F.row_number().over(Window.partitionBy("c").orderBy(F.col("df").asc_nulls_first(), "token"))
-    told = kept(spelt.join(df, "token", "left").withColumn("place", order).where("df is not null"))
-
-    # a document's group: that of its most frequent token, in chunks
-    of = told.groupBy("c").agg(F.max(F.struct("df", "token"))["token"].alias("hub"))
-    parts = of.groupBy("hub").agg(F.ceil(F.count("*") / s.chunk).alias("parts"))
-    groups = kept(of.join(parts, "hub").select("c", F.xxhash64("hub", F.pmod(F.xxhash64("c"), "parts")).alias("g")))
-    matrix = told.join(groups, "c").groupBy("token", "g").agg(F.max("rank").alias("above"))
-    probes = told.where((F.col("place") <= F.col("prefix")) & (F.col("rank") < F.col("high"))).select("token", "c", "rank")
-    found = kept(probes.join(matrix, "token").where("above > rank").select("c", "g").distinct())
-    most = found.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    chunks = max(1, -(-most // s.chunk))
-    queries = found.join(ranked.select("c", "n", "rank", "tokens"), "c").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(chunks)))
-    members = groups.join(ranked, "c").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+def _hits(groups: DataFrame, inside: DataFrame, buckets: int) -> DataFrame:
+    """c, g, hits: how many probes of a class are in the union of a group that isn't its own."""
+    parts = _parts(buckets)
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Queries whose overlap with the members' union suffices, against the members of larger components; one link to each component."""
-        a, b = [], []
-        who, size = left.column("c").to_pylist(), np.array(left.column("n").to_pylist())
-        rank = left.column("rank").to_pylist()
-        sets = [np.frombuffer(x, U64) for x in left.column("tokens").to_pylist()]
-        if sets and right.num_rows:
-            flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
-            by = np.argsort(flat, kind="stable")
-            flat, row = flat[by], row[by]
-            union, first = np.unique(flat, return_index=True)
-            last = np.r_[first[1:], len(flat)]
-            for c, n, r, body in zip(*(right.column(f"q_{x}").to_pylist() for x in ("c", "n", "rank", "tokens")), strict=True):
-                q = np.frombuffer(body, U64)
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                at = at[union[at] == q]
-                if 100 * len(at) < PERCENT * n:
-                    continue
-                i, k = first[at], last[at] - first[at]
-                rows = row[np.repeat(i - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
-                hit = np.flatnonzero(linked(np.bincount(rows, minlength=len(sets)), n, size))
-                seen = set()
-                for x in hit.tolist():
-                    if rank[x] > r and rank[x] not in seen:
-                        seen.add(rank[x])
-                        a.append(c)
-                        b.append(who[x])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    columns = ["g", "part", "c", "n", "rank", "tokens"]
-    asked = queries.select(columns).toDF(*(f"q_{x}" for x in columns))
-    return members.select(columns).groupBy("g", "part").cogroup(asked.groupBy("q_g", "q_part")).applyInArrow(compare, "a long, b long")
-
-
-def _again(open_: DataFrame, s: Settings) -> DataFrame:
-    """More links a, b: the open documents by further min-hashes."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                sets = [np.frombuffer(b, U64) for b in part.column(2).to_pylist()]
-                row = pa.array(np.repeat(np.arange(len(sets)), s.hashes))
-                key = [int(_min_hash(t, 1 + j)) for t in sets for j in range(s.hashes)]
-                yield _batch(["c", "n", "key", "tokens"], part.column(0).take(row), part.column(1).take(row), pa.array(key, pa.int64()), part.column(2).take(row))
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, _, tok = _unpack(left.column("packed").to_pylist())
+        order = np.lexsort((g, tok))
+        g, tok = g[order], tok[order]
+        c, own, want = _unpack(right.column("packed").to_pylist())
+        rows: list[tuple[int, bytes]] = []
+        a, b = np.searchsorted(tok, want, side="left"), np.searchsorted(tok, want, side="right")
+        ends = np.cumsum(b - a)
+        at = 0
+        while at < len(c):  # so many pairs at once
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+            count = (b - a)[at:to]
+            x, y = np.repeat(c[at:to], count), g[_spread(a[at:to], count)]
+            other = y != np.repeat(own[at:to], count)
+            x, y = x[other], y[other]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            if len(x):
+                new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+                rows += _parted(parts, x[new], x[new], y[new], np.diff(np.r_[new, len(x)]).astype(np.int32))
+            at = to
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        c, g, n = _joined_parts(table.column("packed").to_pylist(), (np.int64, np.int64, np.int32))
+        order = np.lexsort((g, c))
+        c, g, n = c[order], g[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (g[1:] != g[:-1])]) if len(c) else np.empty(0, np.int64)
+        return pa.table({"c": c[new], "g": g[new], "hits": np.add.reduceat(n, new) if len(new) else n})
+
+    probes = inside.where("kind >= 0").select(F.col("kind").alias("bucket"), "packed")
+    met = _matrix(groups, buckets).groupBy("bucket").cogroup(probes.groupBy("bucket")).applyInArrow(meet, "part int, packed binary")
+    return met.groupBy("part").applyInArrow(total, "c long, g long, hits long")
 
-    return _grouped(open_.select("c", "n", "tokens").mapInArrow(lean(hashed), "c long, n long, key long, tokens binary"), s)
 
+def _across(sets: DataFrame, groups: DataFrame, hits: DataFrame, s: Settings) -> DataFrame:
+    """kind, packed: what queries find in groups that aren't their own."""
+    need = F.greatest(F.lit(1), F.floor(F.col("n") * SPARE / 100))
+    asked = kept(hits.join(sets.select("c", "n"), "c").where(F.col("hits") >= need).select("c", "g", "n"))
+    parts = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / s.together), F.ceil(F.sum("n") / s.tokens)).cast("int").alias("parts"))
+    queries = asked.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("c"), "parts")).select("g", "part", "c").join(sets.select("c", "n", "tokens"), "c")
+    # a group is copied as often as its own queries need, and not at all without any
+    rows = groups.select("g", "members").join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-def _min_hash(t: np.ndarray, nth: int) -> int:
-    """The nth min-hash; its number is in it, so that keys of different numbers don't meet."""
-    salt = np.array([0x9FB21C651E98DF25 * (2 * nth + 1) % 2**64], U64)
-    return int(mixed(mixed(t ^ salt).min(keepdims=True) + U64(nth)).view(np.int64)[0])
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple[int, bytes]] = []
+        if left.num_rows and right.num_rows:
+            own = Group.read(left.column("members")[0].as_py())
+            c = right.column("c").to_numpy()
+            rows = _found(c, *own.compared(c, right.column("n").to_numpy(), np.frombuffer(b"".join(right.column("tokens").to_pylist()), U64)))
+        return pa.table({"kind": pa.array([r[0] for r in rows], pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
+
+    return kept(rows.select("g", "part", "members").groupBy("g", "part").cogroup(queries.select("g", "part", "c", "n", "tokens").groupBy("g", "part")).applyInArrow(compare, "kind int, packed binary"))
 
 
-def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_key, text_key, n, c (a class) of every row; links a, b between classes that join all that is reachable."""
+def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, links, pairs): doc_key, text_key, n, c (a class) of every row; c, links (rows of other classes that it links with); a, b: links between classes that join all that links join."""
     screened = _screen(docs)
     rows = screened.where("part = -1").select("packed").mapInArrow(lean(_unpacked), "doc_key long, text_key long, n long, c long, c2 long")
-    reps = rows.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("size"))
-    counts = screened.where("part >= 0").groupBy("part").applyInArrow(_summed, "x long, shared long").withColumnRenamed("x", "c")
+    reps = rows.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("size"), F.count("*").alias("weight"))
+    counts = screened.where("part >= 0").groupBy("part").applyInArrow(_summed, "c long, shared long, hub long")
     smallest = F.ceil(F.col("size") * PERCENT / 100)
     need = F.greatest(F.lit(1), F.floor(smallest * SPARE / 100))
-    left = kept(reps.join(counts, "c").where(F.col("shared") >= need).select("c", "rep.*"))
-    own = keyed(docs).select(*KEY, "text").join(_light(left, s), list(KEY)).select("c", "text")
+    left = reps.join(counts, "c").where(F.col("shared") >= need).select("c", "weight", "hub", "rep.*")
+    own = keyed(docs).select(*KEY, "text").join(left, list(KEY)).select("c", "weight", "hub", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # rows that share id and text are one document
         for batch in batches:
-            c = batch.column(0).to_pylist()
-            fresh = [i for i, x in enumerate(c) if x not in seen and not seen.add(x)]
-            batch = batch.take(pa.array(fresh, pa.int64()))
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                sets = [tokens(t) for t in binaries(part.column(1))]
+                sets = [tokens(t) for t in binaries(part.column(3))]
                 yield _batch(
-                    ["c", "n", "key", "tokens"],
-                    part.column(0),
+                    ["c", "weight", "hub", "n", "low", "tokens"],
+                    *(part.column(k) for k in range(3)),
                     pa.array(map(len, sets), pa.int64()),
-                    pa.array([_min_hash(t, 0) for t in sets], pa.int64()),
+                    pa.array([_min_hash(t) for t in sets], pa.int64()),
                     pa.array([t.tobytes() for t in sets], pa.binary()),
                 )
 
-    sets = kept(own.mapInArrow(lean(spell), "c long, n long, key long, tokens binary"))
-    links = kept(_grouped(sets, s))
-    open_ = _open(sets, kept(components(links)), s)
-    links = kept(links.unionByName(_again(open_, s)))
-    open_ = _open(sets, kept(components(links)), s)
-    return rows.select(*KEY, "n", "c"), links.unionByName(_cross(open_, s))
+    spelt = own.mapInArrow(lean(spell), "c long, weight long, hub long, n long, low long, tokens binary")
+    sets = kept(spelt.dropDuplicates(["c"]))  # rows that share id and text are one document
+    buckets = buckets_for(sets, BUCKET_BYTES)
+    groups = _groups(sets, s)
+    inside = _inside(groups, buckets)
+    found = inside.where("kind < 0").unionByName(_across(sets, groups, _hits(groups, inside, buckets), s))
+
+    def two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                yield _batch(["a", "b"], *(pa.array(x) for x in np.frombuffer(body, np.int64).reshape(2, -1)))
+
+    links = found.where(F.col("kind") == LINKS).select("packed").mapInArrow(two, "a long, b long").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("links"))
+    pairs = found.where(F.col("kind") == PAIRS).select("packed").mapInArrow(two, "a long, b long")
+    return rows.select(*KEY, "n", "c"), links, pairs
 
 
-def _labelled(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_key, text_key, n and label (of the component) of every row."""
-    rows, links = classes(docs, s)
-    labels = kept(components(links))
-    return rows.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component", "c")
+def _labelled(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """doc_key, text_key, n, c and label (of the component) of every row; c, links."""
+    rows, links, pairs = classes(docs, s)
+    labels = kept(components(pairs))
+    return rows.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component"), links
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs, with all their columns, less near duplicates: of each component the row of the smallest doc_id stays.
 
     If several rows have that doc_id, the one of the smallest text hash stays, and of equal rows one. Rows without words
-    link with nothing and all stay.
+    link with nothing and all stay. A null doc_id comes before all others, very long texts are looked at whole, no rows
+    give no rows, and columns may have any names.
     """
-    rows = _labelled(docs, s)
-    first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*", F.lit(True).alias("_one"))
-    empty = rows.where("n = 0").select(*KEY, F.lit(False).alias("_one")).distinct()
-    stay = first.unionByName(empty).withColumnsRenamed({"doc_key": "_d", "text_key": "_t"})
-    own = docs.withColumns(dict(zip(("_d", "_t"), keys(), strict=True))).join(stay, ["_d", "_t"])
-    nth = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d"))
-    return own.withColumn("_nth", nth).where(~F.col("_one") | (F.col("_nth") == 1)).select(*docs.columns)
+    rows, _ = _labelled(docs, s)
+    first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*", F.lit(True).alias("one"))
+    empty = rows.where("n = 0").select(*KEY, F.lit(False).alias("one")).distinct()
+    own = whole(docs).select("row", *(c.alias(k) for c, k in zip(keys("row."), KEY, strict=True)))
+    stay = own.join(first.unionByName(empty), list(KEY)).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("doc_key")))
+    return stay.where(~F.col("one") | (F.col("nth") == 1)).select("row.*")
 
 
 def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id, n_links (other rows it links with) of every row.
 
     Two rows link when 100 * shared >= 75 * united shingles; component_id is the smallest doc_id that links reach. Texts
     without words, null ones too, have no shingles and link with nothing. A null doc_id comes before all others, and a
-    component that holds one has a null component_id. Repeated rows have equal sets and so link. No rows give no rows.
+    component that holds one has a null component_id. Repeated rows have equal sets and so link. Very long texts are
+    looked at whole. No rows give no rows. Other columns of docs aren't looked at.
     """
-    named = _labelled(docs, s)
+    named, links = _labelled(docs, s)
+    alike = named.where("n > 0").groupBy("c").agg(F.count("*").alias("alike"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_key").alias("least"))
-    done = named.join(least, "label", "left").select(*KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_key")).alias("least"))
+    done = named.join(least, "label", "left").join(alike.join(links, "c", "left"), "c", "left")
+    n_links = F.when(F.col("n") > 0, F.col("alike") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    done = done.select(*KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_key")).alias("least"), n_links.alias("n_links"))
     null = F.lit(-(2**63)).cast("long")
-    return done.select(F.nullif("doc_key", null).alias("doc_id"), "n_shingles", F.nullif("least", null).alias("component_id"))
+    return done.select(F.nullif("doc_key", null).alias("doc_id"), "n_shingles", F.nullif("least", null).alias("component_id"), "n_links")

@@ -57,3 +57,65 @@ def test_draws_and_rows(spark):
 
 def test_empty(spark):
     assert taken(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    from parcelry.llm import mixing
+
+    docs = docs_of(spark)
+    s = Settings(block_words=500, shards=5)
+    rows = taken(docs, s).toPandas()
+    # the quotas add up: a source's draws are those of all shards, and a row is taken once for each of its shards
+    assert (rows.taken == rows["size"] * rows.shards.map(len)).all() and {x for v in rows.shards for x in v} == set(range(5))
+    quotas = rows.groupby(["source_size", "target"]).source_draws.nunique()
+    assert (quotas == 1).all()
+
+    def to_one(quotas, shards, seed):
+        out = np.zeros((shards, len(quotas)), np.int64)
+        out[0] = quotas
+        return out
+
+    monkeypatch.setattr(mixing, "split", to_one)
+    other = taken(docs, s).toPandas()
+    assert {x for v in other.shards for x in v} == {0}
+
+
+def test_sums_over_pieces_are_those_of_the_whole(spark):
+    docs = docs_of(spark)
+    key = lambda s: sorted((r.doc_id or -1, r.taken, tuple(r.shards)) for r in taken(docs, s).collect())
+    assert key(Settings(block_words=100, shards=3, piece_blocks=2)) == key(Settings(block_words=100, shards=3, piece_blocks=1000))
+
+
+def brute(rows, s):
+    """The same mix in plain Python: which words each source's rows are taken for, from the draws' definition."""
+    by = {}
+    for d, t, source in rows:
+        by.setdefault(source, []).append(len((t or "").split()))
+    order = sorted(by, key=lambda x: (x is None, x or ""))
+    return {source: (sum(by[source]), target) for source, target in zip(order, targets([sum(by[x]) for x in order], s), strict=True)}
+
+
+def test_targets_as_brute_force(spark):
+    docs = docs_of(spark)
+    s = Settings(block_words=500, shards=5)
+    want = brute([(r.doc_id, r.text, r.source) for r in docs.collect()], s)
+    rows = taken(docs, s).toPandas()
+    ids = {r.doc_id: r.source for r in docs.collect() if r.doc_id is not None}
+    for r in rows.dropna(subset=["doc_id"]).itertuples():
+        size, target = want[ids[int(r.doc_id)]]
+        assert r.source_size == size and abs(r.target - target) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["row", "fp", "copy", "d", "f", "c", "shard", "place", "stretch", "_fp", "_d", "_shard"])
+def test_names_of_ours_stay_theirs(spark, name):
+    docs = spark.createDataFrame([(1, "a b", "x", "mine"), (2, None, None, "mine")], f"doc_id long, text string, source string, {name} string")
+    out = mixed(docs, Settings(block_words=1, shards=2))
+    assert out.columns == docs.columns and {r[3] for r in out.collect()} <= {"mine"}
+
+
+def test_long_empty_and_repeated(spark):
+    rows = [(1, "w " * 30000, "a"), (2, "", "a"), (3, None, "b")] + [(4, "x y", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = taken(docs, Settings(block_words=50, shards=2)).collect()
+    assert len(got) == 6 and all(r.taken <= 3 * r["size"] for r in got)
+    assert mixed(docs.limit(0)).count() == 0

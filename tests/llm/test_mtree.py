@@ -52,3 +52,10 @@ def test_few_and_none(spark):
     assert top_k(spark.createDataFrame([], schema)).count() == 0
     got = top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 2 * 1024 * 1024)]
+
+
+def test_lengths_that_differ(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0]), (2, [1.0, 1.0, 9.0]), (3, [2.0, 2.0])]
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    padded = [(i, v + [0.0] * (3 - len(v))) for i, v in rows]
+    assert got == brute(padded, 10, 100)

@@ -5,8 +5,7 @@ import pytest
 from test_superkmers import brute as words_left
 from test_tokengroups import brute as component_of
 
-import corpus_pipeline
-from parcelry.llm import mixing
+from parcelry.llm import mixing, pipeline
 from parcelry.llm.common import kept
 
 
@@ -33,10 +32,10 @@ def test_stages(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    names = [n for n, _ in corpus_pipeline.STAGES]
+    names = [n for n, _ in pipeline.STAGES]
     assert len(names) == 5
     seen = {}
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    for i, (_, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if i < 4:
             assert out.schema.simpleString() == docs.schema.simpleString()
@@ -51,7 +50,7 @@ def test_stages(spark, tmp_path):
     assert seen[2][202].text == rows[162][1] and len(seen[2][203].text.split()) == 90 and seen[2][203].n_chars == len(seen[2][203].text)
     # brute force over what each stage got
     texts = lambda i: [(d, r.text) for d, r in seen[i].items()]
-    assert set(seen[1]) == {least for _, _, least in component_of(texts(0))}
+    assert set(seen[1]) == {least for _, _, least, _ in component_of(texts(0))}
     left = {d: (n - gone, sha) for d, n, gone, sha in words_left(texts(1), 20)}
     assert set(seen[2]) == {d for d, (n, _) in left.items() if n or not seen[1][d].text}
     assert all(hashlib.sha256(" ".join((r.text or "").split()).encode()).hexdigest() == left[d][1] for d, r in seen[2].items())
@@ -62,5 +61,5 @@ def test_stages(spark, tmp_path):
         assert size(mixed, source) == pytest.approx(target, abs=max(60, 0.02 * n))
     assert set(seen[3]) <= set(seen[2])
     assert all(len(r.ids) == 4 * r.n_tokens for r in seen[4].values())
-    whole = corpus_pipeline.run(spark, str(tmp_path))
+    whole = pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id or -1, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id or -1, r.n_tokens) for r in docs.collect())

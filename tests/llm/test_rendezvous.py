@@ -33,3 +33,29 @@ def test_weights_and_growth(spark):
 
 def test_empty(spark):
     assert sharded(spark.createDataFrame([], "doc_id long, text string"), 40).count() == 0
+
+
+def test_as_brute_force(spark):
+    """The rule by hand: 64-bit xxHash of the id, then of the shard's number, seeded by it; the largest -w / ln(u) wins."""
+    import math
+    import struct
+
+    import xxhash
+
+    def shard(doc_id, n):
+        best = None
+        for i in range(n):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42))
+            u = ((h >> 11) + 0.5) / 2**53
+            if best is None or -1.0 / math.log(u) > best[0]:
+                best = (-1.0 / math.log(u), i)
+        return best[1]
+
+    docs = spark.range(300).selectExpr("id * 7919 AS doc_id", "cast(id AS string) AS text")
+    got = sharded(docs, 40, weights=[1.0] * 40, grown_weight=1.0).collect()
+    assert len(got) == 300 and all(r.shard == shard(r.doc_id, 40) and r.grown_shard == shard(r.doc_id, 41) for r in got)
+
+
+def test_long_text_and_lost_weights(spark):
+    docs = spark.createDataFrame([(1, "é" * 500_000)], "doc_id long, text string")
+    assert sharded(docs, 3).first()["size"] == 1_000_016

@@ -13,6 +13,7 @@ def shingles(text):
 def brute(rows):
     sets = [(d, shingles(t)) for d, t in rows]
     root = list(range(len(sets)))
+    links = [0] * len(sets)
 
     def find(x):
         while root[x] != x:
@@ -25,10 +26,12 @@ def brute(rows):
             n = len(a & b)
             if n and 100 * n >= 75 * (len(a) + len(b) - n):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(sets):
         least[find(i)] = min(least.get(find(i), d), d)
-    return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets))
+    return sorted((d, len(s), least[find(i)], links[i]) for i, (d, s) in enumerate(sets))
 
 
 def rows_of(seed):
@@ -56,7 +59,7 @@ def rows_of(seed):
 
 
 def test_as_brute_force(spark):
-    for seed, s in ((1, Settings()), (2, Settings(chunk=7, sent=0))):
+    for seed, s in ((1, Settings()), (2, Settings(chunk=7, together=3))):
         rows = rows_of(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit("clash")).withColumn("n", F.lit(1)).repartition(5)
         assert sorted(tuple(r) for r in joined(docs, s).collect()) == brute(rows)
@@ -65,4 +68,4 @@ def test_as_brute_force(spark):
 def test_empty(spark):
     assert joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = joined(spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).collect()
-    assert sorted(tuple(r) for r in got if r.doc_id == 1) == [(1, 0, 1)] and {r.component_id for r in got if r.doc_id != 1} == {None}
+    assert sorted(tuple(r) for r in got if r.doc_id == 1) == [(1, 0, 1, 0)] and {r.component_id for r in got if r.doc_id != 1} == {None}
