@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelry.operators.rules import null_safe_join
@@ -33,6 +33,23 @@ def check_row(name: str, offenders: DataFrame, item: Column, summary: str, statu
     )
 
 
+def check_rows(name: str, groups: DataFrame, offenders: DataFrame, by: str, item: Column, summary: str, status: str = "fail") -> DataFrame:
+    """check_row for every group at once: a row for each value of `by` in groups, whatever its offenders."""
+    listed = offenders.select(by, item.cast("string").alias("item"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("item"))
+    first = F.array_sort(F.collect_list(F.when(F.col("nth") <= LISTED, F.col("item"))))
+    found = listed.withColumn("nth", nth).groupBy(by).agg(F.count("*").alias("n"), first.alias("items"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return groups.select(by).distinct().join(found, by, "left").select(
+        by,
+        F.lit(name).alias("check"),
+        F.when(n == 0, "pass").otherwise(status).alias("status"),
+        F.concat(n.cast("string"), F.lit(" " + summary)).alias("summary"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.create_map(F.lit("n"), n).alias("counts"),
+    )
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(F.bool_or(F.col("status") == "fail"), "fail").otherwise("pass").alias("verdict"))
 
@@ -190,6 +207,12 @@ def names_check(districts: DataFrame, name: str = "district_name") -> DataFrame:
     return check_row("unique names", blank.unionByName(same), F.col("item"), "names blank or used twice")
 
 
+def file_names_check(names: DataFrame, name: str) -> DataFrame:
+    """Names that would be one file on a store that ignores case."""
+    same = names.groupBy(F.lower(F.trim(name)).alias("item")).count().where("count > 1")
+    return check_row("file names", same, F.col("item"), "names that fall together")
+
+
 def reps_check(ledger: DataFrame) -> DataFrame:
     several = ledger.where("rep is not null").groupBy("channel", "district").agg(F.countDistinct("rep").alias("n")).where("n > 1")
     return check_row("one rep per district", several, F.concat_ws("/", "channel", "district"), "districts with several reps")
@@ -238,7 +261,11 @@ def certificate(objective: Column, bound: Column, gap: Column, tolerance: float
 
 def catalog(checks: dict[str, DataFrame]) -> DataFrame:
     """Checks of many scenarios: how many of each status, by scenario."""
-    rows = all_of([df.withColumn("scenario", F.lit(name)) for name, df in checks.items()])
+    return by_status(all_of([df.withColumn("scenario", F.lit(name)) for name, df in checks.items()]))
+
+
+def by_status(rows: DataFrame) -> DataFrame:
+    """scenario, and how many of its checks have each status."""
     return rows.groupBy("scenario").pivot("status", ["pass", "fail", "listed", "unverified"]).count().na.fill(0)
 
 

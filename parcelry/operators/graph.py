@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcelry.operators.checks import require
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written where all executors see it, and read back: it cuts the lineage of loops."""
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path where all executors see it: under spark.checkpoint.dir, or in a folder of our own if all runs in one process. Elsewhere an unset folder raises."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parcelry-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of what kept() wrote, once nothing reads them any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/graph-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written where all executors see it, and read back: it cuts the lineage of loops."""
+    spark = df.sparkSession
+    path = scratch(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,24 +79,34 @@ def components(vertices: DataFrame, edges: DataFrame, key: str | None = None) ->
     return vertices.join(now.select(F.col("a").alias("id"), F.col("b").alias("_c")), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
 
 
-def frontier(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
+def frontier(vertices: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Breadth-first growth from seeds (id, owner) over the graph: id, owner, depth.
 
     It equals a queue that starts with the seeds in id order and takes neighbours in id order: a vertex gets the owner of
     the neighbour that was queued first. The place in the queue is the path of ids from the seed; paths of one depth
-    compare like places. A step is a join and a minimum, so a whole depth is taken at once.
+    compare like places. A step is a join and a minimum, so a whole depth is taken at once. What a depth reaches again is
+    in it or in the one before; so a step reads two depths, and appends its own to the result.
     """
+    spark = vertices.sparkSession
+    folder = scratch(spark, "growth")
     two = kept(both_ways(induced(vertices, edges)))
-    last = kept(seeds.select("id", "owner", F.array(F.col("id")).alias("path")))
-    done = kept(last.select("id", "owner", F.lit(0).alias("depth")))
-    for depth in range(1, limit + 1):
-        reach = last.join(two, last["id"] == two["a"]).select(F.col("b").alias("id"), "path", "owner").join(done, "id", "left_anti")
+    last, before, depth = kept(seeds.select("id", "owner", F.array(F.col("id")).alias("path"))), None, 0
+    out = last.select("id", "owner", F.lit(0).alias("depth"))
+    out.write.mode("append").parquet(folder)
+    while True:
+        depth += 1
+        reach = last.join(two, last["id"] == two["a"]).select(F.col("b").alias("id"), "path", "owner").join(last.select("id"), "id", "left_anti")
+        if before is not None:
+            reach = reach.join(before.select("id"), "id", "left_anti")
         best = reach.groupBy("id").agg(F.min(F.struct("path", "owner")).alias("p"))
-        last = kept(best.select("id", "p.owner", F.array_append("p.path", F.col("id")).alias("path")))
-        if last.isEmpty():
+        new = kept(best.select("id", "p.owner", F.array_append("p.path", F.col("id")).alias("path")))
+        if new.isEmpty():
             break
-        done = kept(done.unionByName(last.select("id", "owner", F.lit(depth).alias("depth"))))
-    return done
+        new.select("id", "owner", F.lit(depth).alias("depth")).write.mode("append").parquet(folder)
+        if before is not None:
+            removed(before)
+        before, last = last, new
+    return spark.read.schema(out.schema).parquet(folder)
 
 
 def reachable(vertices: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -96,19 +125,23 @@ def staged_growth(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, scope
     return done
 
 
-def shortest_paths(vertices: DataFrame, edges: DataFrame, source: DataFrame, weight: str | None = None, rounds: int = 10_000) -> DataFrame:
-    """id, cost: least sum of vertex weights (or steps) from any source vertex, its own not counted; by relaxation rounds."""
+def shortest_paths(vertices: DataFrame, edges: DataFrame, source: DataFrame, weight: str | None = None) -> DataFrame:
+    """id, cost: least sum of vertex weights (or steps) from any source vertex, its own not counted; weights aren't negative.
+
+    By rounds that start from what the round before made cheaper, until nothing gets cheaper.
+    """
     w = vertices.select(F.col("id").alias("b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    require(w.where("_w < 0").select("b"), "negative weights")
     two = kept(both_ways(induced(vertices, edges)).join(w, "b"))
-    done = kept(source.select("id", F.lit(0.0).alias("cost")))
-    for _ in range(rounds):
-        step = done.join(two, done["id"] == two["a"]).select(F.col("b").alias("id"), (F.col("cost") + F.col("_w")).alias("cost"))
+    done = changed = kept(source.select("id", F.lit(0.0).alias("cost")).distinct())
+    while True:
+        step = changed.join(two, changed["id"] == two["a"]).select(F.col("b").alias("id"), (F.col("cost") + F.col("_w")).alias("cost"))
         new = kept(done.unionByName(step).groupBy("id").agg(F.min("cost").alias("cost")))
-        same = new.agg(F.count("*"), F.sum("cost")).first() == done.agg(F.count("*"), F.sum("cost")).first()
+        changed = kept(new.join(done, ["id", "cost"], "left_anti"))
+        if changed.isEmpty():
+            return new
+        removed(done)
         done = new
-        if same:
-            break
-    return done
 
 
 def quotient(vertices: DataFrame, edges: DataFrame, unit: str, measure: str | None = None) -> DataFrame:

@@ -108,3 +108,14 @@ def unfilled(df: DataFrame) -> DataFrame:
     """Columns that no row fills."""
     counts = df.agg(*(F.count(c).alias(c) for c in df.columns))
     return counts.unpivot([], df.columns, "column_name", "n").where("n = 0").select("column_name")
+
+
+def set_sizes(df: DataFrame, cell: list[str], member: str, size: str = "size", cells: str = "cells") -> DataFrame:
+    """How many cells have so many distinct members."""
+    per = df.groupBy(*cell).agg(F.countDistinct(member).cast("int").alias(size))
+    return per.groupBy(size).agg(F.count("*").alias(cells))
+
+
+def report(df: DataFrame, order: list, place: str) -> DataFrame:
+    """A report's rows with their place in its order. A report is small: it is what a reader is shown."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelry.functions.text import similarity
 from parcelry.operators.rules import null_safe_join, top_k
 
 
+def near_lengths(a: Column | str, b: Column | str, least: int) -> Column:
+    """Whether two names' lengths let them be `least` similar: a Jaro-Winkler score of s needs a Jaro score of (s - 0.4) / 0.6, which is (2 + shorter / longer) / 3 at most."""
+    ratio = 3 * ((least - 0.5) / 100 - 0.4) / 0.6 - 2
+    n, m = F.length(a), F.length(b)
+    return F.least(n, m) >= F.greatest(n, m) * (ratio - 1e-9)
+
+
 def near_names(names: DataFrame, entities: DataFrame, name: str, entity: str, least: int = 85, k: int = 5) -> DataFrame:
     """For each distinct name, the k most similar entities that are similar enough: name, entity, sim. Both sides are name dimensions."""
     a = names.select(name).where(F.col(name).isNotNull()).distinct()
-    s = a.join(entities.select(entity).distinct(), F.lit(True)).withColumn("sim", similarity(F.trim(name), F.trim(entity)))
+    s = a.join(entities.select(entity).distinct(), near_lengths(F.trim(name), F.trim(entity), least)).withColumn("sim", similarity(F.trim(name), F.trim(entity)))
     return top_k(s, [name], [F.desc("sim"), entity], k).where(F.col("sim") >= least).select(name, entity, "sim")
 
 

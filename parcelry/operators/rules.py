@@ -36,8 +36,14 @@ def priority_join(rows: DataFrame, rules: DataFrame, on: dict[str, str], priorit
     """rows with the outputs of the rule of lowest priority any of whose columns equals the row's (on: row column -> rule column).
 
     A disjunctive join is a nested loop in Spark. Here each rule column is one equi-join over the distinct values of one
-    row column, the best rule per value is kept, and the bests are combined by priority. Ties go to the smallest outputs.
+    row column, the best rule per value is kept, and the bests are combined by priority. A table in which two rules of one
+    priority want the same value and differ in their outputs has no defined result and raises; rules of one priority that
+    meet in a row by different columns go by the smallest outputs.
     """
+    from parcelry.operators.checks import require
+
+    for theirs in on.values():
+        require(tied_rules(rules.where(F.col(theirs).isNotNull()), priority, outputs, [theirs]).select(priority, theirs), "tied rules")
     best = F.struct(F.col(priority), *(F.col(c) for c in outputs))
     out, found = rows, []
     for i, (own, theirs) in enumerate(on.items()):
@@ -106,3 +112,9 @@ def match_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     no_value = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     n = F.coalesce("hits", F.lit(0)).cast("long")
     return left.join(hits, keys, "left").withColumn("hits", n).withColumn("outcome", F.when(no_value, "NO VALUE").when(n == 0, "0").when(n == 1, "1").otherwise("2+"))
+
+
+def in_or(df: DataFrame, keys: DataFrame, predicate: Column) -> DataFrame:
+    """Rows whose key is among keys (columns of df), or that meet the predicate: one join that marks, one filter."""
+    known = keys.distinct().withColumn("_in", F.lit(True))
+    return df.join(known, keys.columns, "left").where(F.col("_in").isNotNull() | F.coalesce(predicate, F.lit(False))).select(*df.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelry.functions import norm
 from parcelry.functions.text import similarity
-from parcelry.operators import coverage, resolve, rules
+from parcelry.operators import coverage, resolve, review, rules
 from parcelry.plans.registry import query, t
 
 CENTS = "decimal(18,2)"
@@ -444,24 +444,10 @@ def books(spark, d):
     return coverage.books(moved(spark, d), "holder", "old", "nw").withColumns({c: dollars(F.col(c)) for c in ("before", "after", "delta")})
 
 
-_fz = "a AS (SELECT DISTINCT p_name AS name FROM part), k AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS label FROM part WHERE p_size <= 10)"
-
-
-@query(f"""
-WITH {_fz}, s AS (SELECT name, label, CAST(round(jaro_winkler_similarity(upper(name), upper(label)) * 100) AS INTEGER) AS sim FROM a CROSS JOIN k),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sim DESC, label) AS rn FROM s)
-SELECT name, label, sim, CAST(rn AS INTEGER) AS rank FROM r WHERE sim >= 85 AND rn <= 5
-""")
-def fuzzy_candidates(spark, d):
-    """Both sides are distinct names: dimensions, which is what the all-pairs form of this report asks for. The labels are of small parts, as its SQL says; fuzzy_candidates_whole takes them all."""
-    p = t(spark, d, "part")
-    return similar(p, p.where("p_size <= 10"))
-
-
 def similar(named, labelled):
     a = named.select(F.col("p_name").alias("name")).distinct()
     k = labelled.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("label")).distinct()
-    s = a.join(k, F.lit(True)).withColumn("sim", similarity("name", "label"))
+    s = a.join(k, review.near_lengths("name", "label", 85)).withColumn("sim", similarity("name", "label"))
     return rules.top_k(s, ["name"], [F.desc("sim"), "label"], 5).where("sim >= 85")
 
 
@@ -470,7 +456,7 @@ WITH a AS (SELECT DISTINCT p_name AS name FROM part), k AS (SELECT DISTINCT p_na
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sim DESC, label) AS rn FROM s)
 SELECT name, label, sim, CAST(rn AS INTEGER) AS rank FROM r WHERE sim >= 85 AND rn <= 5
 """)
-def fuzzy_candidates_whole(spark, d):
+def fuzzy_candidates(spark, d):
     """All pairs of distinct names and labels of the whole part table."""
     p = t(spark, d, "part")
     return similar(p, p)

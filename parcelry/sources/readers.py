@@ -14,6 +14,10 @@ from parcelry.operators.checks import Violation, require
 
 LEDGER = ["scenario", "zip_code", "current_channel", "state", "model_channel", "district", "district_channels", "rep", "county", "cbsa", "place", "district_name", "m_rel", "reason"]
 SEPARATORS = ",\t;|"
+#: Bytes of a file from which its separator is told.
+SNIFFED = 8192
+#: What a channel may do with a unit.
+MODES = ("whole", "clipped", "split")
 
 
 def table(spark: SparkSession, name: str) -> DataFrame:
@@ -25,17 +29,30 @@ def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Data
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
-def separator(line: str) -> str:
-    """The separator that a header holds most of; a comma if none."""
-    return max(SEPARATORS, key=lambda s: (line.count(s), s == ","))
+def separator(lines: list[str]) -> str:
+    """The separator that most lines hold as often as the header does, outside quotes; of several the one the header holds most; a comma if none."""
+    bare = [re.sub(r'"[^"]*"', "", x) for x in lines if x.strip()] or [""]
+    agree = lambda s: sum(x.count(s) == bare[0].count(s) for x in bare) if s in bare[0] else 0
+    return max(SEPARATORS, key=lambda s: (agree(s), bare[0].count(s), s == ","))
+
+
+def head(spark: SparkSession, path: str, size: int = SNIFFED) -> list[str]:
+    """The whole lines among a file's first bytes (one line at least), read with a limit on rows."""
+    lines, room = [], size
+    for r in spark.read.text(path).limit(size).toLocalIterator():
+        if lines and len(r.value) + 1 > room:
+            break
+        lines.append(r.value)
+        room -= len(r.value) + 1
+    return lines
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text, all columns text; the separator is found in the header, a byte order mark is dropped."""
-    head = spark.read.text(path).first()
-    if head is None:
+    """Delimited text, all columns text; the separator is found in the first 8 KiB, a byte order mark is dropped."""
+    lines = head(spark, path)
+    if not lines:
         raise Violation(f"{path} is empty")
-    df = spark.read.option("header", True).option("sep", separator(head.value)).csv(path)
+    df = spark.read.option("header", True).option("sep", separator(lines)).csv(path)
     return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
 
 
@@ -154,7 +171,7 @@ def scenario(text: str) -> Scenario:
     for name, c in raw.get("channels", {}).items():
         if not isinstance(c.get("k"), int) or c["k"] < 1:
             raise Violation(f"{name}: k must be a positive integer")
-        if c.get("mode", "whole") not in ("whole", "clipped", "split"):
+        if c.get("mode", "whole") not in MODES:
             raise Violation(f"{name}: unknown mode {c['mode']}")
         channels.append(Channel(name, c["k"], c.get("domain", ""), c.get("mode", "whole"), float(c.get("delta", head.get("delta", 0.0))), tuple(c.get("fine", ()))))
     return Scenario(head["name"], float(head.get("delta", 0.0)), {k: tuple(v) for k, v in raw.get("sets", {}).items()}, tuple(channels), tuple(head.get("planned_elsewhere", ())))
@@ -165,6 +182,21 @@ def channel_rows(spark: SparkSession, s: Scenario) -> DataFrame:
     return spark.createDataFrame(rows, "channel string, fine string, k int, mode string, domain string, delta double")
 
 
+def domain_units(spark: SparkSession, s: Scenario) -> DataFrame:
+    """channel, unit: the members of each channel's domain, a set expression over the scenario's sets."""
+    rows = []
+    for c in s.channels:
+        parts = c.domain.split()
+        lost = [p for p in parts[::2] if p not in s.sets]
+        if lost or not parts or any(p not in "+-" for p in parts[1::2]):
+            raise Violation(f"{c.name}: domain {c.domain!r} isn't an expression over {sorted(s.sets)}")
+        own = set(s.sets[parts[0]])
+        for op, name in zip(parts[1::2], parts[2::2], strict=True):
+            own = own - set(s.sets[name]) if op == "-" else own | set(s.sets[name])
+        rows += [(c.name, u) for u in sorted(own)]
+    return spark.createDataFrame(rows, "channel string, unit string")
+
+
 def sampled(df: DataFrame, n: int, weight: str, seed: int, key: str) -> DataFrame:
     """n rows without replacement, the chance by weight: the smallest -ln(u) / w, u from a hash of the key and the seed."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / float(2**53)

@@ -6,16 +6,16 @@ import csv
 import gzip
 import io
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.operators.checks import Violation, require
 from parcelry.sources.readers import LEDGER
 
-#: Rows that a single-file writer may gather on the driver.
+#: Rows that a single-file writer may gather on the driver, and rows of a Markdown table; more raise.
 SMALL = 2_000_000
+TABLE = 10_000
 
 
 def conformed(df: DataFrame, target: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
@@ -41,10 +41,11 @@ def keyed_parquet(df: DataFrame, path: str, key: list[str], partition: list[str]
     (w.partitionBy(*partition) if partition else w).parquet(path)
 
 
-def _gathered(df: DataFrame, order: list[str]) -> list[dict]:
-    if df.limit(SMALL + 1).count() > SMALL:
-        raise Violation(f"more than {SMALL} rows for one file")
-    return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
+def _gathered(df: DataFrame, order: list[str] | None, most: int = SMALL) -> list[dict]:
+    rows = (df.orderBy(*order) if order else df).limit(most + 1).collect()
+    if len(rows) > most:
+        raise Violation(f"more than {most} rows for one file")
+    return [r.asDict(recursive=True) for r in rows]
 
 
 def csv_gz(df: DataFrame, path: str, order: list[str]) -> None:
@@ -62,15 +63,33 @@ def json_lines(df: DataFrame, path: str, order: list[str]) -> None:
     _replace(path, "".join(lines).encode())
 
 
+def text_file(path: str, text: str) -> None:
+    """A text as one file, put in place at once."""
+    _replace(path, text.encode())
+
+
+def gzipped(path: str, text: str) -> None:
+    """A text as one gzip file without a time stamp."""
+    _replace(path, gzip.compress(text.encode(), mtime=0))
+
+
 def _replace(path: str, data: bytes) -> None:
-    with open(f"{path}.part", "wb") as f:
-        f.write(data)
-    os.replace(f"{path}.part", path)
+    """Written beside the path, in whatever store it is, then renamed."""
+    spark = SparkSession.active()
+    jvm = spark._jvm
+    to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(part, to):
+        raise OSError(f"{path} can't be put in place")
 
 
 def markdown(df: DataFrame, order: list[str] | None = None) -> str:
-    """A small frame as a Markdown table."""
-    rows = (df.orderBy(*order) if order else df).limit(10_000).collect()
+    """A small frame as a Markdown table; one of more than TABLE rows raises."""
+    rows = [list(r.values()) for r in _gathered(df, order, TABLE)]
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parcelry.functions import norm
 from parcelry.functions.text import jaro_winkler
+from parcelry.operators.checks import Violation
 from parcelry.operators import resolve, rules
 
 
@@ -47,10 +48,13 @@ def test_jaro_winkler_as_in_duckdb(a, b):
 
 def test_priority_ties_and_nulls(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, "b", None), (4, None, None), (1, "a", "x")], "id int, p string, q string")
-    r = rules.rule_table(spark, [(2, "a", None, "A"), (1, None, "x", "X"), (3, "b", None, "B2"), (3, "b", None, "B1")], "o int, p string, q string, out string")
+    r = rules.rule_table(spark, [(2, "a", None, "A"), (1, None, "x", "X"), (3, "b", None, "B1")], "o int, p string, q string, out string")
     got = sorted((x.id, x.out or "") for x in rules.priority_join(rows, r, {"p": "p", "q": "q"}, "o", ["out"]).collect())
     assert got == [(1, "X"), (1, "X"), (2, "X"), (3, "B1"), (4, "")]
-    assert [x.o for x in rules.tied_rules(r, "o", ["out"], ["p"]).collect()] == [3]
+    tied = r.unionByName(rules.rule_table(spark, [(3, "b", None, "B2")], "o int, p string, q string, out string"))
+    assert [x.o for x in rules.tied_rules(tied, "o", ["out"], ["p"]).collect()] == [3]
+    with pytest.raises(Violation, match="tied rules"):
+        rules.priority_join(rows, tied, {"p": "p", "q": "q"}, "o", ["out"])
 
 
 def test_placeholder_rows(spark):
