@@ -111,12 +111,12 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, files: int | None = None) -> DataFrame:
     """df written to the shared folder and read back: later steps read files that outlive any executor.
 
-    Into few files, each from several partitions of df: a shared store suffers from many small ones. By default a file
-    for each core, or for four shuffle partitions if these are more.
+    Without `files`, as many files as df's last stage has tasks, which adaptive execution fits to its size; with `files`,
+    for small tables, that many at most.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/parcelry-{uuid.uuid4().hex}"
-    df.coalesce(files or max(spark.sparkContext.defaultParallelism, bucket_count(spark) // 4)).write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

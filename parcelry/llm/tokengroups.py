@@ -47,6 +47,7 @@ SPARE = 15
 TOGETHER = 1_000_000
 CELLS = 2_000_000
 BUCKET_BYTES = 4 << 20
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -344,7 +345,11 @@ def _groups(sets: DataFrame, s: Settings) -> DataFrame:
     def cut(df: DataFrame, by: list[str], part) -> DataFrame:
         parts = F.greatest(F.ceil(F.count("*") / s.chunk), F.ceil(F.sum("n") / s.tokens))
         large = df.groupBy(*by).agg(parts.alias("parts")).where("parts > 1")
-        return df.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(f"{by[-1]}_part", F.pmod(part, F.col("parts"))).drop("parts")
+        # a hub that many classes have is dealt over SALTS partitions on its way
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = df.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int"))
+        out = own.join(salted, [*by, "salt"], "left").withColumn(f"{by[-1]}_part", F.pmod(part, F.coalesce("parts", F.lit(1))))
+        return out.drop("parts", "salt")
 
     dealt = cut(cut(sets, ["hub"], F.col("low")), ["hub", "hub_part"], F.xxhash64("c"))
 
