@@ -7,7 +7,7 @@ the window. Equal windows have their anchors at equal offsets, and neighbouring
 a maximal run of windows with one anchor; its string is what these windows span, about 1.4 LENGTH.
 
 1. Every anchor's hash goes to its bucket. Where a hash is there once, all windows of its record are unique. Records that
-   are equal within a task are repeats already, and one of them goes on for all.
+   are equal within a task, by a hash and then byte by byte, are repeats already, and one of them goes on for all.
 2. Of the other anchors each task sorts the suffixes, by bucket, and sends the sorted run front-coded: the length of the
    prefix shared with the suffix before, and the rest.
 3. A bucket merges its runs by a loser tree. Players carry the prefix they share with the last winner; unequal lengths
@@ -95,6 +95,21 @@ def anchors(h: Hashed, sizes: np.ndarray, length: int, anchor: int) -> tuple[np.
     return text[a], at[a], start[a], start[b - 1]
 
 
+def told_apart(order: np.ndarray, first: np.ndarray, last: np.ndarray, body) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal hashes, cut where the bodies differ after all."""
+    cut: list[int] = []
+    for i, j in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
+        own = [body(x) for x in order[i:j].tolist()]
+        if any(x != own[0] for x in own[1:]):
+            by = sorted(range(j - i), key=lambda x: (own[x], x))
+            order[i:j] = order[i:j][by]
+            cut += [i + x for x in range(1, j - i) if own[by[x]] != own[by[x - 1]]]
+    if cut:
+        first = np.sort(np.r_[first, np.array(cut, first.dtype)])
+        last = np.r_[first[1:], last[-1]]
+    return order, first, last
+
+
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """How long the prefix is that a and b share; they share `known` bytes for certain."""
     n = min(len(a), len(b))
@@ -236,13 +251,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             sizes = np.array([len(g[2]) for g in group], np.int64)
             keys = np.array([g[:2] for g in group], np.int64)
             begin = np.cumsum(sizes) - sizes
-            h = Hashed(np.frombuffer(b"".join([g[2] for g in group]), np.uint8))
+            joined = b"".join([g[2] for g in group])
+            h = Hashed(np.frombuffer(joined, np.uint8))
             text, at, a, b = anchors(h, sizes, length, anchor)
             if not len(text):
                 return
             whole = h.of(a, b + length) ^ mixed(((at - a) << 32 | (b - a)).astype(U64))
             order = np.argsort(whole, kind="stable")
             first, last = runs(np.r_[True, whole[order][1:] != whole[order][:-1]])
+            order, first, last = told_apart(order, first, last, lambda i: joined[a[i] : b[i] + length])
             many = np.repeat(last - first > 1, last - first)
             rep = order[first]
             out = []

@@ -3,8 +3,9 @@
 The k-mers are the windows of 20 consecutive words. A window's minimiser is the smallest hash among its m-grams of
 words; equal windows have equal minimisers, and neighbouring windows mostly share theirs. A maximal run of windows with
 one minimiser (a super-k-mer) travels as one packed string to the bucket of that minimiser, where all its windows are
-spelt out again and sorted, so that each window's occurrences meet and are counted exactly. A task sends each distinct
-window once: of what it has itself it knows that all but the first occurrence repeat. A passage that a third of all
+spelt out again and sorted, so that each window's occurrences meet and are counted exactly: windows are sorted by a hash,
+and neighbours in the order are then compared word by word (words by hashes that are known to tell a task's words apart;
+should one window's hash be another's, they are sorted by all their words). A task sends each distinct window once: of what it has itself it knows that all but the first occurrence repeat. A passage that a third of all
 documents share thus reaches its bucket once per task and not once per document.
 """
 
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, binaries, buckets_for, hashes, keyed, keys, lean, mixed, release, runs, united, whole, windows, words
+from parcelry.llm.common import KEY, binaries, buckets_for, hashes, keyed, keys, lean, named, placed, release, runs, united, whole, windows, words
 
 K, M = 20, 3
 #: Words that a task looks at together; a longer document is looked at whole.
@@ -40,11 +41,19 @@ def minimisers(h: np.ndarray, k: int, m: int) -> np.ndarray:
     return g
 
 
-def _repeats(doc: np.ndarray, start: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Of windows, each with its place (doc, start) and two independent hashes, those that also start at an earlier place."""
-    order = np.lexsort((start, doc, v, w))
-    w, v, d, s = w[order], v[order], doc[order], start[order]
-    new = np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])] if len(w) else np.empty(0, bool)
+def _repeats(doc: np.ndarray, start: np.ndarray, h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of windows, each with its place (doc, start) and its first word's index in h (hashes that tell words apart), those that also start at an earlier place."""
+    w = windows(h, k)[at]
+    order = np.lexsort((start, doc, w))
+    w = w[order]
+    new = np.r_[True, w[1:] != w[:-1]] if len(w) else np.empty(0, bool)
+    pair = np.flatnonzero(~new)
+    if any((h[at[order[pair]] + j] != h[at[order[pair - 1]] + j]).any() for j in range(k)):  # a window's hash is another's: by all words
+        _, w = np.unique(np.stack([h[at + j] for j in range(k)], axis=1), axis=0, return_inverse=True)
+        order = np.lexsort((start, doc, w.ravel()))
+        w = w.ravel()[order]
+        new = np.r_[True, w[1:] != w[:-1]]
+    d, s = doc[order], start[order]
     head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
     again = np.empty(len(w), bool)
     again[order] = (d != d[head]) | (s != s[head])
@@ -74,7 +83,10 @@ def _send(group: list[tuple[int, int, bytes]], k: int, m: int, buckets: int, squ
     if not len(flat):
         return
     ids = np.array([g[:2] for g in group], np.int64)
-    h = hashes(flat)
+    place: dict[bytes, int] = {}
+    nth = placed(flat, place)
+    names, seed = named(list(place))
+    h = names[nth]
     begin = np.cumsum(count) - count
     n = np.maximum(count - k + 1, 0)
     at = _ranges(begin, n)  # each window's first word in flat
@@ -82,8 +94,8 @@ def _send(group: list[tuple[int, int, bytes]], k: int, m: int, buckets: int, squ
     start = at - begin[row]
     if not len(at):
         return
-    w, v, low = windows(h, k)[at], windows(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), k, salt=3)[at], minimisers(h, k, m)[at]
-    again = _repeats(ids[row, 0], start, w, v)
+    low = minimisers(h if not seed else hashes(flat), k, m)[at]  # the same in all tasks, so by the first seed
+    again = _repeats(ids[row, 0], start, h, at, k)
     first = ~again
 
     # spans known here go to a bucket too, which only passes them on
@@ -109,7 +121,8 @@ def _send(group: list[tuple[int, int, bytes]], k: int, m: int, buckets: int, squ
 def _meet(table: pa.Table, k: int) -> tuple[np.ndarray, ...]:
     """All that came to a bucket: the spans to remove (key, text key, first word, word after the last)."""
     grow = zstandard.ZstdDecompressor().decompress
-    known, heads, h = [], [], []
+    known, heads, own = [], [], []
+    place: dict[bytes, int] = {}
     for blob in table.column("packed").to_pylist():
         raw = grow(blob[1:])
         if blob[:1] == b"S":
@@ -117,15 +130,15 @@ def _meet(table: pa.Table, k: int) -> tuple[np.ndarray, ...]:
         else:
             (n,) = struct.unpack_from("<q", raw)
             heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
-            h.append(hashes(words(raw[8 + 32 * n :])))
+            own.append(placed(words(raw[8 + 32 * n :]), place))
     out = list(known)
     if heads:
-        head, hs = np.concatenate(heads, axis=1), np.concatenate(h)
+        head, h = np.concatenate(heads, axis=1), named(list(place))[0][np.concatenate(own)]
         n = head[3]
         begin = np.cumsum(n + k - 1) - (n + k - 1)
         at, row = _ranges(begin, n), np.repeat(np.arange(len(n)), n)
         start = at - begin[row] + head[2][row]
-        again = _repeats(head[0][row], start, windows(hs, k)[at], windows(mixed(hs ^ np.uint64(0x5851F42D4C957F2D)), k, salt=3)[at])
+        again = _repeats(head[0][row], start, h, at, k)
         r, s, e = _spans_of(again, row, start, k)
         out.append(np.stack([head[0][r], head[1][r], s, e]))
     got = np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)

@@ -60,3 +60,14 @@ def test_as_brute_force(spark):
 def test_empty(spark):
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r)[1:4] for r in deduplicated(spark.createDataFrame([(1, "a" * 399)], "doc_id long, text string"), digest=True).collect()] == [(399, 0, 0)]
+
+
+def test_forced_collisions():
+    """Records of one hash that aren't equal are cut apart."""
+    import numpy as np
+
+    from parcelry.llm.suffixes import told_apart
+
+    bodies = [b"a", b"b", b"a", b"c", b"d", b"d"]
+    order, first, last = told_apart(np.arange(6), np.array([0, 3, 4]), np.array([3, 4, 6]), lambda i: bodies[i])
+    assert [[bodies[x] for x in order[i:j]] for i, j in zip(first, last, strict=True)] == [[b"a", b"a"], [b"b"], [b"c"], [b"d", b"d"]]
