@@ -1,10 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word has the features: itself, and the character n-grams of "<word>", each hashed to a row of one table of
-vectors. Of word pairs, those of a word with itself share one row, counted REPEAT times for each pair: what such a pair
-says doesn't hang on the word. A document is the mean of its features' vectors; a softmax over the two classes reads it. Vectors and output
-weights are learnt together by stochastic gradient descent in numpy, on a bounded sample of labelled rows. Scoring is
-linear up to the softmax, so a word's part in the class margin is one number, worked out once per distinct word.
+A text's features are its words, the character n-grams of every "<word>", and its pairs of neighbouring words, each hashed
+to a row of one table of vectors. A document is the mean of its features' vectors; a softmax over the two classes reads it.
+Vectors and output weights are learnt together by stochastic gradient descent in numpy, on a bounded sample of labelled
+rows. Scoring is linear up to the softmax, so what a word and its n-grams add to the class margin is one number, worked
+out once per distinct word of a batch, and a pair's is a look into the table.
 """
 
 from __future__ import annotations
@@ -22,14 +22,10 @@ from parcelry.llm.common import ODD, U64, binaries, hashes, held_out, lean, mixe
 
 #: Texts that are scored together.
 TEXTS = 500
-#: Bytes of words whose n-grams are hashed together: a bound of memory only.
+#: Characters of words whose n-grams are hashed together: a bound of memory only.
 SLICE = 1 << 18
 
 
-#: How often a word that repeats the one before counts as the feature of doing so.
-REPEAT = 4
-
-
 @dataclass(frozen=True)
 class Settings:
     #: Most labelled rows that are learnt from, the first by a hash of their id.
@@ -47,18 +43,18 @@ class Settings:
 
 
 def features(own: list[bytes], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The table rows of words and of the n-grams of all their bytes between < and >, and which word each is of, in parts of about SLICE bytes."""
+    """The table rows of words and of the n-grams of all their characters between < and >, and which word each is of, in parts of about SLICE characters."""
     yield (mixed(hashes(own)) & U64(s.rows - 1)).astype(np.int64), np.arange(len(own))
-    size = np.fromiter(map(len, own), np.int64, len(own)) + 2
-    ends = np.cumsum(size)
-    total = int(size.sum())
-    data = np.frombuffer(b"<" + b"><".join(own) + b">" + bytes(s.longest), np.uint8)
+    text = [w.decode("utf-8", "replace") for w in own]
+    ends = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)) + 2)
+    total = int(ends[-1]) if len(ends) else 0
+    data = np.frombuffer(("<" + "><".join(text) + ">" + "\0" * s.longest).encode("utf-32-le", "surrogatepass"), np.uint32)
     for at in range(0, total, SLICE):
         m = min(SLICE, total - at)
         part = data[at : at + m + s.longest].astype(np.uint64)
         place = np.arange(at, at + m)
         of = np.searchsorted(ends, place, side="right")
-        left = ends[of] - place  # bytes from here to the word's end
+        left = ends[of] - place  # characters from here to the word's end
         for n in range(s.shortest, s.longest + 1):
             h = np.full(m, ODD[n], U64)
             for j in range(n):
@@ -67,6 +63,14 @@ def features(own: list[bytes], s: Settings) -> Iterator[tuple[np.ndarray, np.nda
             yield (mixed(h[on]) & U64(s.rows - 1)).astype(np.int64), of[on]
 
 
+def pairs(h: np.ndarray, doc: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The table rows of neighbouring words (hashes h, of the texts doc), and which text each pair is of. Pairs of a word with itself share one row."""
+    same = doc[1:] == doc[:-1]
+    again = h[1:] == h[:-1]
+    rows = (mixed(np.where(again, U64(1), h[:-1] * ODD[50] + h[1:] * ODD[51])) & U64(s.rows - 1)).astype(np.int64)
+    return rows[same], doc[1:][same]
+
+
 def grouped(own: list[bytes]) -> Iterator[list[bytes]]:
     """The words in lists of SLICE bytes at most; a longer word is by itself."""
     group: list[bytes] = []
@@ -81,43 +85,35 @@ def grouped(own: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def repeats(own: list[bytes]) -> int:
-    return REPEAT * sum(map(eq, own, own[1:]))
-
-
-def repeat_row(s: Settings) -> int:
-    return s.rows // 3
-
-
 class Model:
     """The margin (log odds of class 1 against 0) of each table row, and the bias."""
 
     def __init__(self, margin: np.ndarray, bias: float, s: Settings):
         self.margin, self.bias, self.s = margin, bias, s
-        self.again = float(margin[repeat_row(s)])
 
-    def parts(self, own: list[bytes]) -> list[complex]:
-        """Of each word the sum of its features' margins, and how many they are as the imaginary part."""
+    def parts(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the sum of its features' margins, and how many they are."""
         sums, n = np.zeros(len(own)), np.zeros(len(own))
         for rows, of in features(own, self.s):
             sums += np.bincount(of, self.margin[rows], len(own))
             n += np.bincount(of, minlength=len(own))
-        return (sums + 1j * n).tolist()
+        return sums, n
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """P(class 1) of each text; a word's part is worked out once for all of them."""
         split = [words(t) for t in texts]
-        own = list({w for x in split for w in x})
-        part: dict[bytes, complex] = {}
-        for group in grouped(own):
-            part.update(zip(group, self.parts(group), strict=True))
+        place: dict[bytes, int] = {}
+        at = np.fromiter((place.setdefault(w, len(place)) for x in split for w in x), np.int64)
         z = np.full(len(texts), self.bias)
-        for i, x in enumerate(split):
-            if x:
-                again = repeats(x)
-                total = sum(map(part.__getitem__, x)) + complex(again * self.again, again)
-                z[i] += total.real / total.imag
-        return 1 / (1 + np.exp(-z))
+        if len(at):
+            own = list(place)
+            sums, n = (np.concatenate(x) for x in zip(*map(self.parts, grouped(own)), strict=True))
+            doc = np.repeat(np.arange(len(split)), [len(x) for x in split])
+            rows, of = pairs(hashes(own)[at], doc, self.s)
+            count = np.bincount(doc, n[at], len(texts)) + np.bincount(of, minlength=len(texts))
+            total = np.bincount(doc, sums[at], len(texts)) + np.bincount(of, self.margin[rows], len(texts))
+            z += total / np.maximum(count, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Model:
@@ -136,7 +132,9 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Mo
         c = np.zeros(s.rows)
         for rows, of in features(list(count), s) if own else ():
             c += np.bincount(rows, often[of], s.rows)
-        c[repeat_row(s)] += repeats(own)
+        if own:
+            rows, _ = pairs(hashes(own), np.zeros(len(own), np.int64), s)
+            c += np.bincount(rows, minlength=s.rows)
         i = np.flatnonzero(c)
         c = c[i]
         ids.append(i.astype(np.int32))
@@ -173,7 +171,12 @@ def learnt(docs: DataFrame, labels: DataFrame, label: str, s: Settings = Setting
 
 
 def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """doc_id, held_out, score (of class 1) and predicted (1 from the threshold on) of every row. Texts without words, null ones too, get the bias's score."""
+    """doc_id, held_out, score (of class 1) and predicted (1 from the threshold on) of every row.
+
+    Texts without words, null ones too, get the bias's score. Very long texts and words are scored whole; repeated rows
+    are scored each for itself, and equal texts alike; a score at the threshold is predicted 1; no rows give no rows. Other
+    columns of docs, labels among them, aren't looked at.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.margin.astype(np.float32), model.bias, model.s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,7 @@ def scored(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns."""
+    """The rows of docs that score at least the threshold (see scored), unchanged: all their columns, whatever their names, and repeated rows as often as they are there."""
     sent = docs.sparkSession.sparkContext.broadcast((model.margin.astype(np.float32), model.bias, model.s))
     at = docs.columns.index("text")
 
