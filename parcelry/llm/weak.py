@@ -2,11 +2,12 @@
 
 Many voters look at a text: lexicon voters (a word, or the beginning of words), pattern voters, and one that fires where
 no entry of the lexicon shows. A voter that doesn't fire abstains, so it says nothing about texts in a language that it
-doesn't know. A generative label model, fitted by expectation maximisation without labels, says how often each voter fires on either class, and how
-voters hang together beyond the class: those that fire together count as less than one voice each. Its posterior labels
-train the classifier, a logistic regression on words and beginnings of words.
+doesn't know. A generative label model, fitted by expectation maximisation, says how often each voter fires on either class
+and how that hangs on one other voter, its parent in a tree of dependencies: what two voters see together counts once. Its
+posterior labels train and calibrate the classifier, a logistic regression on words and beginnings of words.
 
-Which lexicon entries become voters is mined from labelled rows outside the held-out fold.
+Labels of the sample serve to find the lexicon entries that become voters, as no list knows an unknown language's words,
+and give the class balance. The label model and the classifier see votes and posteriors only.
 """
 
 from __future__ import annotations
@@ -30,9 +31,6 @@ SPACED = bytes.maketrans(EDGES, b" " * len(EDGES))
 #: A run of more bytes between spaces is taken for several words.
 LONG = 64
 
-#: Voters that correlate more than this, given the class, see the same thing and share one voice.
-SAME = 0.5
-
 #: Pattern voters; each votes toxic where it matches a lower-cased text.
 PATTERNS = {
     "address": rb"\byou(?:'re| are| absolute| complete)? (?:an? |such an? )?\w+",
@@ -135,7 +133,7 @@ def mined(shown: Shown, y: np.ndarray) -> np.ndarray:
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     ratio = np.log((one + 0.1) / n1) - np.log((zero + 0.1) / n0)
     good = np.flatnonzero((one >= s.least) & (ratio > 1.5))
-    good = good[np.lexsort((shown.key[good], -ratio[good] * np.sqrt(one[good])))][: 40 * s.voters]
+    good = good[np.lexsort((shown.key[good], -ratio[good] * np.sqrt(one[good])))]
     hit = np.isin(shown.flat, good) & (y[shown.at] == 1)
     where: dict[int, list[int]] = {int(e): [] for e in good}
     for e, i in zip(shown.flat[hit].tolist(), shown.at[hit].tolist(), strict=True):
@@ -150,38 +148,86 @@ def mined(shown: Shown, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(class 1), P(fire | class) of each voter, the voters' correlations given the class, and the weight that these leave each."""
+    """A tree of voters: P(class 1), each voter's parent (-1: none), and P(fire | class, whether the parent fires).
+
+    A voter's accuracy is how its chances differ between the classes; the correlation of two voters given the class is
+    how the chances of one differ with the other's vote.
+    """
 
     prior: float
+    parent: np.ndarray
+    #: class, parent's vote, voter.
     fire: np.ndarray
-    correlation: np.ndarray
-    weight: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(class 1) of each row of votes (rows by voters, 1 where a voter fires)."""
-        llr = votes @ (self.weight * (np.log(self.fire[1]) - np.log(self.fire[0])))
+        """P(class 1) of each row of votes (rows by voters, 1 where a voter fires; one that doesn't abstains)."""
+        ratio = np.log(self.fire[1]) - np.log(self.fire[0])
+        up = self._up(votes)
+        llr = (votes * (ratio[0] + up * (ratio[1] - ratio[0]))).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(llr + np.log(self.prior / (1 - self.prior)), -500, 500)))
 
+    def _up(self, votes: np.ndarray) -> np.ndarray:
+        """The parents' votes, 0 for none."""
+        return np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0.0)
 
-def fit(votes: np.ndarray, prior: float, trusted: np.ndarray, rounds: int) -> LabelModel:
-    """By expectation maximisation. It starts from: a text on which any trusted voter fires is of class 1. The prior is held."""
+
+def dependencies(votes: np.ndarray, p: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent in the forest of most mutual information given the class, of edges that the data show (nats of all rows)."""
     n, m = votes.shape
-    prior = float(np.clip(prior, 0.01, 0.99))
+    info = np.zeros((m, m))
+    for r in (1 - p, p):
+        total = r.sum() + 1e-9
+        both = (votes * r[:, None]).T @ votes / total
+        one = np.clip(np.diag(both), 1e-9, 1 - 1e-9)
+        a, b = one[:, None], one[None, :]
+        for joint, x, y in ((both, a, b), (a - both, a, 1 - b), (b - both, 1 - a, b), (1 - a - b + both, 1 - a, 1 - b)):
+            q = np.clip(joint, 1e-12, 1)
+            info += total * q * np.log(q / (x * y))
+    parent, root = np.full(m, -1), list(range(m))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near: dict[int, list[int]] = {i: [] for i in range(m)}
+    edges = [(info[i, j], i, j) for i in range(m) for j in range(i) if info[i, j] >= least]
+    for _, i, j in sorted(edges, reverse=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[x] = y
+            near[i].append(j)
+            near[j].append(i)
+    seen: set[int] = set()
+    for start in range(m):
+        todo = [start] if start not in seen else []
+        seen.update(todo)
+        while todo:
+            i = todo.pop()
+            for j in near[i]:
+                if j not in seen:
+                    seen.add(j)
+                    parent[j] = i
+                    todo.append(j)
+    return parent
+
+
+def fit(votes: np.ndarray, prior: float, trusted: np.ndarray, rounds: int, alone: int = 1, least: float = 8.0) -> LabelModel:
+    """By expectation maximisation. The class balance (prior) is given and held, no other label is seen. It starts from: a text on which any trusted voter fires is of class 1. The tree of dependencies is found anew every ten rounds; the last `alone` voters, which only say that no other fires, aren't in it."""
+    m = votes.shape[1]
     p = np.where(votes[:, trusted].any(axis=1) if trusted.any() else votes.any(axis=1), 0.9, 0.05)
-    model = LabelModel(prior, np.full((2, m), 0.5), np.zeros((m, m)), np.ones(m))
+    model = LabelModel(float(np.clip(prior, 0.01, 0.99)), np.full(m, -1), np.full((2, 2, m), 0.5))
     for step in range(rounds):
+        if step % 10 == 5:
+            model.parent[: m - alone] = dependencies(votes[:, : m - alone], p, least)
+        up = model._up(votes)
         for c, r in enumerate((1 - p, p)):
-            model.fire[c] = np.clip((r @ votes + 0.05) / (r.sum() + 1), 1e-4, 1 - 1e-4)
-        if step % 10 == 0:
-            expected = (1 - p)[:, None] * model.fire[0] + p[:, None] * model.fire[1]
-            rest = votes - expected
-            cov = rest.T @ rest / max(1, n)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            model.correlation = cov / np.outer(sd, sd)
-            np.fill_diagonal(model.correlation, 0)
-            model.weight = 1 / (1 + np.where(model.correlation > SAME, model.correlation, 0).sum(axis=1))
+            for v, on in enumerate((1 - up, up)):
+                of = on * r[:, None]
+                base = ((on * votes).sum(axis=0) + 0.05) / (on.sum(axis=0) + 1)  # of both classes: what few rows say leans on it
+                model.fire[c, v] = np.clip(((of * votes).sum(axis=0) + base) / (of.sum(axis=0) + 1), 1e-4, 1 - 1e-4)
         new = model.posterior(votes)
-        if np.abs(new - p).max() < 1e-6:
+        if step > 5 and np.abs(new - p).max() < 1e-6:
             break
         p = new
     return model
@@ -264,16 +310,14 @@ def train(texts: list[bytes], labels: list[int], s: Settings = Settings()) -> Cl
         w -= 1.0 * g / np.sqrt(size)
         b -= 1.0 * back.mean() / np.sqrt(speed)
     w = np.where(np.abs(w) > 0.05, w, 0.0)
-    scale, shift = calibrated(np.bincount(at, w[flat_ids], len(y)) + b, y)
+    scale, shift = calibrated(np.bincount(at, w[flat_ids], len(y)) + b, p)
     names = shown.names(texts, np.r_[chosen, lexicon])
     keep = {names[e]: float(scale * w[i]) for i, e in enumerate(chosen.tolist()) if w[i]}
     return Classifier(keep, float(scale * b + shift), s, model, (*(names[e] for e in lexicon.tolist()), *PATTERNS, "silence"))
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a classifier's log odds z that fit the sample's labels best, these softened by one text of each class."""
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+def calibrated(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a classifier's log odds z that fit the posterior labels t best."""
     x = np.stack([z, np.ones(len(z))], axis=1)
     v = np.array([1.0, 0.0])
     loss = lambda v: float(np.sum(np.logaddexp(0, x @ v) - t * (x @ v)) + 1e-3 * (v[0] - 1) ** 2)
@@ -296,7 +340,12 @@ def learnt(docs: DataFrame, labels: DataFrame, label: str, s: Settings = Setting
 
 
 def scored(docs: DataFrame, model: Classifier, threshold: float) -> DataFrame:
-    """doc_id, held_out, score (of class 1) and predicted (1 from the threshold on) of every row. Texts without words, null ones too, get the bias's score."""
+    """doc_id, held_out, score (of class 1) and predicted (1 from the threshold on) of every row.
+
+    Texts without words, null ones too, get the bias's score. Very long texts are scored whole; repeated rows are scored
+    each for itself, and equal texts alike; a score at the threshold is predicted 1; no rows give no rows. Other columns of
+    docs, labels among them, aren't looked at.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
