@@ -541,10 +541,14 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
 
 
 def _labelled(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """doc_key, text_key, n, c and label (of the component) of every row; c, links."""
+    """doc_key, text_key, n, c of every row; of every class c with words its rows (alike), links, the smallest row of it (first: KEY) and the label of its component.
+
+    Tables, so that what joins them reads plain shuffles, whose hot keys adaptive execution splits.
+    """
     rows, links, pairs = classes(docs, s)
-    labels = kept(components(pairs))
-    return rows.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component"), links
+    labels = kept(components(pairs)).withColumnRenamed("node", "c")
+    own = rows.where("n > 0").groupBy("c").agg(F.count("*").alias("alike"), F.min(F.struct(*KEY)).alias("first"))
+    return rows, kept(own.join(labels, "c", "left").join(links, "c", "left").select("c", "alike", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "c").alias("label")))
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -554,8 +558,8 @@ def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     link with nothing and all stay. A null doc_id comes before all others, very long texts are looked at whole, no rows
     give no rows, and columns may have any names.
     """
-    rows, _ = _labelled(docs, s)
-    first = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*", F.lit(True).alias("one"))
+    rows, own_classes = _labelled(docs, s)
+    first = own_classes.groupBy("label").agg(F.min("first").alias("k")).select("k.*", F.lit(True).alias("one"))
     empty = rows.where("n = 0").select(*KEY, F.lit(False).alias("one")).distinct()
     own = whole(docs).select("row", *(c.alias(k) for c, k in zip(keys("row."), KEY, strict=True)))
     stay = own.join(first.unionByName(empty), list(KEY)).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("doc_key")))
@@ -570,11 +574,10 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     component that holds one has a null component_id. Repeated rows have equal sets and so link. Very long texts are
     looked at whole. No rows give no rows. Other columns of docs aren't looked at.
     """
-    named, links = _labelled(docs, s)
-    alike = named.where("n > 0").groupBy("c").agg(F.count("*").alias("alike"))
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc_key").alias("least"))
-    done = named.join(least, "label", "left").join(alike.join(links, "c", "left"), "c", "left")
-    n_links = F.when(F.col("n") > 0, F.col("alike") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
-    done = done.select(*KEY, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_key")).alias("least"), n_links.alias("n_links"))
+    rows, own_classes = _labelled(docs, s)
+    least = kept(own_classes.groupBy("label").agg(F.min("first")["doc_key"].alias("least")))
+    told = kept(own_classes.join(least, "label").select("c", "least", (F.col("alike") - 1 + F.col("links")).alias("n_links")))
+    has = F.col("n") > 0
+    done = rows.join(told, "c", "left").select(*KEY, F.col("n").alias("n_shingles"), F.when(has, F.col("least")).otherwise(F.col("doc_key")).alias("least"), F.when(has, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
     null = F.lit(-(2**63)).cast("long")
     return done.select(F.nullif("doc_key", null).alias("doc_id"), "n_shingles", F.nullif("least", null).alias("component_id"), "n_links")
