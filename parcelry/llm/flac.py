@@ -1,11 +1,11 @@
 """FLAC: a lossless codec for 8-bit mono samples, in numpy, many frames at a time.
 
-The encoder writes a stream marker, STREAMINFO with the MD5 of the samples, a SEEKTABLE, and frames of one subframe:
-a fixed linear predictor of order 0 to 2, its residuals in one Rice partition, or verbatim samples where these are
-shorter. The decoder reads fixed predictors of order 0 to 4, quantised linear predictors of any order, constant and
+The encoder writes a stream marker, STREAMINFO with the MD5 of the samples, a SEEKTABLE, and frames of one subframe: a
+linear predictor with quantised coefficients (from the frame's autocorrelation) or a fixed one of order 0 to 2, whichever
+is shorter, its residuals in one Rice partition, or verbatim samples where these are shorter still. The decoder reads fixed predictors of order 0 to 4, quantised linear predictors of any order, constant and
 verbatim subframes, any partition order and escaped partitions, and checks each header's CRC-8, each frame's CRC-16 and
 the MD5. Frames are decoded side by side, a lane for each, so that Python steps once per sample of a block and not
-once per sample of a corpus; what the lanes don't do (linear predictors with coefficients, several partitions) goes
+once per sample of a corpus; what the lanes don't do (predictors of an order above LANE_ORDER, several partitions) goes
 through a plain decoder for a single frame.
 """
 
@@ -17,6 +17,10 @@ import struct
 import numpy as np
 
 BLOCK = 1024
+#: The encoder's linear predictors: order, bits of a coefficient, the largest shift.
+ORDER, PRECISION, SHIFT = 4, 10, 12
+#: The largest order that is decoded side by side.
+LANE_ORDER = 8
 #: Bytes of STREAMINFO and of a seek point: fixed values of the format.
 INFO_BYTES, POINT_BYTES = 34, 18
 
@@ -78,6 +82,30 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
     return (r << 1) ^ (r >> 31)
 
 
+def predictors(x: np.ndarray, start: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each frame (start, n samples of x), quantised coefficients (a row for each of the last samples) and their shift, by Levinson and Durbin's recursion."""
+    pos = np.arange(len(x)) - np.repeat(start, n)
+    f = x.astype(np.float64)
+    r = []
+    for lag in range(order + 1):
+        p = np.zeros(len(f))
+        p[lag:] = f[lag:] * f[: max(0, len(f) - lag)]
+        p[pos < lag] = 0
+        r.append(np.add.reduceat(p, start))
+    error = r[0] + 1e-3
+    a = np.zeros((order, len(n)))
+    for i in range(order):
+        k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / error
+        k = np.clip(k, -0.999, 0.999)
+        a[:i] -= k * a[:i][::-1]
+        a[i] = k
+        error = error * (1 - k * k)
+    most = np.maximum(np.abs(a).max(axis=0), 1e-6)
+    limit = (1 << (PRECISION - 1)) - 1
+    shift = np.clip(np.floor(np.log2(limit / most)), 0, SHIFT).astype(np.int64)
+    return np.clip(np.rint(a * (1 << shift)), -limit, limit).astype(np.int64), shift
+
+
 def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     """A FLAC stream for each payload; a byte b is the sample b - 128. Every payload needs a byte at least."""
     if not payloads:
@@ -96,29 +124,39 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     # the residuals of orders 0 to 2; a frame's first samples are warm-up
     d1 = np.diff(x, prepend=np.int32(0))
     d2 = np.diff(d1, prepend=np.int32(0))
-    us = [_zigzag(r) for r in (x, d1, d2)]
-    for o, u in enumerate(us):
+    lane = np.arange(len(n))
+    frame_of = np.repeat(lane, n)
+    coefficients, lpc_shift = predictors(x, start, n, ORDER)
+    ahead = np.zeros(len(x), np.int64)
+    for i in range(ORDER):
+        ahead[i + 1 :] += coefficients[i][frame_of[i + 1 :]] * x[: -i - 1]
+    lpc = (x - (ahead >> lpc_shift[frame_of])).astype(np.int32)
+    us = [_zigzag(r) for r in (x, d1, d2, lpc)]
+    orders = np.array([0, 1, 2, ORDER])
+    for o, u in zip(orders.tolist(), us, strict=True):
         for w in range(o):
             u[(start + w)[n > w]] = 0
     sums = np.stack([np.add.reduceat(u, start, dtype=np.int64) for u in us])
-    coded = np.stack([np.maximum(n - o, 0) for o in range(3)])
+    coded = np.stack([np.maximum(n - o, 0) for o in orders])
     mean = sums / np.maximum(coded, 1)
     k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
-    bits = sums / (1 << k) + coded * (k + 1) + np.arange(3)[:, None] * 8
-    bits[1][n <= 1] = bits[2][n <= 2] = np.inf
-    order = np.argmin(bits, axis=0)
-    lane = np.arange(len(n))
-    k = k[order, lane]
+    lpc_bits = 9 + ORDER * PRECISION  # beside the warm-up samples: 4 of precision, 5 of shift, the coefficients
+    bits = sums / (1 << k) + coded * (k + 1) + orders[:, None] * 8 + np.array([0, 0, 0, lpc_bits])[:, None]
+    for i, o in enumerate(orders):
+        bits[i][n <= o] = np.inf
+    bits[0][n < 1] = 0
+    choice = np.argmin(bits, axis=0)
+    order, k = orders[choice], k[choice, lane]
 
-    frame_of = np.repeat(lane, n)
     pos = np.arange(len(x)) - np.repeat(start, n)
     o_of, k_of = order[frame_of], k[frame_of]
-    u = np.choose(o_of, us)
+    u = np.choose(choice[frame_of], us)
     warm = pos < o_of
     q = u >> k_of
     length = np.where(warm, 8, q + 1 + k_of).astype(np.int64)
     rice_bits = np.add.reduceat(length, start)
-    verbatim = 10 + rice_bits >= 8 * n
+    head_bits = 10 + np.where(choice == 3, lpc_bits, 0)  # the 10: method 2, partition order 4, parameter 4
+    verbatim = head_bits + rice_bits >= 8 * n
     if verbatim.any():
         v = verbatim[frame_of]
         warm |= v
@@ -130,7 +168,7 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     # headers: sync, variable block size off; 16-bit block size at the end; 8 bits a sample, mono, rate from STREAMINFO
     heads = [b"\xff\xf8\x70\x02" + _number(int(i)) + struct.pack(">H", int(m) - 1) for i, m in zip(nth, n, strict=True)]
     head_n = np.array([len(h) for h in heads], np.int64)
-    sub_bits = 8 + np.where(verbatim, 0, 10) + rice_bits  # the 10: method 2, partition order 4, parameter 4
+    sub_bits = 8 + np.where(verbatim, 0, head_bits) + rice_bits
     frame_n = head_n + 1 + -(-sub_bits // 8) + 2
     at = np.cumsum(frame_n) - frame_n
     out = np.zeros(int(frame_n.sum()) + 8, np.uint8)
@@ -139,13 +177,18 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     out[head_at] = flat
     out[at + head_n] = crc_lanes(out, at, head_n, CRC8, 8)
     body = at + head_n + 1
-    out[body] = np.where(verbatim, 1, 8 + order) << 1
-    # warm-up samples come before the 10 bits of the residual's head, and so are moved on by none of them
-    shift = np.where(verbatim, 0, 10)
+    out[body] = np.where(verbatim, 1, np.where(choice == 3, 31 + order, 8 + order)) << 1
+    # warm-up samples come before the head of the predictor and the residual, and so are moved on by none of it
+    shift = np.where(verbatim, 0, head_bits)
     ends = (np.cumsum(length) - np.repeat(np.cumsum(rice_bits) - rice_bits, n)) + np.repeat((body + 1) * 8, n) + np.where(warm, 0, shift[frame_of])
     _put(out, ends, value, width)
     rice = ~verbatim
-    _put(out, ((body + 1) * 8 + order * 8 + 10)[rice], k[rice].astype(np.uint64), np.full(int(rice.sum()), 4))
+    _put(out, ((body + 1) * 8 + order * 8 + head_bits)[rice], k[rice].astype(np.uint64), np.full(int(rice.sum()), 4))
+    own = rice & (choice == 3)
+    to = (body + 1)[own] * 8 + ORDER * 8
+    _put(out, to + 9, ((PRECISION - 1) << 5 | lpc_shift[own]).astype(np.uint64), np.full(len(to), 9))
+    for i in range(ORDER):
+        _put(out, to + 9 + (i + 1) * PRECISION, (coefficients[i][own] & ((1 << PRECISION) - 1)).astype(np.uint64), np.full(len(to), PRECISION))
     foot = at + frame_n - 2
     c = crc_lanes(out, at, frame_n - 2, CRC16, 16)
     out[foot], out[foot + 1] = c >> 8, c & 0xFF
@@ -238,10 +281,22 @@ def decode_frames(buffers: list[bytes], frames: list[tuple[int, int, int, int]])
         raise ValueError("a header's CRC-8 is wrong")
 
     kind = data[body] >> 1
-    order = np.where((kind >= 8) & (kind <= 12), kind.astype(np.int64) - 8, -1)
+    wide = kind.astype(np.int64)
+    quantised = (wide >= 32) & (wide <= 31 + LANE_ORDER)
+    order = np.where((wide >= 8) & (wide <= 12), wide - 8, np.where(quantised, wide - 31, -1))
     head = (body + 1) * 8 + np.maximum(order, 0) * 8
-    method = (data[head >> 3].astype(np.int64) << 8 | data[(head >> 3) + 1]) << 8 | data[(head >> 3) + 2]
-    method = method >> (14 - (head & 7)) & 0x3FF  # 2 bits of method, 4 of partition order, 4 of the parameter
+
+    def field(at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        """Bit fields of at most 17 bits."""
+        v = (data[at >> 3].astype(np.int64) << 8 | data[(at >> 3) + 1]) << 8 | data[(at >> 3) + 2]
+        return v >> (24 - (at & 7) - width) & ((1 << width) - 1)
+
+    precision, lpc_shift = field(head, 4) + 1, field(head + 4, 5)
+    coefficients_at = head + 9
+    head = np.where(quantised, head + 9 + order * precision, head)
+    method = field(np.minimum(head, (len(data) - 3) * 8), 10)  # 2 bits of method, 4 of partition order, 4 of the parameter
+    quantised &= (precision < 16) & (lpc_shift < 16)  # a negative shift is for the plain decoder
+    order = np.where((wide >= 32) & ~quantised, -1, order)
     easy = (order >= 0) & (method >> 4 == 0) & (method & 15 != 15) & ((data[body] & 1) == 0)
     out: list[np.ndarray | None] = [None] * len(frames)
     for i in np.flatnonzero((kind == 1) & ((data[body] & 1) == 0)):
@@ -254,11 +309,31 @@ def decode_frames(buffers: list[bytes], frames: list[tuple[int, int, int, int]])
         o, k, m = order[lanes], method[lanes] & 15, n[lanes]
         res = _rice_lanes(data, head[lanes] + 10, k, m - o)
         grid = np.zeros((len(lanes), int(m.max())), np.int32)
-        for w in range(4):
+        res = np.pad(res, ((0, 0), (0, grid.shape[1] - res.shape[1])))
+        for w in range(LANE_ORDER):
             has = np.flatnonzero(o > w)
-            grid[has, w] = data[body[lanes[has]] + 1 + w].view(np.int8)
+            if len(has):
+                grid[has, w] = data[body[lanes[has]] + 1 + w].view(np.int8)
+        q = quantised[lanes]
+        for each in range(1, LANE_ORDER + 1):
+            rows = np.flatnonzero(q & (o == each))
+            if not len(rows):
+                continue
+            at = coefficients_at[lanes[rows]]
+            bits = precision[lanes[rows]]
+            c = [field(at + i * bits, bits) for i in range(each)]
+            c = [v - ((v >> (bits - 1)) << bits) for v in c]
+            down = lpc_shift[lanes[rows]]
+            g = np.ascontiguousarray(grid[rows].T).astype(np.int64)
+            e = np.ascontiguousarray(res[rows].T)
+            for i in range(each, len(g)):  # a sample of every lane at once
+                ahead = c[0] * g[i - 1]
+                for w in range(1, each):
+                    ahead += c[w] * g[i - 1 - w]
+                g[i] = e[i - each] + (ahead >> down) if i - each < len(e) else 0
+            grid[rows] = g.T
         for each in range(5):
-            rows = np.flatnonzero(o == each)
+            rows = np.flatnonzero(~q & (o == each))
             if not len(rows):
                 continue
             g = grid[rows]

@@ -1,4 +1,9 @@
-"""Media columns: text bytes stored as FLAC streams, read back as PCM blocks with seekable sample offsets."""
+"""Media columns: text bytes stored as FLAC streams, decoded into a table of PCM blocks with seekable sample offsets.
+
+stored() encodes, decoded() verifies and decodes and gives each stream's blocks, features() describes what is read back
+from the table of blocks. The query writes that table to the shared folder; streams themselves travel from the encoder to
+the decoder within a task, as text shrinks little as sound and a table of them would be as large as the texts.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from parcelry.llm import flac
 from parcelry.llm.common import binaries, lean
@@ -37,7 +43,9 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def stored(docs: DataFrame) -> DataFrame:
     """Every document's text as an 8-bit mono FLAC stream: doc_id, n_bytes (without padding), media binary.
 
-    Null text counts as empty and is stored as 64 bytes 0. Equal texts give equal streams; repeated rows stay.
+    Null and empty text is stored as 64 bytes 0. Equal texts give equal streams; repeated rows stay, and no rows give no
+    rows. A very long text is one stream, whose codec takes some 100 bytes of memory for each of its own. Other columns
+    of docs aren't looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,22 +59,41 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("doc_id", "text", "octet_length(text) AS size").mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """The frames of stored(): doc_id, block, first_sample, first_byte (in the stream), pcm binary (unsigned 8-bit samples)."""
+BLOCKS = "array<struct<first_sample: bigint, first_byte: bigint, pcm: binary>>"
+_BLOCKS = pa.list_(pa.struct([("first_sample", pa.int64()), ("first_byte", pa.int64()), ("pcm", pa.binary())]))
+
+
+def decoded(media: DataFrame) -> DataFrame:
+    """The streams of stored(), decoded: doc_id, n_bytes, media_bytes, media_sha256, and blocks: of each frame its first sample, its first byte in the stream, and its unsigned 8-bit samples.
+
+    Checksums are verified; a stream that fails one raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                bounds = flac.Stream(data).bounds()
-                blocks = flac.decode_frames([data], [(0, n, a, b) for _, n, a, b in bounds])
-                pcm = [(x.astype(np.int8).view(np.uint8) ^ 0x80).tobytes() for x in blocks]
+            sizes = batch.column(3).to_pylist()
+            for a, b in _chunks(sizes):
+                part = batch.slice(a, b - a)
+                streams = part.column(2).to_pylist()
+                blocks = []
+                for stream, payload in zip(streams, flac.decode(streams), strict=True):
+                    bounds = flac.Stream(stream).bounds()
+                    blocks.append([{"first_sample": first, "first_byte": at, "pcm": payload[first : first + n]} for first, n, at, _ in bounds])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()] * len(pcm), doc.type), pa.array(range(len(pcm)), pa.int32()), pa.array([x[0] for x in bounds], pa.int64()), pa.array([x[2] for x in bounds], pa.int64()), pa.array(pcm, pa.binary())],
-                    ["doc_id", "block", "first_sample", "first_byte", "pcm"],
+                    [part.column(0), part.column(1), pa.array(map(len, streams), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in streams]), pa.array(blocks, _BLOCKS)],
+                    ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"],
                 )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(lean(run), f"doc_id {kind}, block int, first_sample bigint, first_byte bigint, pcm binary")
+    return media.selectExpr("doc_id", "n_bytes", "media", "octet_length(media) AS size").mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, media_bytes bigint, media_sha256 string, blocks {BLOCKS}")
+
+
+def samples_at(blocks: DataFrame, first: int, count: int) -> DataFrame:
+    """doc_id, pcm: `count` samples of each stream from `first` on (fewer at its end), from the only blocks that hold them; all within the JVM."""
+    here = F.filter("blocks", lambda b: (b["first_sample"] < first + count) & (b["first_sample"] + F.octet_length(b["pcm"]) > first))
+    skip = F.greatest(F.lit(first) - F.col("here")[0]["first_sample"], F.lit(0))
+    joined = F.aggregate("here", F.lit(b""), lambda a, b: F.concat(a, b["pcm"]))
+    return blocks.select("doc_id", here.alias("here")).select("doc_id", F.substring(joined, skip.cast("int") + 1, F.lit(count)).alias("pcm"))
 
 
 def feature(payload: bytes, n_blocks: int) -> str:
@@ -76,35 +103,29 @@ def feature(payload: bytes, n_blocks: int) -> str:
     return f"blocks={n_blocks};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings}"
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Every stream of stored() decoded, its checksums verified, and described.
-
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature.
-    A stream that fails a checksum raises.
-    """
+def features(blocks: DataFrame) -> DataFrame:
+    """The blocks of decoded(), described: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(3).to_pylist()
-            for a, b in _chunks(sizes):
-                part = batch.slice(a, b - a)
-                streams = part.column(2).to_pylist()
-                payloads = flac.decode(streams)
-                sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(map(len, payloads), pa.int64()),
-                        sha(payloads),
-                        pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()),
-                        pa.array(map(len, streams), pa.int64()),
-                        sha(streams),
-                        pa.array([feature(p, -(-len(p) // flac.BLOCK)) for p in payloads]),
-                    ],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
-
-    kind = media.schema["doc_id"].dataType.simpleString()
+            sha, crc, size, told = [], [], [], []
+            own = batch.column(4)
+            pcm = own.flatten().field("pcm") if len(own) else pa.array([], pa.binary())
+            parts = pcm.to_pylist()
+            ends = np.asarray(own.offsets)[1:] - np.asarray(own.offsets)[0]
+            at = 0
+            for end in ends.tolist():
+                payload = b"".join(parts[at:end])
+                sha.append(hashlib.sha256(payload).hexdigest())
+                crc.append(zlib.crc32(payload[-UNIT:]))
+                size.append(len(payload))
+                told.append(feature(payload, end - at))
+                at = end
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), batch.column(2), batch.column(3), pa.array(told, pa.string())],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
+
+    kind = blocks.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.selectExpr("doc_id", "n_bytes", "media", "octet_length(media) AS size").mapInArrow(lean(run), schema)
+    return blocks.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(lean(run), schema)

@@ -41,9 +41,10 @@ def op5_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from parcelry.llm.media import features, stored
+    from parcelry.llm.common import kept
+    from parcelry.llm.media import decoded, features, stored
 
-    return features(stored(table(spark, sf_dir, "documents")))
+    return features(kept(decoded(stored(table(spark, sf_dir, "documents")))))
 
 
 def op7_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:

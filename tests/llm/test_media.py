@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcelry.llm import flac
-from parcelry.llm.media import features, padded, pcm_blocks, stored
+from parcelry.llm.media import decoded, feature, features, padded, samples_at, stored
 
 
 @given(st.lists(st.binary(min_size=1, max_size=400), min_size=1, max_size=6), st.integers(16, 200))
@@ -63,13 +63,49 @@ def test_columns(spark):
     rows = [(1, "Hello"), (2, None), (3, ""), (4, "é" * 2000), (4, "é" * 2000), (None, "x" * 64)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
     media = stored(docs)
-    got = sorted(((r.doc_id or 0), r) for r in features(media).collect())
+    got = sorted(((r.doc_id or 0), r) for r in features(decoded(media)).collect())
     for (d, r), (d2, t) in zip(got, sorted(((d or 0), t or "") for d, t in rows), strict=True):
         p = padded(t.encode())
         assert d == d2 and r.n_bytes == len(t.encode()) and r.payload_bytes == len(p) and len(p) % 64 == 0 and p
         assert r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-64:])
     assert len({(r.media_sha256, r.feature) for d, r in got if d == 4}) == 1
-    blocks = pcm_blocks(media.where("doc_id = 4").limit(1)).orderBy("first_sample").collect()
-    assert b"".join(bytes(b.pcm) for b in blocks) == padded(("é" * 2000).encode())
-    assert [b.first_sample for b in blocks] == list(np.arange(len(blocks)) * flac.BLOCK)
-    assert features(stored(docs.limit(0))).count() == 0
+    blocks = decoded(media.where("doc_id = 4").limit(1))
+    payload = padded(("é" * 2000).encode())
+    own = blocks.first().blocks
+    assert b"".join(bytes(b.pcm) for b in own) == payload
+    assert [b.first_sample for b in own] == list(np.arange(len(own)) * flac.BLOCK)
+    for first in (0, 1000, 1024, 3990):
+        assert bytes(samples_at(blocks, first, 64).first().pcm) == payload[first : first + 64]
+    assert features(decoded(stored(docs.limit(0)))).count() == 0
+
+
+def test_query_as_brute_force(spark, tmp_path):
+    """Every column by hand; the stored form through the sample-by-sample decoder."""
+    from parcelry.llm.queries import op6_media_flac
+
+    rows = [(1, "Hello world. " * 400), (2, None), (3, "ü" * 70000), (4, "Hello world. " * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op6_media_flac(spark, str(tmp_path)).collect()}
+    for d, t in rows:
+        p = padded((t or "").encode())
+        (stream,) = flac.encode([p])
+        samples = []
+        for _, n, a, b in flac.Stream(stream).bounds():
+            _, at = flac._read_number(stream, a + 4)
+            samples += flac._plain(stream, at + 3, n).tolist()
+        assert bytes(x + 128 for x in samples) == p
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(samples, samples[1:], strict=False))
+        told = f"blocks={-(-len(p) // flac.BLOCK)};sum={sum(samples)};energy={sum(x * x for x in samples)};crossings={crossings}"
+        assert feature(p, -(-len(p) // flac.BLOCK)) == told
+        assert tuple(got[d])[1:] == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), told)
+
+
+def test_linear_predictors_are_written():
+    """Text is shorter with quantised predictors than with fixed ones, and both kinds of decoder read them."""
+    text = ("It was the best of times, it was the worst of times. " * 60).encode()
+    (stream,) = flac.encode([text])
+    kinds = set()
+    for _, n, a, b in flac.Stream(stream).bounds():
+        _, at = flac._read_number(stream, a + 4)
+        kinds.add(stream[at + 3] >> 1)
+    assert any(k >= 32 for k in kinds) and flac.decode([stream]) == [text]
