@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelry.plans import audits, files, outcomes, resolution, reviews, scores  # noqa: F401
+from parcelry.plans import audits, files, looks, outcomes, resolution, reviews, scores  # noqa: F401
 from parcelry.plans.registry import ORACLES, QUERIES
 
 
