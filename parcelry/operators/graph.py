@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from parcelry.operators.checks import require
 
 
+#: Edges for each file between rounds.
+EDGES = 200_000
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path where all executors see it: under spark.checkpoint.dir, or in a folder of our own if all runs in one process. Elsewhere an unset folder raises."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,11 +36,11 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written where all executors see it, and read back: it cuts the lineage of loops."""
+def kept(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df written where all executors see it (into so many files at most), and read back: it cuts the lineage of loops."""
     spark = df.sparkSession
     path = scratch(spark, "graph")
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,26 +61,37 @@ def induced(vertices: DataFrame, edges: DataFrame, key: str | None = None) -> Da
     return out.where("_ga = _gb").drop("_ga", "_gb") if key else out
 
 
-def components(vertices: DataFrame, edges: DataFrame, key: str | None = None) -> DataFrame:
-    """vertices with component, the smallest id reachable (within the group `key`).
+def stars(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) for every node of edges (a, b); repeated edges and loops don't matter, no edges give no rows.
 
-    Large and small stars by turns: about log(vertices) rounds; minima are aggregated and joined back, so that no task
-    gets a vertex's neighbours. The loop ends when a round changes nothing.
+    Large stars and small stars by turns: each node links its larger neighbours, then itself and its smaller neighbours, to
+    the smallest of them. The edges become stars around each component's smallest node in about log(nodes) rounds. A
+    node's neighbours never meet in one task: a minimum is aggregated, then joined back. The loop ends when a round changes
+    nothing; a round's table goes when the next one stands.
     """
-    now = kept(induced(vertices, canonical(edges), key).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct())
-    before = None
+    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    files, state = max(1, now.count() // EDGES), None
     while True:
         two = both_ways(now)
         least = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = two.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(m, "a")
-        now = kept(small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if state == before:
+        small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        new = kept(small.distinct(), files)
+        removed(now)
+        now = new
+        row = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if row == state:
             break
-        before = state
-    return vertices.join(now.select(F.col("a").alias("id"), F.col("b").alias("_c")), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
+        state = row
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def components(vertices: DataFrame, edges: DataFrame, key: str | None = None) -> DataFrame:
+    """vertices with component, the smallest id reachable (within the group `key`)."""
+    found = stars(induced(vertices, canonical(edges), key).select("a", "b"))
+    return vertices.join(found.select(F.col("node").alias("id"), F.col("component").alias("_c")), "id", "left").withColumn("component", F.coalesce("_c", "id")).drop("_c")
 
 
 def frontier(vertices: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
