@@ -1,37 +1,5 @@
-"""Connected components of a graph given by its edges, all in DataFrame operations."""
+"""Connected components of a graph given by its edges: node, component."""
 
-from __future__ import annotations
+from parcelry.operators.graph import stars as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from parcelry.llm.common import kept
-
-#: Edges for each file between rounds.
-EDGES = 200_000
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (a, b), both of one integer type.
-
-    Large stars and small stars in turn: each node links its larger neighbours, then itself and its smaller neighbours, to
-    the smallest of them. The edges become stars around each component's smallest node in about log(nodes) rounds. A
-    node's neighbours never meet in one task: a minimum is aggregated, then joined back. Repeated edges and loops don't
-    matter; no edges give no rows.
-    """
-    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    files = max(1, now.count() // EDGES)
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        m = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(m, "a")
-        small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = kept(small.distinct(), files)
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(row) == state:
-            break
-        state = tuple(row)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]
