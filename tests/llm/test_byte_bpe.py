@@ -47,3 +47,14 @@ def test_frames(spark):
     assert got == sorted(want)
     assert {(r.doc_id, bytes(r.decoded)) for r in encoded(docs, PATH, P.PATTERN).collect()} == {(d, (t or "").encode()) for d, t in rows}
     assert digests(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_tokenised_names_long_empty_and_repeated(spark):
+    from parcelry.llm.byte_bpe import tokenised
+
+    rows = [(1, "s", "Hello wörld", "m"), (1, "s", "Hello wörld", "m"), (2, None, None, "m"), (3, "t", "", "m"), (4, "t", "ab " * 50000, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_tokens string")
+    got = tokenised(docs, PATH, P.PATTERN).collect()
+    assert sorted((r.doc_id, r.source or "", np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in got) == sorted((d, s or "", reference().encode_ordinary(t or "")) for d, s, t, _ in rows)
+    assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+    assert tokenised(docs.limit(0), PATH, P.PATTERN).count() == 0

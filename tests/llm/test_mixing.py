@@ -119,3 +119,88 @@ def test_long_empty_and_repeated(spark):
     got = taken(docs, Settings(block_words=50, shards=2)).collect()
     assert len(got) == 6 and all(r.taken <= 3 * r["size"] for r in got)
     assert mixed(docs.limit(0)).count() == 0
+
+
+def spark_hash(*values):
+    """The engine's 64-bit xxHash of a row: ints as 4 bytes, ("long", x) as 8, text as UTF-8; NULL leaves the seed as it is."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if isinstance(v, tuple):
+            v = None if v[1] is None else struct.pack("<q", v[1])
+        elif isinstance(v, int):
+            v = struct.pack("<i", v)
+        elif isinstance(v, str):
+            v = v.encode()
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v, h)
+    return h - (h >> 63 << 64)
+
+
+def mixed_by_hand(rows, s):
+    """taken and shards of every row, one draw after the other: {(doc_id, text, source, copy): (taken, shards)}."""
+    copies, own = {}, []
+    for d, t, source in rows:
+        copies[d, t, source] = copies.get((d, t, source), 0) + 1
+        own.append((d, t, source, copies[d, t, source]))
+    order = sorted({x[2] for x in own}, key=lambda x: (x is None, x or ""))
+    size = lambda x: len((x[1] or "").split())
+    sizes = [sum(size(x) for x in own if x[2] == source) for source in order]
+    out = {x: (0, []) for x in own}
+    drawn, per_pass = [], []
+    for no, (n, target) in enumerate(zip(sizes, targets(sizes, s), strict=True)):
+        whole, n_blocks = int(target // n) if n else 0, max(1, round(n / s.block_words))
+        rest = int(round(target - whole * n))
+        blocks = {}
+        for x in own:
+            if x[2] == order[no]:
+                fp = spark_hash(x[1], x[2])
+                blocks.setdefault(spark_hash(s.seed, ("long", x[0]), ("long", fp), ("long", x[3])) % n_blocks, []).append((x, fp))
+        per_pass.append(len(blocks))
+        sequence = []
+        for p in range(whole + 1):
+            left = rest
+            for nth, b in enumerate(sorted(blocks, key=lambda b: (spark_hash(s.seed, no, p, ("long", b)), b))):
+                words = sum(size(x) for x, _ in blocks[b])
+                if p < whole or words <= left:
+                    sequence.append((p * len(blocks) + nth, [x for x, _ in blocks[b]]))
+                elif left > 0:
+                    some = sorted(((x, f) for x, f in blocks[b] if size(x)), key=lambda y: spark_hash(s.seed, p, ("long", y[0][0]), ("long", y[1]), ("long", y[0][3])))
+                    room, take = left, []
+                    for x, _ in some:
+                        take.append(size(x) <= room)
+                        room -= size(x) if take[-1] else 0
+                    over = [i for i, t in enumerate(take) if not t]
+                    if over:
+                        i = min(over, key=lambda i: size(some[i][0]))
+                        take[i] = abs(size(some[i][0]) - room) < room
+                    sequence.append((p * len(blocks) + nth, [x for (x, _), t in zip(some, take, strict=True) if t]))
+                if p == whole:
+                    left -= words
+        drawn.append(sequence)
+    ends = np.cumsum(split(np.array([len(x) for x in drawn]), s.shards, s.seed), axis=0)
+    for no, sequence in enumerate(drawn):
+        for at, rows_ in sequence:
+            shard = int(sum(ends[:, no] <= at))
+            for x in rows_:
+                out[x] = (out[x][0] + size(x), out[x][1] + [shard])
+    return out
+
+
+def test_taken_as_by_hand(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), ["a", "B", "z", None][int(rng.choice(4, p=[0.1, 0.2, 0.5, 0.2]))]) for i in range(300)]
+    rows += [(1000, "x x x", "a")] * 3 + [(1001, None, "z"), (1002, "", "B"), (None, "v v v", "a")]
+    s = Settings(block_words=200, shards=4, piece_blocks=3)
+    want = sorted((-1 if x[0] is None else x[0], taken_, sorted(shards)) for x, (taken_, shards) in mixed_by_hand(rows, s).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.taken, list(r.shards)) for r in taken(docs, s).collect())
+    assert got == want
+    # and the mix itself has every row as often as it is taken
+    from collections import Counter
+
+    n = Counter(-1 if r.doc_id is None else r.doc_id for r in mixed(docs, s).collect())
+    assert all(n[d] == sum(len(x[2]) for x in want if x[0] == d) for d in {x[0] for x in want})

@@ -49,6 +49,12 @@ def test_stages(spark, tmp_path):
     assert {0, 1, 202, 203} <= set(seen[1]) and not {200, 201} & set(seen[1])
     assert seen[2][202].text == rows[162][1] and len(seen[2][203].text.split()) == 90 and seen[2][203].n_chars == len(seen[2][203].text)
     # brute force over what each stage got
+    from parcelry.llm import subword
+    from parcelry.llm.common import sample
+
+    own = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = subword.train(*sample(own, spark.read.parquet(str(tmp_path / "labels.parquet")), "quality", subword.Settings().sample, subword.Settings().sample_bytes, subword.Settings().seed))
+    assert set(seen[0]) == {d for d, t, *_ in rows if model.scores([None if t is None else t.encode()])[0] >= pipeline.QUALITY}
     texts = lambda i: [(d, r.text) for d, r in seen[i].items()]
     assert set(seen[1]) == {least for _, _, least, _ in component_of(texts(0))}
     left = {d: (n - gone, sha) for d, n, gone, sha in words_left(texts(1), 20)}
@@ -60,6 +66,13 @@ def test_stages(spark, tmp_path):
     for source, n, target in zip(sources, have, mixing.targets(have), strict=True):
         assert size(mixed, source) == pytest.approx(target, abs=max(60, 0.02 * n))
     assert set(seen[3]) <= set(seen[2])
+    from collections import Counter
+
+    from test_mixing import mixed_by_hand
+
+    times = Counter(r.doc_id for r in mixed)
+    by_hand = mixed_by_hand([(d, r.text, r.source) for d, r in seen[2].items()], mixing.Settings())
+    assert {x[0]: len(shards) for x, (_, shards) in by_hand.items() if shards} == dict(times)
     assert all(len(r.ids) == 4 * r.n_tokens for r in seen[4].values())
     whole = pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id or -1, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id or -1, r.n_tokens) for r in docs.collect())

@@ -69,3 +69,39 @@ def test_empty(spark):
     assert joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = joined(spark.createDataFrame([(1, None), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got if r.doc_id == 1) == [(1, 0, 1, 0)] and {r.component_id for r in got if r.doc_id != 1} == {None}
+
+
+def test_deduplicated_names_long_empty_and_repeated(spark):
+    from parcelry.llm.tokengroups import deduplicated
+
+    long_ = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, long_, "m"), (2, long_ + " tail", "m"), (3, "a b c d e f", "m"), (3, "a b c d e f", "m"), (4, None, "m"), (4, None, "m"), (None, "q r s t u v", "m"), (5, "q r s t u v", "m")]
+    for name in ("_one", "row", "doc_key"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
+        out = deduplicated(docs)
+        assert out.columns == docs.columns
+        if name in ("_one", "row"):
+            got = out.collect()
+            assert sorted((r.doc_id or 0, r[2]) for r in got) == [(0, "m"), (1, "m"), (3, "m"), (4, "m"), (4, "m")]
+    assert deduplicated(docs.limit(0)).count() == 0
+
+
+def test_comparisons_within_a_group(spark):
+    """Links by core and differences, and pairs that join what they join."""
+    import numpy as np
+
+    from parcelry.llm.tokengroups import Group
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join(base[: 40 + i])) for i in range(12)] + [(50, " ".join(base[:40]))]
+    docs = [shingles(t) for _, t in rows]
+    # the kernel against brute force: core and differences
+    flat = [np.array(sorted(hash(x) % 2**63 for x in d), np.uint64) for d in docs]
+    n = np.array([len(x) for x in flat])
+    g = Group(np.arange(len(flat)), n, np.ones(len(flat), np.int64), np.concatenate(flat))
+    links, pairs = g.compared(np.arange(len(flat)), n, np.concatenate(flat))
+    want = [sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(docs)) for i, a in enumerate(docs)]
+    assert links.tolist() == want and len(pairs) < sum(want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in joined(df).collect()) == brute(rows)
