@@ -7,7 +7,7 @@ scenarios run side by side. What can be said as joins (scores of candidate moves
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -77,38 +77,107 @@ class _Map:
             out.append(part)
         return sorted(out, key=lambda p: (-round(sum(sorted(self.mass[i] for i in p)), 9), min(p)))
 
+    def total_of(self, places: set) -> float:
+        return sum(sorted(self.mass[i] for i in places))
+
     def total(self, district) -> float:
-        return sum(sorted(self.mass[i] for i in self.region(district)))
+        return self.total_of(self.region(district))
 
 
-def _swap(tau: float, shares: dict, m: _Map) -> list[tuple]:
-    """The best admissible move again and again: the largest gain, ties by place and target; neither side may fall into more parts."""
-    done = []
-    while True:
-        totals = {d: m.total(d) for d in set(m.owner.values())}
-        left: dict = {}
+class _Moves:
+    """A map's admissible-looking moves by gain. After a move only what hangs on the two districts touched is worked out again."""
+
+    def __init__(self, tau: float, shares: dict, m: _Map):
+        self.tau, self.shares, self.m = tau, shares, m
+        self.regions: dict = {}
         for i, d in m.owner.items():
-            if m.mass[i] > 0:
-                left[m.unit[i], d] = left.get((m.unit[i], d), 0) + 1
-        options = []
+            self.regions.setdefault(d, set()).add(i)
+        self.totals = {d: m.total_of(r) for d, r in self.regions.items()}
+        self.left: dict = {}
         for i, d in m.owner.items():
-            common = shares.get(m.unit[i], ())
-            if d in common and m.mass[i] > 0 and left[m.unit[i], d] > 1:
-                for to in {m.owner.get(y) for y in m.near[i]} & common - {d}:
-                    gain = max(abs(totals[d] - tau), abs(totals[to] - tau)) - max(abs(totals[d] - m.mass[i] - tau), abs(totals[to] + m.mass[i] - tau))
-                    if gain > GAIN * tau:
-                        options.append((-gain, i, to))
-        heapify(options)
-        while options:
-            _, i, to = heappop(options)
-            d = m.owner[i]
-            rest = m.region(d) - {i}
-            if m.near[i] & m.parts(m.region(to))[0] and len(m.parts(rest)) <= len(m.parts(rest | {i})):
-                m.owner[i] = to
-                done.append((i, d, to))
-                break
-        else:
-            return done
+            self.count(i, d, 1)
+        self.targets: dict = {}
+        self.toward: dict = {}
+        self.stamp: dict = {}
+        self.heap: list = []
+        for i in m.owner:
+            self.look(i)
+        for i in list(self.targets):
+            self.rate(i)
+
+    def count(self, i, d, by: int) -> None:
+        if self.m.mass[i] > 0:
+            key = self.m.unit[i], d
+            self.left[key] = self.left.get(key, 0) + by
+
+    def look(self, i) -> None:
+        """The districts that place i might go to."""
+        for to in self.targets.pop(i, ()):
+            self.toward[to].discard(i)
+        d, common = self.m.owner[i], self.shares.get(self.m.unit[i], ())
+        if d in common and self.m.mass[i] > 0:
+            found = {self.m.owner.get(y) for y in self.m.near[i]} & common - {d}
+            if found:
+                self.targets[i] = found
+                for to in found:
+                    self.toward.setdefault(to, set()).add(i)
+
+    def rate(self, i) -> None:
+        """Offers of place i at the totals of now; older ones no longer count."""
+        self.stamp[i] = self.stamp.get(i, 0) + 1
+        d, mass = self.m.owner[i], self.m.mass[i]
+        if self.left.get((self.m.unit[i], d), 0) < 2:
+            return
+        for to in self.targets.get(i, ()):
+            own, other = self.totals[d], self.totals[to]
+            gain = max(abs(own - self.tau), abs(other - self.tau)) - max(abs(own - mass - self.tau), abs(other + mass - self.tau))
+            if gain > GAIN * self.tau:
+                heappush(self.heap, (-gain, i, to, self.stamp[i]))
+
+    def next(self) -> tuple | None:
+        """The best offer that is admissible: neither side may fall into more parts. Offers that aren't come back after the next move."""
+        m, kept = self.m, []
+        found = None
+        while self.heap and found is None:
+            offer = heappop(self.heap)
+            _, i, to, stamp = offer
+            if stamp != self.stamp[i]:
+                continue
+            rest = self.regions[m.owner[i]] - {i}
+            if m.near[i] & m.parts(self.regions[to])[0] and len(m.parts(rest)) <= len(m.parts(rest | {i})):
+                found = i, to
+            else:
+                kept.append(offer)
+        for offer in kept:
+            heappush(self.heap, offer)
+        return found
+
+    def move(self, i, to) -> None:
+        m, d = self.m, self.m.owner[i]
+        self.count(i, d, -1)
+        self.count(i, to, 1)
+        m.owner[i] = to
+        self.regions[d].discard(i)
+        self.regions[to].add(i)
+        for x in (d, to):
+            self.totals[x] = m.total_of(self.regions[x])
+        for x in {i} | {y for y in m.near[i] if y in m.owner}:
+            self.look(x)
+            self.stamp[x] = self.stamp.get(x, 0) + 1
+        touched = self.regions[d] | self.regions[to] | self.toward.get(d, set()) | self.toward.get(to, set()) | {i} | {y for y in m.near[i] if y in m.owner}
+        for x in touched:
+            if x in self.targets:
+                self.rate(x)
+
+
+def _swap(tau: float, shares: dict, m: _Map) -> list[tuple]:
+    """The best admissible move again and again: the largest gain, ties by place and target."""
+    done, moves = [], _Moves(tau, shares, m)
+    while (best := moves.next()) is not None:
+        i, to = best
+        done.append((i, m.owner[i], to))
+        moves.move(i, to)
+    return done
 
 
 def swapped(cells: DataFrame, edges: DataFrame, planned: DataFrame, tau: DataFrame) -> DataFrame:

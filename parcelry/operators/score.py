@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from parcelry.operators.checks import require
 
 
+#: Points of a group that are hulled together.
+PART = 50_000
+
+
 def split_units(cells: DataFrame, by: list[str], unit: str, district: str) -> DataFrame:
     """Units that several districts share: owners, and cuts (owners - 1)."""
     n = cells.groupBy(*by, unit).agg(F.countDistinct(district).alias("owners"))
@@ -182,9 +186,12 @@ def dispersion(points: DataFrame, by: list[str], x: str, y: str, weight: str) ->
 def extents(points: DataFrame, by: list[str], x: str, y: str, hull_schema: str | None = None) -> DataFrame:
     """The largest distance between two points of each group: between corners of the convex hull, which a task finds per group part.
 
-    Parts of a group are hulled first, and the corners of the parts, few, then meet: no task gets a large group's points.
+    Parts of a group, as many as its size asks for, are hulled first, and the corners of the parts, few, then meet: no task
+    gets a large group's points.
     """
-    corners = hulls(hulls(points.withColumn("_part", F.pmod(F.xxhash64(x, y), F.lit(32))), [*by, "_part"], x, y), by, x, y)
+    parts = points.groupBy(*by).agg(F.ceil(F.count("*") / PART).alias("_parts"))
+    parted = points.join(parts, by).withColumn("_part", F.pmod(F.xxhash64(x, y), F.col("_parts"))).drop("_parts")
+    corners = hulls(hulls(parted, [*by, "_part"], x, y), by, x, y)
     a, b = corners.toDF(*by, "ax", "ay"), corners.toDF(*by, "bx", "by_")
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by_"), F.lit(2)))
     return a.join(b, by).groupBy(*by).agg(F.max(d).alias("extent"))

@@ -83,3 +83,46 @@ def test_corridors_as_brute_force(spark):
     got = {r.unit: r.corridor for r in planning.corridors(places, spark.createDataFrame(pairs, "a int, b int"), touch).collect()}
     assert got == {"u": best, "v": 0.0}
     assert _lightest({1: 2.0}, {}, {1}, {1}) == 2.0
+
+
+def moves_from_scratch(tau, shares, m):
+    """The swap pass with every total and offer worked out anew before each move."""
+    done = []
+    while True:
+        totals = {d: m.total(d) for d in set(m.owner.values())}
+        left = {}
+        for i, d in m.owner.items():
+            left[m.unit[i], d] = left.get((m.unit[i], d), 0) + (m.mass[i] > 0)
+        offers = []
+        for i, d in m.owner.items():
+            common = shares.get(m.unit[i], set())
+            if d in common and m.mass[i] > 0 and left[m.unit[i], d] > 1:
+                for to in {m.owner[y] for y in m.near[i]} & common - {d}:
+                    gain = max(abs(totals[d] - tau), abs(totals[to] - tau)) - max(abs(totals[d] - m.mass[i] - tau), abs(totals[to] + m.mass[i] - tau))
+                    if gain > planning.GAIN * tau:
+                        offers.append((-gain, i, to))
+        for _, i, to in sorted(offers):
+            d = m.owner[i]
+            rest = m.region(d) - {i}
+            if m.near[i] & m.parts(m.region(to))[0] and len(m.parts(rest)) <= len(m.parts(rest | {i})):
+                m.owner[i] = to
+                done.append((i, d, to))
+                break
+        else:
+            return done
+
+
+def test_swap_as_from_scratch():
+    import pandas as pd
+
+    for seed in range(25):
+        rng = random.Random(seed)
+        n = 6
+        cells = pd.DataFrame([{"id": n * r + c, "unit": f"u{c // 2}", "district": rng.choice("ABC"), "mass": rng.choice([0.0, 0.5, 1.0, 1.5, 2.25])} for r in range(n) for c in range(n)])
+        edges = pd.DataFrame([{"a": n * r + c, "b": n * r2 + c2} for r in range(n) for c in range(n) for r2, c2 in ((r + 1, c), (r, c + 1)) if r2 < n and c2 < n])
+        shares = {f"u{k}": set("ABC") for k in range(3)}
+        tau = cells["mass"].sum() / 3
+        want = moves_from_scratch(tau, shares, planning._Map(cells, edges))
+        assert planning._swap(tau, shares, planning._Map(cells, edges)) == want
+        if not seed:
+            assert want
