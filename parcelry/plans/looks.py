@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelry.operators import looks, score
+from parcelry.operators import graph, looks, master, score
 from parcelry.plans.audits import LEDGER, the_ledger
 from parcelry.plans.registry import query, t
 from parcelry.plans.resolution import CENTS
@@ -116,3 +116,72 @@ def revalued_gate(spark, d):
     window = usd.groupBy("channel").agg((0.9 * F.avg("dollars")).alias("low"), (1.1 * F.avg("dollars")).alias("high"))
     waivers = spark.createDataFrame([], "channel string, units array<bigint>")
     return score.dollar_gate(usd, window, waivers, 100.0).select("channel", "district", F.round("dollars", 2).alias("dollars"), "gate")
+
+
+_MASTER = """
+sup AS (SELECT DISTINCT 'r' || (s_suppkey % 3) AS channel, s_suppkey % 12 AS support, s_nationkey AS unit FROM supplier),
+ch AS (SELECT DISTINCT channel, CASE channel WHEN 'r0' THEN 3 ELSE 2 END AS k, CASE channel WHEN 'r0' THEN 0.25 ELSE 0.4 END AS eta, 0.9 AS low, 1.1 AS high FROM sup),
+ms AS (SELECT c.channel, n_nationkey AS unit, CAST(1 + n_nationkey % 5 AS DOUBLE) / 4 AS mass FROM nation CROSS JOIN ch c),
+near AS (SELECT channel, p.n_nationkey AS a, q.n_nationkey AS b FROM ch, nation p, nation q WHERE q.n_nationkey = p.n_nationkey + 1 OR q.n_nationkey = p.n_nationkey + 5),
+b2 AS (SELECT channel, a AS unit, b AS "by" FROM near UNION SELECT channel, b, a FROM near),
+sg AS (SELECT s.channel, s.support, s.unit, min(b2."by") AS "by" FROM sup s JOIN b2 ON b2.channel = s.channel AND b2.unit = s.unit JOIN sup o ON o.channel = s.channel AND o.support = s.support AND o.unit = b2."by" GROUP BY ALL HAVING count(DISTINCT b2."by") = 1),
+op AS (SELECT DISTINCT channel, support FROM sup), x AS (SELECT s.*, 'open:' || s.channel || ':' || support AS n, 'share:' || s.channel || ':' || support || ':' || s.unit AS t, ms.mass, k, eta, low, high FROM sup s JOIN ms ON ms.channel = s.channel AND ms.unit = s.unit JOIN ch ON ch.channel = s.channel),
+o AS (SELECT op.*, 'open:' || op.channel || ':' || support AS n, k, eta, low, high FROM op JOIN ch ON ch.channel = op.channel),
+r AS (SELECT 'count' AS kind, 'count:' || channel AS row, n AS col, 1.0 AS coef, k AS low, k AS high FROM o
+ UNION ALL SELECT 'cover', 'cover:' || channel || ':' || unit, t, 1, 1, 1 FROM x
+ UNION ALL SELECT 'eta', 'eta:' || channel || ':' || support || ':' || unit, t, 1, 0, NULL FROM x UNION ALL SELECT 'eta', 'eta:' || channel || ':' || support || ':' || unit, n, -eta, 0, NULL FROM x
+ UNION ALL SELECT 'whole', 'whole:' || channel || ':' || support || ':' || unit, n, 1, 0, NULL FROM x UNION ALL SELECT 'whole', 'whole:' || channel || ':' || support || ':' || unit, t, -1, 0, NULL FROM x
+ UNION ALL SELECT 'band_lo', 'band_lo:' || channel || ':' || support, t, mass, 0, NULL FROM x UNION ALL SELECT 'band_lo', 'band_lo:' || channel || ':' || support, n, -low, 0, NULL FROM o
+ UNION ALL SELECT 'band_hi', 'band_hi:' || channel || ':' || support, t, -mass, 0, NULL FROM x UNION ALL SELECT 'band_hi', 'band_hi:' || channel || ':' || support, n, high, 0, NULL FROM o
+ UNION ALL SELECT 'hold', 'hold:' || channel || ':' || support || ':' || unit, t, 1, 0, 0 FROM x WHERE unit % 4 = 0 UNION ALL SELECT 'hold', 'hold:' || channel || ':' || support || ':' || unit, n, -1, 0, 0 FROM x WHERE unit % 4 = 0
+ UNION ALL SELECT DISTINCT 'once', 'once:' || channel || ':' || support, n, 1, CAST(NULL AS INTEGER), 1 FROM x WHERE unit % 4 = 0
+ UNION ALL SELECT 'contact', 'contact:' || channel || ':' || unit, n, 1, NULL, 2 + unit % 3 FROM x WHERE unit % 2 = 1
+ UNION ALL SELECT 'eta_cap', 'eta_cap:' || channel || ':' || unit, n, 1, NULL, floor(1 / eta + 1e-9) FROM x
+ UNION ALL SELECT 'count_cap', 'count_cap:' || channel || ':' || unit, n, 1, NULL, 1 + unit FROM x
+ UNION ALL SELECT 'corridor', 'corridor:' || channel || ':' || support || ':' || unit, t, mass, 0, NULL FROM x WHERE (support + unit) % 5 = 0 UNION ALL SELECT 'corridor', 'corridor:' || channel || ':' || support || ':' || unit, n, -(0.1 + support / 100.0), 0, NULL FROM x WHERE (support + unit) % 5 = 0
+ UNION ALL SELECT 'border', 'border:' || channel || ':' || unit || ':' || "by", 'open:' || channel || ':' || support, 1, NULL, 1 + abs(unit - "by") % 3 FROM sg
+ UNION ALL SELECT 'ban', 'ban:' || channel || ':' || support, n, 1, 0, 0 FROM o WHERE support = 7)
+"""
+
+
+@query(f"WITH {_MASTER} SELECT kind, row, col, round(CAST(coef AS DOUBLE), 9) AS coef, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM r")
+def support_master(spark, d):
+    """Every kind of row of the master, on supports that suppliers make."""
+    s, n = t(spark, d, "supplier"), t(spark, d, "nation").select(F.col("n_nationkey").alias("unit"))
+    sup = s.select(F.concat(F.lit("r"), (F.col("s_suppkey") % 3).cast("string")).alias("channel"), (F.col("s_suppkey") % 12).alias("support"), F.col("s_nationkey").alias("unit")).distinct()
+    first = F.col("channel") == "r0"
+    ch = sup.select("channel").distinct().select("channel", F.when(first, 3).otherwise(2).alias("k"), F.when(first, 0.25).otherwise(0.4).alias("eta"), F.lit(0.9).alias("low"), F.lit(1.1).alias("high"))
+    every = n.crossJoin(F.broadcast(ch.select("channel")))
+    near = every.select("channel", F.col("unit").alias("a"), F.explode(F.array(F.col("unit") + 1, F.col("unit") + 5)).alias("b")).join(n.withColumnRenamed("unit", "b"), "b").select("channel", "a", "b")
+    both = near.select("channel", F.col("a").alias("unit"), F.col("b").alias("by")).unionByName(near.select("channel", F.col("b").alias("unit"), F.col("a").alias("by")))
+    rows = master.master(
+        sup,
+        ch,
+        every.select("channel", "unit", ((1 + F.col("unit") % 5) / 4).alias("mass")),
+        held=every.where("unit % 4 = 0"),
+        caps=every.where("unit % 2 = 1").select("channel", "unit", (2 + F.col("unit") % 3).alias("cap")),
+        places=every.select("channel", "unit", (1 + F.col("unit")).alias("places")),
+        floors=sup.where("(support + unit) % 5 = 0").select("channel", "support", "unit", (0.1 + F.col("support") / 100).alias("floor")),
+        banned=sup.where("support = 7").select("channel", "support").distinct(),
+        near=near,
+        borders=both.select("channel", "unit", "by", (1 + F.abs(F.col("unit") - F.col("by")) % 3).alias("border")),
+    )
+    return rows.withColumn("coef", F.round("coef", 9))
+
+
+@query("""
+WITH e AS (SELECT p.n_nationkey AS a, q.n_nationkey AS b FROM nation p JOIN nation q ON q.n_nationkey IN (p.n_nationkey + 1, p.n_nationkey + 5)), two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+f AS (SELECT [n_nationkey] AS m FROM nation WHERE n_nationkey % 7 <> 0 UNION ALL SELECT [a, b] FROM e WHERE a % 3 <> 0 UNION ALL SELECT DISTINCT list_sort([x.a, x.b, y.b]) FROM two x JOIN two y ON y.a = x.b AND y.b <> x.a WHERE (x.a + x.b + y.b) % 4 = 0),
+l AS (SELECT DISTINCT m, unnest(m) AS w FROM f WHERE len(m) > 1), t AS (SELECT m, w, list_filter(m, lambda v: v <> w) AS r FROM l)
+SELECT array_to_string(m, ',') AS members, w AS without FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.m = t.r) AND (len(r) = 1 OR EXISTS (SELECT 1 FROM two WHERE two.a = r[1] AND two.b = r[2]))
+""")
+def closure_gaps(spark, d):
+    """A family of connected sets of up to three nations with gaps: what a closed family would also hold."""
+    k = F.col("n_nationkey")
+    n = t(spark, d, "nation").select(k.alias("a"))
+    e = n.select("a", F.explode(F.array(F.col("a") + 1, F.col("a") + 5)).alias("b")).join(n.withColumnRenamed("a", "b"), "b").select("a", "b")
+    two = graph.both_ways(e)
+    three = two.toDF("x", "y").join(two.toDF("y", "z"), "y").where("z <> x").select(F.array_sort(F.array("x", "y", "z")).alias("members")).distinct()
+    total = F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + x)
+    family = n.where("a % 7 <> 0").select(F.array("a").alias("members")).unionByName(e.where("a % 3 <> 0").select(F.array("a", "b").alias("members"))).unionByName(three.where(total % 4 == 0))
+    return master.closure_violations(family, e).select(F.array_join("members", ",").alias("members"), "without")
