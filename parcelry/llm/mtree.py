@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import kept, lean
+from parcelry.llm.common import forget, kept, lean
 
 #: Bounds are floats, scores integers: a bound this little below a score still counts.
 SLACK = 1e-9
@@ -167,6 +167,7 @@ def top_k(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     placed = kept(base.mapInArrow(lean(assign), "vec_id long, v array<long>, cell int, away double"))
     cells = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    forget(base)
     numbers = sorted(cells)
     radius = np.array([cells[c][1] for c in numbers])
     center = objects[numbers]

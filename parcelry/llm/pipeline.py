@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelry.llm import byte_bpe, mixing, subword, superkmers, tokengroups
-from parcelry.llm.common import kept, small_batches, table
+from parcelry.llm.common import forget, kept, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose score is below this goes.
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = kept(docs)
+            out = kept(out)
+            if i:
+                forget(docs)
+        docs = out
     return docs

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelry.llm.common import KEY, U64, binaries, buckets_for, hashes, kept, keyed, keys, lean, mixed, whole, windows, words
+from parcelry.llm.common import KEY, U64, binaries, buckets_for, forget, hashes, kept, keyed, keys, lean, mixed, whole, windows, words
 from parcelry.llm.components import components
 
 WORDS = 5
@@ -499,8 +499,8 @@ def _across(sets: DataFrame, groups: DataFrame, hits: DataFrame, s: Settings) ->
     return kept(rows.select("g", "part", "members").groupBy("g", "part").cogroup(queries.select("g", "part", "c", "n", "tokens").groupBy("g", "part")).applyInArrow(compare, "kind int, packed binary"))
 
 
-def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, links, pairs): doc_key, text_key, n, c (a class) of every row; c, links (rows of other classes that it links with); a, b: links between classes that join all that links join."""
+def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(documents, links, pairs, tables): doc_key, text_key, n, c (a class) of every row; c, links (rows of other classes that it links with); a, b: links between classes that join all that links join; the tables that only links and pairs read."""
     screened = _screen(docs)
     rows = screened.where("part = -1").select("packed").mapInArrow(lean(_unpacked), "doc_key long, text_key long, n long, c long, c2 long")
     reps = rows.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("n").alias("size"), F.count("*").alias("weight"))
@@ -528,7 +528,9 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     buckets = buckets_for(sets, BUCKET_BYTES)
     groups = _groups(sets, s)
     inside = _inside(groups, buckets)
-    found = inside.where("kind < 0").unionByName(_across(sets, groups, _hits(groups, inside, buckets), s))
+    across = _across(sets, groups, _hits(groups, inside, buckets), s)
+    forget(sets, groups)
+    found = inside.where("kind < 0").unionByName(across)
 
     def two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -537,7 +539,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
 
     links = found.where(F.col("kind") == LINKS).select("packed").mapInArrow(two, "a long, b long").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("links"))
     pairs = found.where(F.col("kind") == PAIRS).select("packed").mapInArrow(two, "a long, b long")
-    return rows.select(*KEY, "n", "c"), links, pairs
+    return rows.select(*KEY, "n", "c"), links, pairs, [inside, across]
 
 
 def _labelled(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -545,10 +547,12 @@ def _labelled(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
     Tables, so that what joins them reads plain shuffles, whose hot keys adaptive execution splits.
     """
-    rows, links, pairs = classes(docs, s)
+    rows, links, pairs, tables = classes(docs, s)
     labels = kept(components(pairs)).withColumnRenamed("node", "c")
     own = rows.where("n > 0").groupBy("c").agg(F.count("*").alias("alike"), F.min(F.struct(*KEY)).alias("first"))
-    return rows, kept(own.join(labels, "c", "left").join(links, "c", "left").select("c", "alike", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "c").alias("label")))
+    found = kept(own.join(labels, "c", "left").join(links, "c", "left").select("c", "alike", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("component", "c").alias("label")))
+    forget(labels, *tables)
+    return rows, found
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -577,6 +581,7 @@ def joined(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows, own_classes = _labelled(docs, s)
     least = kept(own_classes.groupBy("label").agg(F.min("first")["doc_key"].alias("least")))
     told = kept(own_classes.join(least, "label").select("c", "least", (F.col("alike") - 1 + F.col("links")).alias("n_links")))
+    forget(own_classes, least)
     has = F.col("n") > 0
     done = rows.join(told, "c", "left").select(*KEY, F.col("n").alias("n_shingles"), F.when(has, F.col("least")).otherwise(F.col("doc_key")).alias("least"), F.when(has, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))
     null = F.lit(-(2**63)).cast("long")
