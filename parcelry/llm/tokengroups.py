@@ -484,7 +484,8 @@ def _across(sets: DataFrame, groups: DataFrame, hits: DataFrame, s: Settings) ->
     need = F.greatest(F.lit(1), F.floor(F.col("n") * SPARE / 100))
     asked = kept(hits.join(sets.select("c", "n"), "c").where(F.col("hits") >= need).select("c", "g", "n"))
     parts = asked.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / s.together), F.ceil(F.sum("n") / s.tokens)).cast("int").alias("parts"))
-    queries = asked.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("c"), "parts")).select("g", "part", "c").join(sets.select("c", "n", "tokens"), "c")
+    queries = asked.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int")).select("g", "part", "c").join(sets.select("c", "n", "tokens"), "c")
+    # both sides' keys are of one type: cogrouping deals them by hashes, which differ between types
     # a group is copied as often as its own queries need, and not at all without any
     rows = groups.select("g", "members").join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 

@@ -105,3 +105,17 @@ def test_comparisons_within_a_group(spark):
     assert links.tolist() == want and len(pairs) < sum(want)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in joined(df).collect()) == brute(rows)
+
+
+def test_many_partitions(spark):
+    """Groups and their queries meet, however many partitions they are dealt to."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [r for r in rows_of(3) if r[0] < 100 or 300 <= r[0] < 400]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(tuple(r) for r in joined(docs, Settings(chunk=5, together=3)).collect()) == brute(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
