@@ -49,24 +49,6 @@ def hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), U64, len(tokens))
 
 
-def named(tokens: list[bytes]) -> tuple[np.ndarray, int]:
-    """64-bit hashes that tell these distinct tokens apart, and their seed: 0, or another should two collide."""
-    for seed in range(64):
-        of = np.fromiter((word_hash(w, seed) for w in tokens), U64, len(tokens))
-        if len(np.unique(of)) == len(of):
-            return of, seed
-    raise AssertionError("64 seeds, and each has a collision")
-
-
-def placed(tokens: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    """Each token's place among the distinct ones, which `place` learns in order."""
-    return np.fromiter((place.setdefault(w, len(place)) for w in tokens), np.int64, len(tokens))
-
-
-def word_hash(word: bytes, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that every bit of the result depends on all of x."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -59,23 +59,6 @@ def test_minimisers():
     assert minimisers(h, 20, 3).tolist() == [g[i : i + 18].min() for i in range(81)]
 
 
-def test_forced_collisions(spark, monkeypatch):
-    """Windows whose hashes all collide are still told apart, and so are words whose hashes collide at first."""
-    import numpy as np
-
-    from parcelry.llm import common, superkmers
-
-    doc, start = np.array([1, 1, 2, 2, 3]), np.array([0, 1, 0, 1, 0])
-    h = np.array([5, 6, 7, 5, 6, 8, 5, 6], np.uint64)
-    at = np.array([0, 1, 3, 4, 6])
-    monkeypatch.setattr(superkmers, "windows", lambda x, k, salt=0: np.zeros(len(x) - k + 1, np.uint64))
-    assert superkmers._repeats(doc, start, h, at, 2).tolist() == [False, False, True, False, True]
-    real = common.word_hash
-    monkeypatch.setattr(common, "word_hash", lambda w, seed: real(w, seed) if seed else len(w))
-    got, seed = common.named([b"ab", b"cd", b"e"])
-    assert seed == 1 and len(set(got.tolist())) == 3
-
-
 def test_names_long_empty_and_repeated(spark):
     from parcelry.llm.superkmers import cleaned
 
