@@ -7,7 +7,7 @@ scenarios run side by side. What can be said as joins (scores of candidate moves
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -280,19 +280,19 @@ def corridors(places: DataFrame, edges: DataFrame, sides: DataFrame) -> DataFram
     """
     kind = dict(places.dtypes)["unit"]
     inner = edges.join(places.select(F.col("id").alias("a"), "unit"), "a").join(places.select(F.col("id").alias("b"), F.col("unit").alias("_u")), "b").where("unit = _u").select("unit", "a", "b")
-    rows = (
-        places.select("unit", "id", "mass", F.lit(None).cast("string").alias("side"), F.lit(None).cast(dict(places.dtypes)["id"]).alias("other"))
-        .unionByName(sides.select("unit", "id", F.lit(None).cast("double").alias("mass"), F.col("side").cast("string"), F.lit(None).cast(dict(places.dtypes)["id"]).alias("other")))
-        .unionByName(inner.select("unit", F.col("a").alias("id"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("string").alias("side"), F.col("b").alias("other")))
+    rows = (  # other is never null: pandas would make doubles of whole numbers, and of large ones others
+        places.select("unit", F.lit("place").alias("kind"), "id", "mass", F.lit(None).cast("string").alias("side"), F.col("id").alias("other"))
+        .unionByName(sides.select("unit", F.lit("side").alias("kind"), "id", F.lit(None).cast("double").alias("mass"), F.col("side").cast("string"), F.col("id").alias("other")))
+        .unionByName(inner.select("unit", F.lit("edge").alias("kind"), F.col("a").alias("id"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("string").alias("side"), F.col("b").alias("other")))
     )
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        cells, links, touch = g[g["mass"].notna()], g[g["other"].notna()], g[g["side"].notna()]
+        cells, links, touch = (g[g["kind"] == k] for k in ("place", "edge", "side"))
         weights = dict(zip(cells["id"].tolist(), cells["mass"].tolist(), strict=True))
         near: dict = {}
         for a, b in zip(links["id"].tolist(), links["other"].tolist(), strict=True):
-            near.setdefault(a, set()).add(int(b) if isinstance(b, float) else b)
-            near.setdefault(int(b) if isinstance(b, float) else b, set()).add(a)
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
         at = {s: set(x["id"].tolist()) for s, x in touch.groupby("side")}
         worst = max((_lightest(weights, near, own, set().union(*(o for t, o in at.items() if t != s))) for s, own in at.items()), default=0.0) if len(at) > 1 else 0.0
         return pd.DataFrame({"unit": [key[0]], "corridor": [worst]})

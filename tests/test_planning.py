@@ -85,6 +85,15 @@ def test_corridors_as_brute_force(spark):
     assert _lightest({1: 2.0}, {}, {1}, {1}) == 2.0
 
 
+def test_corridors_of_large_ids(spark):
+    # doubles can't tell these ids apart
+    n = 2**53
+    places = spark.createDataFrame([("u", n + i, float(i + 1)) for i in range(4)], "unit string, id long, mass double")
+    edges = spark.createDataFrame([(n + i, n + i + 1) for i in range(3)], "a long, b long")
+    touch = spark.createDataFrame([("u", "l", n), ("u", "r", n + 3)], "unit string, side string, id long")
+    assert [(r.unit, r.corridor) for r in planning.corridors(places, edges, touch).collect()] == [("u", 10.0)]
+
+
 def moves_from_scratch(tau, shares, m):
     """The swap pass with every total and offer worked out anew before each move."""
     done = []
